@@ -81,11 +81,12 @@ def place(splits: list[Split], shards: bool = False) -> Column:
 
 def build(points: DataFrame, shards: int = SHARDS) -> list[Split]:
     """The splits of the tree, from the root down. They number shards - 1, whatever the data."""
-    cells = table(points.groupBy(*DIMENSIONS).agg(F.sum("size").alias("bytes")), "shard-cells")
+    cells = points.groupBy(*DIMENSIONS).agg(F.sum("size").alias("bytes"))
     splits: list[Split] = []
     level = [Node(1, 0, shards)] if shards > 1 else []
     while level:
-        placed = cells.withColumn("node", place(splits)).where(F.col("node").isin([n.id for n in level]))
+        open_ = [n.id for n in level]
+        placed = cells = table(cells.withColumn("node", place(splits)).where(F.col("node").isin(open_)), "shard-cells")
         extents = [F.struct(F.min(d).alias("lo"), F.max(d).alias("hi")).alias(d) for d in DIMENSIONS]
         seen = {r["node"]: r for r in placed.groupBy("node").agg(*extents, F.sum("bytes").alias("bytes")).collect()}
         along, low, goal = {}, {}, {}
