@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, sharding, simhash, tokens
+from . import lines, mixing, packing, quality, sharding, simhash, tokens
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +16,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(read(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -40,6 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
@@ -80,7 +84,66 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM f GROUP BY doc_id
 """
 
+
+
+def quality_sql() -> str:
+    """The quality rules in SQL, with the concentration steps written out."""
+    q, x = quality, quality.X
+    pairs = [(i, j) for i in range(1, 5) for j in range(1, i + 1)]
+    scale = [(s * q.POINT) ** 2 for s in q.SCALES]
+    parts = [
+        rf"""w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)""",
+        """g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM w)""",
+        """r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS c FROM g)""",
+        """p AS (SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS n FROM r WHERE c > 1)""",
+        """rep AS (SELECT doc_id, sum(n)::BIGINT AS n_repeat_words FROM p GROUP BY doc_id)""",
+        r"""b AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+            (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+            (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+              - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+            coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id)""",
+        f"""v AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEATED} * n_words AS base_failed, coalesce(lang, '<null>') AS l, coalesce(source, '<null>') AS s,
+            floor(ln((word_chars + 500.0::DOUBLE) / (n_words + 100.0::DOUBLE)) * {q.POINT} + 0.5)::BIGINT AS x1,
+            floor(sqrt(n_symbols / (n_words + 20.0::DOUBLE)) * {q.POINT} + 0.5)::BIGINT AS x2, floor(sqrt(n_dup_lines / (n_words + 20.0::DOUBLE)) * {q.POINT} + 0.5)::BIGINT AS x3,
+            floor(sqrt(n_repeat_words / (n_words + 20.0::DOUBLE)) * {q.POINT} + 0.5)::BIGINT AS x4 FROM b)""",
+        """c AS (SELECT l, s, count(*) AS n FROM v WHERE NOT base_failed GROUP BY l, s)""",
+        f"""pool AS (SELECT l, sum(n) AS pool FROM c WHERE n < {q.MIN_GROUP} GROUP BY l)""",
+        f"""grp AS (SELECT c.l, c.s, CASE WHEN n >= {q.MIN_GROUP} THEN 'ls/' || c.l || '/' || c.s WHEN pool >= {q.MIN_GROUP} THEN 'l/' || c.l ELSE 'all' END AS grp FROM c LEFT JOIN pool ON c.l = pool.l)""",
+        """a AS (SELECT v.*, grp FROM v LEFT JOIN grp ON v.l = grp.l AND v.s = grp.s)""",
+        """u AS (SELECT * FROM a WHERE NOT base_failed)""",
+        "med AS (SELECT grp, count(*) AS n, " + ", ".join(f"quantile_cont({c}, 0.5) AS m{i}" for i, c in enumerate(x, 1)) + " FROM u GROUP BY grp)",
+        "mad AS (SELECT u.grp, " + ", ".join(f"quantile_cont(abs({c} - m{i}), 0.5) AS d{i}" for i, c in enumerate(x, 1)) + " FROM u JOIN med ON u.grp = med.grp GROUP BY u.grp)",
+        "e0 AS (SELECT med.grp, m1, m2, m3, m4, " + ", ".join(f"1.4826::DOUBLE * d{i} * 1.4826::DOUBLE * d{i} + {s!r}::DOUBLE AS v{i}" for i, s in enumerate(scale, 1)) + f" FROM med JOIN mad ON med.grp = mad.grp WHERE n >= {q.MIN_GROUP})",
+    ]
+
+    def distance(step: int, rows: str) -> list[str]:
+        if not step:
+            total = " + ".join(["0.0::DOUBLE", *[f"({c} - m{i}) * ({c} - m{i}) / v{i}" for i, c in enumerate(x, 1)]])
+            return [f"dist{step}{rows} AS (SELECT {rows}.*, {total} AS d FROM {rows} LEFT JOIN e{step} ON {rows}.grp = e{step}.grp)"]
+        made = [f"({c} - m{i}" + "".join(f" - c{i}{k} * y{k}" for k in range(1, i)) + f") / c{i}{i} AS y{i}" for i, c in enumerate(x, 1)]
+        inner = f"SELECT {rows}.*, e{step}.* EXCLUDE (grp), {made[0]} FROM {rows} LEFT JOIN e{step} ON {rows}.grp = e{step}.grp"
+        for m in made[1:]:
+            inner = f"SELECT *, {m} FROM ({inner})"
+        return [f"dist{step}{rows} AS (SELECT *, 0.0::DOUBLE + y1 * y1 + y2 * y2 + y3 * y3 + y4 * y4 AS d FROM ({inner}))"]
+
+    for k in range(q.STEPS):
+        parts += distance(k, "u")
+        parts.append(f"b{k} AS (SELECT *, floor(ln(1.0::DOUBLE + d) * 64.0::DOUBLE)::BIGINT AS b FROM dist{k}u WHERE d IS NOT NULL)")
+        parts.append(f"q{k} AS (SELECT grp, quantile_cont(b, {q.SUPPORT}) AS q FROM b{k} GROUP BY grp)")
+        sums = [f"sum({c})::DOUBLE / count(*)::DOUBLE AS m{i}" for i, c in enumerate(x, 1)] + [f"sum({x[i - 1]} * {x[j - 1]})::DOUBLE AS p{i}{j}" for i, j in pairs]
+        inner = f"SELECT b{k}.grp, count(*)::DOUBLE AS n, {', '.join(sums)} FROM b{k} JOIN q{k} ON b{k}.grp = q{k}.grp WHERE b <= q GROUP BY b{k}.grp"
+        for i, j in pairs:
+            a = f"(p{i}{j} / n - m{i} * m{j}) * {q.CONSISTENCY!r}::DOUBLE" + (f" + {scale[i - 1]!r}::DOUBLE" if i == j else "")
+            a = f"({a}" + "".join(f" - c{i}{t} * c{j}{t}" for t in range(1, j)) + ")"
+            inner = f"SELECT *, {f'sqrt{a}' if i == j else f'{a} / c{j}{j}'} AS c{i}{j} FROM ({inner})"
+        parts.append(f"e{k + 1} AS (SELECT grp, m1, m2, m3, m4, {', '.join(f'c{i}{j}' for i, j in pairs)} FROM ({inner}))")
+    parts += distance(q.STEPS, "a")
+    return "WITH " + ",\n".join(p.replace(" AS (", " AS MATERIALIZED (", 1) for p in parts) + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d <= {q.LIMIT}, true) AS kept FROM dist{q.STEPS}a"""
+
+
 SQL = {
+    "op3_quality_rules": quality_sql(),
     "op5_line_dedup": LINES_SQL,
     "op2_mixing": MIXING_SQL,
 }
