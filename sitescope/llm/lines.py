@@ -171,7 +171,7 @@ def _filters(changes: DataFrame, index: LineIndex) -> dict[int, str]:
             hi, lo = (rows.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
             up = rows.column("up").to_numpy(zero_copy_only=False)
             if now in old:
-                with store.open_input_stream(f"{path}/{old[now]}") as f:
+                with store.open_input_stream(f"{path}/{old[now]}", compression=None) as f:
                     own = CuckooFilter.from_bytes(f.read())
             else:
                 own = CuckooFilter(int(up.sum()))
@@ -179,7 +179,7 @@ def _filters(changes: DataFrame, index: LineIndex) -> dict[int, str]:
             own.insert(hi[up], lo[up])
             name = new_name(f"filter-{now}", "bin")
             store.create_dir(path, recursive=True)
-            with store.open_output_stream(f"{path}/{name}") as f:
+            with store.open_output_stream(f"{path}/{name}", compression=None) as f:
                 f.write(own.to_bytes())
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([name])], ["shard", "file"])
 
@@ -253,7 +253,7 @@ def known(index: LineIndex, posts: DataFrame) -> DataFrame:
                 if n != now:  # one shard's filter in memory at a time
                     now, own = n, None
                     if n in files:
-                        with store.open_input_stream(f"{path}/{files[n]}") as f:
+                        with store.open_input_stream(f"{path}/{files[n]}", compression=None) as f:
                             own = CuckooFilter.from_bytes(f.read())
                 if own is not None:
                     hi, lo = (b.column(c).to_numpy()[same].view(np.uint64) for c in (1, 2))
