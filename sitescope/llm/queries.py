@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, quality, sharding, simhash, tokens, warc
+from . import ann, lines, mixing, packing, quality, sharding, simhash, tokens, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
+    "op8_nearest": op8_nearest,
     "op10_packing": op10_packing,
 }
 
