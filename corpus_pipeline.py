@@ -1,11 +1,55 @@
-"""A corpus pipeline in stages: each takes the documents that the one before it kept."""
+"""A corpus pipeline of five stages over ``documents``.
 
-STAGES: list = []
+Each stage takes the documents that the one before it kept, with their columns, and works on all of them:
+
+1. quality rules: documents that fail the base rules or lie beyond their group's robust distance go;
+2. line dedup: lines that three or more documents share stay only in the one with the largest doc_id;
+3. SimHash near-dedup: of each component of near-equal fingerprints the smallest doc_id stays;
+4. mixing: documents are taken 0, 1 or 2 times so that sources meet their target words;
+5. best-fit packing: the token pieces of all taken documents, placed in sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sitescope.llm import common, lines, mixing, packing, quality, simhash
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.good_documents(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.first_of_each(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("source_mix", source_mix),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Fingerprints and tokens have no SQL: a test holds the stages against plain Python instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = common.table(stage(spark, docs, sf_dir), name)
     return docs

@@ -68,7 +68,10 @@ def statistics(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "lang", "s
         lambda a, x: F.struct((a["n"] + WINDOW - F.greatest(a["end"] - x, F.lit(0))).alias("n"), (x + WINDOW).alias("end")),
         lambda a: a["n"],
     )
-    rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("s", "at")
+    rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    # A generator, as filters on the statistics are not pushed through it: below, they would repeat the work on the text.
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    rows = rows.select("doc", F.inline(F.array(F.struct(*names))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
 
