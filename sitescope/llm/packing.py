@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, table, text_of
+from .common import table, text_of
 
 SEQ_LEN = 2048
 SEPARATOR = 0
-#: Pieces numbered by one window group, about.
-RANK_GROUP = 50_000
+#: Groups in which the pieces of one length are numbered: so many, or one for each RANK_GROUP pieces.
+RANK_GROUPS, RANK_GROUP = 64, 50_000
 
 
 def default_vocabulary() -> str:
@@ -240,7 +240,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, seq_len: int = SEQ_LEN,
     spark = docs.sparkSession
     own = table(pieces(docs, vocabulary, seq_len, with_ids), "pack-pieces")
     counts = {r["length"]: r["n"] for r in own.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most seq_len rows
-    groups = max(1, sum(counts.values()) // RANK_GROUP)
+    groups = max(RANK_GROUPS, sum(counts.values()) // RANK_GROUP)
 
     own = own.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
     before = own.groupBy("length", "g").agg(F.count("*").alias("n"))
@@ -248,7 +248,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, seq_len: int = SEQ_LEN,
     before = table(before.select("length", "g", F.coalesce(F.sum("n").over(by), F.lit(0)).alias("before")), "pack-ranks")
     order = Window.partitionBy("length", "g").orderBy("doc_id", "piece", "start", "ids_crc32")
     own = own.withColumn("own", F.row_number().over(order) - 1)
-    own = join_small(own, before, ["length", "g"], "inner").withColumn("rank", F.col("own") + F.col("before"))
+    own = own.join(before, ["length", "g"]).withColumn("rank", F.col("own") + F.col("before"))  # dealt as for the window
 
     rows = [(length, [tuple(x) for x in xs]) for length, xs in slots(plan(counts, seq_len)).items()]
     shape = "length long, slots array<struct<a: long, b: long, sequence: long, offset: long, each: long>>"
