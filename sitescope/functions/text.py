@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 TOKEN = r"[\p{L}\p{N}_]+"
 # What parts a title from the site's name.
@@ -80,7 +81,7 @@ def shingles(words: Column, size: int = 3) -> Column:
     return F.when(F.size(words) >= size, F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))).otherwise(F.array().cast("array<string>"))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def simhash(texts: pd.Series) -> pd.Series:
     """64-bit simhash over 3-word shingles by BLAKE2b; null under 15 words. The bit pattern as a signed number."""
     import re

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MAX_URL = 2048
 # Schemes that are no pages.
@@ -39,7 +40,7 @@ def normalise(raw: str | None, base: str | None = None) -> str | None:
     return url if len(url) <= MAX_URL else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalise_url(raw: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([normalise(r, b) for r, b in zip(raw, base, strict=True)])
 
