@@ -22,7 +22,7 @@ def near_pairs(hashes: DataFrame, key: str, value: str, distance: int = DISTANCE
     """
     bands, width = distance + 1, bits // (distance + 1)
     cut = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("h", k * width).bitwiseAND((1 << width) - 1).alias("v")) for k in range(bands)]
-    keyed = hashes.select(F.col(key).alias("k"), F.col(value).alias("h")).where("h IS NOT NULL")
+    keyed = table(hashes.select(F.col(key).alias("k"), F.col(value).alias("h")).where("h IS NOT NULL"), "fingerprints")
     rows = keyed.select("h").distinct().select("h", F.inline(F.array(*cut)))
     left, right = rows.select("band", "v", F.col("h").alias("x")), rows.select("band", "v", F.col("h").alias("y"))
     hits = left.join(right, ["band", "v"]).where("x < y").where(text.hamming(F.col("x"), F.col("y")) <= distance).select("x", "y").distinct()
