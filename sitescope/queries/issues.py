@@ -99,10 +99,10 @@ SELECT project_id, id, overall, CASE WHEN diff < 0 THEN -(floor(-diff * 10 + 0.5
 
 
 def crawl_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.crawl_before(_crawls(spark, sf_dir)).select("project_id", "id", "previous_id")
+    return history.crawl_before(_crawls(spark, sf_dir)).select("project_id", "id", F.coalesce("previous_id", F.lit(0)).alias("previous_id"))
 
 
-PAIRS = f"WITH {CRAWLS} SELECT project_id, id, lag(id) OVER (PARTITION BY project_id ORDER BY created_at, id) AS previous_id FROM crawls WHERE analysis_status = 'completed'"
+PAIRS = f"WITH {CRAWLS} SELECT project_id, id, coalesce(lag(id) OVER (PARTITION BY project_id ORDER BY created_at, id), 0) AS previous_id FROM crawls WHERE analysis_status = 'completed'"
 
 
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
