@@ -1,13 +1,14 @@
-"""Helpers shared by the pipeline operators: scratch tables, words, skew-safe joins."""
+"""Helpers shared by the pipeline operators: words, hashes, skew-safe joins; scratch tables come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import scratch_path, shared_dir, table
+
+__all__ = ["scratch_path", "shared_dir", "table"]
+
 #: A word is a run of characters other than space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -18,26 +19,6 @@ BROADCAST_ROWS = 50_000
 SALTS = 64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("sitescope.scratch.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sitescope-")
-        spark.conf.set("sitescope.scratch.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: lineage ends here, so a lost executor costs no recomputation."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

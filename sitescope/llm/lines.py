@@ -25,7 +25,8 @@ from .common import scratch_path, table, text_of
 from .files import new_name, open_store
 
 MIN_CHARS, MIN_DOCS = 20, 3
-SHARDS = 16
+#: Shards at least, and repeated keys in the filter of a shard, about.
+SHARDS, SHARD_KEYS = 16, 500_000
 #: Parts into which the postings of a shard are dealt: a line that is in most documents must not meet in one task.
 SLICES = 64
 
@@ -204,8 +205,9 @@ def build(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     spark = docs.sparkSession
     posts = table(postings(docs, min_chars).select("hi", "lo", "doc_id").distinct(), "line-postings")
     refs = table(_count(posts), "line-refs")
-    index = LineIndex(posts, refs, {}, scratch_path(spark, "line-filters"), min_docs, shards)
-    index.filters = _filters(refs.where(F.col("refs") >= min_docs).withColumn("up", F.lit(True)), index)
+    repeated = refs.where(F.col("refs") >= min_docs)
+    index = LineIndex(posts, refs, {}, scratch_path(spark, "line-filters"), min_docs, max(shards, repeated.count() // SHARD_KEYS))
+    index.filters = _filters(repeated.withColumn("up", F.lit(True)), index)
     return index
 
 
