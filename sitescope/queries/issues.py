@@ -71,7 +71,7 @@ def issue_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHANGES = f"""WITH {ISSUES}, k AS (SELECT CASE WHEN first_crawl = 'c9' THEN 'new' WHEN resolved_in = 'c9' THEN 'resolved' WHEN page_no < 10 AND page_no % 2 > 0 THEN 'recurring' END AS kind FROM issues) SELECT kind, count(*) AS issues FROM k WHERE kind IS NOT NULL GROUP BY kind"""
 
 
-def _crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     return read(spark, sf_dir, "orders").select(
         k.alias("id"), F.col("o_custkey").alias("project_id"), F.col("o_orderdate").alias("created_at"), (F.floor(F.col("o_totalprice")) % 1000 / 10.0).alias("overall"),
@@ -84,14 +84,14 @@ CASE WHEN o_orderkey % 5 = 0 THEN 'queued' WHEN o_orderkey % 3 = 0 THEN 'none' E
 
 
 def latest_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.latest(_crawls(spark, sf_dir)).select("project_id", "id")
+    return history.latest(crawls(spark, sf_dir)).select("project_id", "id")
 
 
 LATEST = f"WITH {CRAWLS} SELECT project_id, arg_max(id, (created_at, id)) AS id FROM crawls WHERE analysis_status = 'completed' GROUP BY 1"
 
 
 def score_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.score_history(_crawls(spark, sf_dir), keep=5).select("project_id", "id", "overall", "change")
+    return history.score_history(crawls(spark, sf_dir), keep=5).select("project_id", "id", "overall", "change")
 
 
 SCORE_CHANGE = f"""WITH {CRAWLS}, d AS (SELECT *, overall - lag(overall) OVER (PARTITION BY project_id ORDER BY created_at, id) AS diff, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS k FROM crawls)
@@ -99,14 +99,14 @@ SELECT project_id, id, overall, CASE WHEN diff < 0 THEN -(floor(-diff * 10 + 0.5
 
 
 def crawl_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.crawl_before(_crawls(spark, sf_dir)).select("project_id", "id", F.coalesce("previous_id", F.lit(0)).alias("previous_id"))
+    return history.crawl_before(crawls(spark, sf_dir)).select("project_id", "id", F.coalesce("previous_id", F.lit(0)).alias("previous_id"))
 
 
 PAIRS = f"WITH {CRAWLS} SELECT project_id, id, coalesce(lag(id) OVER (PARTITION BY project_id ORDER BY created_at, id), 0) AS previous_id FROM crawls WHERE analysis_status = 'completed'"
 
 
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.prunable(_crawls(spark, sf_dir), 3).select("project_id", "id")
+    return history.prunable(crawls(spark, sf_dir), 3).select("project_id", "id")
 
 
 RETENTION = f"""WITH {CRAWLS}, f AS (SELECT * FROM crawls WHERE status IN ('completed', 'failed')), d AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS k, count(*) OVER (PARTITION BY project_id) AS n FROM f WHERE status = 'completed'),

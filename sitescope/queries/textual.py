@@ -89,14 +89,14 @@ def link_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("text")
-    rows = _questions(read(spark, sf_dir, "conversations"))
+    rows = questions(read(spark, sf_dir, "conversations"))
     return rows.select("conv_id", "turn", F.array_join(answers.topics(q), "; ").alias("topics"), F.array_join(answers.missing_data(q), "; ").alias("missing"), answers.about_priorities(q).alias("priority"))
 
 
 EXTRA = ("", " any broken links or slow pages?", " which titles and meta descriptions first?", " our traffic against other universities", " duplicate content and redirects, 404")
 
 
-def _questions(rows: DataFrame) -> DataFrame:
+def questions(rows: DataFrame) -> DataFrame:
     add = F.element_at(F.array(*[F.lit(x) for x in EXTRA]), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
     return rows.where("role = 'user'").withColumn("text", F.concat(F.coalesce("text", F.lit("")), add))
 
