@@ -54,7 +54,8 @@ class CuckooFilter:
         return print_, a, a ^ self._jump(print_, mask)
 
     def _jump(self, print_, mask):
-        return ((print_.astype(np.uint64) * self.MIX) >> np.uint64(20)) & mask
+        with np.errstate(over="ignore"):
+            return ((print_.astype(np.uint64) * self.MIX) >> np.uint64(20)) & mask
 
     def contains(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         f, a, b = self._of(hi, lo)
@@ -275,24 +276,27 @@ def dropped(index: LineIndex) -> DataFrame:
 
 
 def rewrite(docs: DataFrame, index: LineIndex, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Every row as the struct ``doc``, with n_lines, n_dropped and the text that is kept.
+    """Every row without its text as the struct ``doc``, with n_lines, n_dropped and the text that is kept.
 
-    Null and empty texts are one empty line and stay empty. Rows that repeat a doc_id are one document.
+    Null and empty texts are one empty line and stay as they are. Rows that repeat a doc_id are one document. The text goes to
+    Python and back once.
     """
     lost = dropped(index).withColumnRenamed("doc_id", "lost_id")
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("own_id"), F.encode(text_of(), "UTF-8").alias("t"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*rest).alias("doc"), F.col("doc_id").alias("own_id"), F.col("text").alias("t"))
     rows = rows.join(lost, F.col("own_id") == F.col("lost_id"), "left").select("doc", "t", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, gone, texts = [], [], []
             for t, keys in zip(b.column(1), b.column(2), strict=True):
-                lines = t.as_py().split(b"\n")
+                text = t.as_py()
+                lines = (text or "").encode().split(b"\n")
                 out = {np.array([k["hi"], k["lo"]], np.int64).tobytes() for k in keys.as_py() or ()}
                 kept = [x for x in lines if line_key(x, min_chars) not in out] if out else lines
                 total.append(len(lines))
                 gone.append(len(lines) - len(kept))
-                texts.append(b"\n".join(kept).decode())
+                texts.append(b"\n".join(kept).decode() if len(kept) < len(lines) else text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], ["doc", "n_lines", "n_dropped", "kept"])
 
     kind = rows.schema["doc"].dataType.simpleString()
@@ -303,19 +307,20 @@ def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 of every row."""
     slim = docs.select("doc_id", "text")
     out = rewrite(slim, build(slim))
-    return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+    kept = F.encode(F.coalesce("kept", F.lit("")), "UTF-8")
+    return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """The documents with the lines they keep; n_chars, where there is one, is that of the text that is left."""
     out = rewrite(docs, build(docs, **options))
-    text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("doc.text"))
     cols = []
     for f in docs.schema:
-        c = F.col(f"doc.`{f.name}`")
         if f.name == "text":
-            c = text
+            c = F.col("kept")
         elif f.name == "n_chars":
-            c = F.when(F.col("n_dropped") > 0, F.length("kept")).otherwise(c).cast(f.dataType)
+            c = F.when(F.col("n_dropped") > 0, F.length("kept")).otherwise(F.col("doc.n_chars")).cast(f.dataType)
+        else:
+            c = F.col(f"doc.`{f.name}`")
         cols.append(c.alias(f.name))
     return out.select(*cols)
