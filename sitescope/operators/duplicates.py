@@ -14,47 +14,74 @@ from .rules import group_findings, json
 DISTANCE, BANDS, OVERLAP = 3, 4, 0.8
 
 
+def near_classes(classes: DataFrame, distance: int = DISTANCE, bits: int = 64) -> DataFrame:
+    """(x, y) of distinct fingerprints (h) x < y that differ in at most ``distance`` bits.
+
+    Such fingerprints agree in one of distance + 1 bands: they are joined on their bands, and a pair is kept only at the
+    first band that it shares, so that no distinct is needed.
+    """
+    bands, width = distance + 1, bits // (distance + 1)
+    part = lambda c, k: F.shiftrightunsigned(c, k * width).bitwiseAND((1 << width) - 1)
+    rows = classes.select("h", F.inline(F.array(*[F.struct(F.lit(k).alias("band"), part(F.col("h"), k).alias("v")) for k in range(bands)])))
+    pairs = rows.withColumnRenamed("h", "x").join(rows.withColumnRenamed("h", "y"), ["band", "v"]).where("x < y")
+    pairs = pairs.where(text.hamming(F.col("x"), F.col("y")) <= distance)
+    before = F.lit(False)
+    for k in range(bands):
+        before = before | ((F.col("band") > k) & (part(F.col("x"), k) == part(F.col("y"), k)))
+    return pairs.where(~before).select("x", "y")
+
+
 def near_pairs(hashes: DataFrame, key: str, value: str, distance: int = DISTANCE, bits: int = 64) -> DataFrame:
     """(a, b, distance) of keys a < b whose fingerprints differ in at most ``distance`` bits.
 
-    Such fingerprints agree in one of distance + 1 bands. Keys with one fingerprint are one class: classes are joined on
-    their bands, so copies do not multiply candidates; pairs of keys come from classes only at the end.
+    The listing of all pairs, copies included: where groups are wanted, ``groups_of`` does not expand copies.
     """
-    bands, width = distance + 1, bits // (distance + 1)
-    cut = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("h", k * width).bitwiseAND((1 << width) - 1).alias("v")) for k in range(bands)]
     keyed = table(hashes.select(F.col(key).alias("k"), F.col(value).alias("h")).where("h IS NOT NULL"), "fingerprints")
-    rows = keyed.select("h").distinct().select("h", F.inline(F.array(*cut)))
-    left, right = rows.select("band", "v", F.col("h").alias("x")), rows.select("band", "v", F.col("h").alias("y"))
-    hits = left.join(right, ["band", "v"]).where("x < y").where(text.hamming(F.col("x"), F.col("y")) <= distance).select("x", "y").distinct()
+    hits = near_classes(keyed.select("h").distinct(), distance, bits)
     hits = hits.unionByName(keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("x"), F.col("h").alias("y")))
     pairs = hits.join(keyed.select(F.col("k").alias("p"), F.col("h").alias("x")), "x").join(keyed.select(F.col("k").alias("q"), F.col("h").alias("y")), "y")
     pairs = pairs.where("x <> y OR p < q")
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), text.hamming(F.col("x"), F.col("y")).alias("distance"))
 
 
-def groups(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """(label, members): connected groups of keys with more than one member, members sorted; label is the smallest key.
+def groups_of(members: DataFrame, edges: DataFrame, alone: DataFrame | None = None) -> DataFrame:
+    """(label, members) from (k, node) and edges between nodes: keys whose nodes are connected, sorted; label is the first.
 
-    Keys may be strings: they are numbered by a hash of 64 bits for the contraction.
+    Nodes stand for any number of keys; ``alone`` names nodes that are a group by themselves. Nodes are numbered by a hash.
     """
-    number = lambda c: F.xxhash64(c)
-    edges = pairs.select(number("a").alias("a"), number("b").alias("b"))
-    found = table(connected_components(edges), "groups")
-    named = nodes.select(F.col(key).alias("k")).distinct().join(found, number("k") == F.col("node"))
-    out = named.groupBy("label").agg(F.array_sort(F.collect_list("k")).alias("members"))
-    return out.select(F.col("members")[0].alias("label"), "members")
+    number = F.xxhash64("node")
+    found = connected_components(edges.select(F.xxhash64("x").alias("a"), F.xxhash64("y").alias("b")))
+    if alone is not None:
+        own = alone.select(number.alias("node")).distinct().join(found.select("node"), "node", "left_anti")
+        found = found.unionByName(own.withColumn("label", F.col("node")))
+    found = table(found.withColumnRenamed("node", "number"), "groups")
+    out = members.withColumn("number", number).join(found, "number").groupBy("label").agg(F.array_sort(F.collect_list("k")).alias("members"))
+    return out.where(F.size("members") > 1).select(F.col("members")[0].alias("label"), "members")
+
+
+def near_groups(hashes: DataFrame, key: str, value: str, distance: int = DISTANCE, bits: int = 64) -> DataFrame:
+    """(label, members) of keys with near fingerprints; keys with one fingerprint are one node."""
+    rows = table(hashes.select(F.col(key).alias("k"), F.col(value).alias("node")).where("node IS NOT NULL"), "fingerprints")
+    classes = rows.groupBy(F.col("node").alias("h")).agg(F.count("*").alias("n"))
+    return groups_of(rows, near_classes(classes.select("h"), distance, bits), classes.where("n > 1").select(F.col("h").alias("node")))
 
 
 def near_duplicates(pages: DataFrame) -> DataFrame:
-    """(members, pairs) of indexable pages with nearly the same text, but not the same."""
-    rows = table(pages.where("indexable").select("url", "content_hash", text.simhash("text").alias("h")).where("h IS NOT NULL"), "simhash")
-    pairs = near_pairs(rows, "url", "h")
-    hashes = rows.select("url", "content_hash")
-    for side in ("a", "b"):
-        pairs = pairs.join(hashes.select(F.col("url").alias(side), F.col("content_hash").alias(f"{side}_hash")), side)
-    pairs = table(pairs.where(~F.col("a_hash").eqNullSafe(F.col("b_hash"))).select("a", "b", F.floor(100.0 * (64 - F.col("distance")) / 64 + 0.5).cast("int").alias("similarity")), "near-pairs")
-    found = groups(pairs, rows, "url")
-    by = found.select("label", F.explode("members").alias("a")).join(pairs, "a").groupBy("label").agg(F.slice(F.array_sort(F.collect_list(F.struct("a", "b", "similarity"))), 1, 20).alias("pairs"))
+    """(label, members, pairs) of indexable pages with nearly the same text, but not the same.
+
+    A node is a text (its hash), however many pages have it. Texts with one fingerprint are tied to the first of them; texts
+    of near fingerprints by these first ones. ``pairs`` shows up to twenty of the ties by their first pages.
+    """
+    rows = table(pages.where("indexable").select(F.col("url").alias("k"), F.coalesce("content_hash", F.concat(F.lit("url:"), "url")).alias("node"), text.simhash("text").alias("h")).where("h IS NOT NULL"), "simhash")
+    texts = rows.groupBy("node", "h").agg(F.min("k").alias("url"))
+    first = table(texts.groupBy("h").agg(F.min("node").alias("x"), F.min_by("url", "node").alias("a")), "simhash-classes")
+    same = texts.join(first, "h").where("node <> x").select("x", F.col("node").alias("y"), "a", F.col("url").alias("b"), F.lit(0).alias("distance"))
+    near = near_classes(first.select("h")).join(first.select(F.col("h").alias("x"), F.col("x").alias("n1"), "a"), "x").join(first.select(F.col("h").alias("y"), F.col("x").alias("n2"), F.col("a").alias("b")), "y")
+    near = near.where("n1 <> n2").select(F.col("n1").alias("x"), F.col("n2").alias("y"), "a", "b", text.hamming(F.col("x"), F.col("y")).alias("distance"))
+    ties = table(same.unionByName(near), "near-ties")
+    found = groups_of(rows.select("k", "node"), ties.select("x", "y"))
+    shown = ties.select("a", "b", F.floor(100.0 * (64 - F.col("distance")) / 64 + 0.5).cast("int").alias("similarity"))
+    by = found.select("label", F.explode("members").alias("a")).join(shown, "a").groupBy("label").agg(F.slice(F.array_sort(F.collect_list(F.struct("a", "b", "similarity"))), 1, 20).alias("pairs"))
     return found.join(by, "label")
 
 
@@ -87,13 +114,17 @@ def topic_words(pages: DataFrame) -> DataFrame:
 
 
 def topic_overlaps(pages: DataFrame) -> DataFrame:
-    """(label, members) of pages about one topic whose texts differ."""
-    rows = table(topic_words(pages), "topic-words")
-    pairs = topic_pairs(rows)
+    """(label, members) of pages about one topic whose texts differ.
+
+    A node is a set of words, however many pages have it; a pair of nodes counts unless all their pages have one text.
+    """
+    rows = table(topic_words(pages).where(F.size("words") >= 2).select("k", F.coalesce("content_hash", F.lit("")).alias("hash"), F.array_join(F.array_sort("words"), " ").alias("node")), "topic-words")
+    nodes = table(rows.groupBy("node").agg(F.min("hash").alias("low"), F.max("hash").alias("high")), "topic-nodes")
+    pairs = topic_pairs(nodes.select(F.col("node").alias("k"), F.split("node", " ").alias("words")))
     for side in ("a", "b"):
-        pairs = pairs.join(rows.select(F.col("k").alias(side), F.col("content_hash").alias(f"{side}_hash")), side)
-    pairs = pairs.where(~F.col("a_hash").eqNullSafe(F.col("b_hash")))
-    return groups(table(pairs.select("a", "b"), "topic-pairs"), rows, "k")
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("low").alias(f"{side}_low"), F.col("high").alias(f"{side}_high")), side)
+    one = (F.col("a_low") == F.col("a_high")) & (F.col("b_low") == F.col("b_high")) & (F.col("a_low") == F.col("b_low"))
+    return groups_of(rows.select("k", "node"), pairs.where(~one).select(F.col("a").alias("x"), F.col("b").alias("y")), nodes.where("low <> high").select("node"))
 
 
 def findings(pages: DataFrame) -> DataFrame:

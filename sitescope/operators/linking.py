@@ -54,35 +54,43 @@ def phrases(headings: Column, title: Column, suffix: Column) -> Column:
 def suggest(pages: DataFrame, links: DataFrame, root_url: str, min_inlinks: int = 3) -> DataFrame:
     """(source_url, target_url, anchor_text, snippet, relevance): texts that name a page's topic and do not link to it.
 
-    A phrase is looked for only in texts that hold its rarest word: the words of the phrases are counted over all texts, each
-    phrase is joined on one of them, and then matched whole.
+    Each distinct phrase is matched once, and only with texts that hold its rarest word. Its sources are ranked, and a target
+    asks for as many of the first ones as can be in its way (itself, sources that link to it already, those it has by an
+    earlier phrase) and three more: pages that share a phrase do not multiply with the texts that hold it.
     """
     own = pages.where("indexable")
     suffix = text.common_title_suffix(own)
     wanted = own.where((F.col("url") != root_url) & ((F.col("inlinks_count") <= 1) | F.coalesce("is_orphan", F.lit(False)) | (F.col("important") & (F.col("inlinks_count") < min_inlinks))))
     wanted = wanted.join(F.broadcast(suffix), F.lit(True))  # one row
     wanted = wanted.select(F.col("id").alias("target_id"), F.col("url").alias("target_url"), "important", F.posexplode(phrases(F.col("headings"), F.col("title"), F.col("suffix"))).alias("phrase_no", "phrase"))
-    wanted = table(wanted.withColumn("words", text.tokens(F.col("phrase"))), "suggest-phrases")
-    known = wanted.select(F.explode("words").alias("w")).distinct()
-    held = own.select(F.col("id").alias("source_id"), F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("w")).join(known, "w", "left_semi")
-    held = table(held, "suggest-words")
-    use = held.groupBy("w").agg(F.count("*").alias("n"))
-    rare = wanted.select("target_id", "phrase_no", F.explode("words").alias("w")).join(use, "w").groupBy("target_id", "phrase_no").agg(F.min_by("w", F.struct("n", "w")).alias("w"))
-    asked = wanted.join(rare, ["target_id", "phrase_no"])
-    near = asked.join(held, "w").where("source_id <> target_id")
-    linked = links.where("target_id IS NOT NULL").select("source_id", "target_id").distinct()
-    near = near.join(linked, ["source_id", "target_id"], "left_anti")
+    wanted = table(wanted.withColumn("phrase", F.lower("phrase")).withColumn("words", text.tokens(F.col("phrase"))), "suggest-phrases")
+
+    asked = wanted.select("phrase", "words").distinct()
+    known = asked.select(F.explode("words").alias("w")).distinct()
+    held = own.select(F.col("id").alias("source_id"), F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("w"))
+    use = held.join(known, "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
+    rare = table(asked.select("phrase", F.explode("words").alias("w")).join(use, "w").groupBy("phrase").agg(F.min_by("w", F.struct("n", "w")).alias("w")), "suggest-rare")
     source = own.select(F.col("id").alias("source_id"), F.col("url").alias("source_url"), F.col("text").alias("t"), F.coalesce("depth", F.lit(99)).alias("d"), F.col("inlinks_count").alias("links_in"))
+    near = source.withColumn("w", F.explode(F.array_distinct(text.tokens(F.col("t"))))).join(rare, "w")
     quoted = F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace("phrase", r"([.+*?^${}()|\[\]\\])", r"\\$1"), F.lit(r"(?!\w)"))
-    hits = near.join(source, "source_id").withColumn("rx", quoted).where(F.expr("t RLIKE rx"))
-    order = Window.partitionBy("target_id").orderBy("phrase_no", "d", F.desc("links_in"), "source_url")
-    # a source counts once for a target, with its first phrase
-    once = Window.partitionBy("target_id", "source_id").orderBy("phrase_no")
-    hits = hits.withColumn("k", F.row_number().over(once)).where("k = 1").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_TARGET)
-    found = F.expr("regexp_extract(t, rx, 0)")
-    start = F.expr("regexp_instr(t, rx)")
+    near = near.where(F.contains(F.lower("t"), F.col("phrase"))).withColumn("rx", quoted).where(F.expr("t RLIKE rx"))
+    found, start = F.expr("regexp_extract(t, rx, 0)"), F.expr("regexp_instr(t, rx)")
     left, right = F.greatest(start - AROUND, F.lit(1)), start + F.length(found) + AROUND - 1
     snippet = F.concat(F.when(left > 1, "…").otherwise(""), F.trim(F.substring(F.col("t"), left, right - left + 1)), F.when(right < F.length("t"), "…").otherwise(""))
+    order = Window.partitionBy("phrase").orderBy("d", F.desc("links_in"), "source_url")
+    near = near.select("phrase", "source_id", "source_url", "d", "links_in", found.alias("anchor_text"), snippet.alias("snippet"))
+    near = table(near.withColumn("r", F.row_number().over(order)), "suggest-sources")
+
+    linked = table(links.where("target_id IS NOT NULL").select("source_id", "target_id").distinct(), "suggest-links")
+    passed = linked.join(wanted.select("target_id", "phrase_no", "phrase"), "target_id").join(near.select("phrase", "source_id"), ["phrase", "source_id"])
+    passed = passed.groupBy("target_id", "phrase_no").agg(F.count("*").alias("passed"))
+    asks = wanted.join(passed, ["target_id", "phrase_no"], "left")
+    asks = asks.withColumn("r", F.explode(F.sequence(F.lit(1), 2 * PER_TARGET + F.coalesce(F.col("passed"), F.lit(0)).cast("int"))))
+    hits = asks.join(near, ["phrase", "r"]).where("source_id <> target_id").join(linked, ["source_id", "target_id"], "left_anti")
+    # a source counts once for a target, with its first phrase
+    once = Window.partitionBy("target_id", "source_id").orderBy("phrase_no")
+    best = Window.partitionBy("target_id").orderBy("phrase_no", "r")
+    hits = hits.withColumn("k", F.row_number().over(once)).where("k = 1").withColumn("k", F.row_number().over(best)).where(F.col("k") <= PER_TARGET)
     relevance = half_up(F.least(F.lit(1.0), F.size("words") / 6.0) * 0.8 + F.when(F.col("important"), 0.2).otherwise(0.0), 2)
-    out = hits.select("source_url", "target_url", found.alias("anchor_text"), snippet.alias("snippet"), relevance.alias("relevance"))
+    out = hits.select("source_url", "target_url", "anchor_text", "snippet", relevance.alias("relevance"))
     return out.orderBy(F.desc("relevance"), "target_url", "source_url").limit(TOTAL)

@@ -48,7 +48,7 @@ def lifecycle_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = sim_issues(spark, sf_dir).withColumns({"last_crawl": F.lit("c8"), "first_detected_at": F.col("detected_at"), "last_detected_at": F.col("detected_at"), "resolved_at": F.lit(None).cast("timestamp_ntz"), "recurrence_count": F.lit(0)})
     seen = read(spark, sf_dir, "lineitem").where(F.month("l_shipdate") <= 3).select("l_orderkey").distinct()
     key = F.concat(F.lit("i"), F.col("l_orderkey").cast("string"))
-    new = read(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("issue_key"), F.lit("high").alias("severity"))
+    new = read(spark, sf_dir, "customer").select(F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("issue_key"), F.lit("high").alias("severity"))
     found = seen.select(key.alias("issue_key"), F.lit("medium").alias("severity")).unionByName(new)
     found = found.withColumns({"scope": F.lit("page"), "affected_urls": F.array(F.lit("https://example.org/1")), "affected_page_count": F.lit(1), "priority": F.lit(50.0)})
     crawled = spark.range(20).select(F.concat(F.lit("https://example.org/"), F.col("id").cast("string")).alias("url"))
@@ -56,7 +56,7 @@ def lifecycle_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("issue_key", "status", "severity", "first_crawl", "last_crawl", "resolved_in", "recurrence_count")
 
 
-MERGE = f"""WITH {ISSUES}, f AS (SELECT DISTINCT 'i' || l_orderkey AS issue_key, 'medium' AS severity FROM lineitem WHERE month(l_shipdate) <= 3 UNION ALL SELECT 'n' || c_custkey, 'high' FROM customer WHERE c_custkey % 3 = 0),
+MERGE = f"""WITH {ISSUES}, f AS (SELECT DISTINCT 'i' || l_orderkey AS issue_key, 'medium' AS severity FROM lineitem WHERE month(l_shipdate) <= 3 UNION ALL SELECT 'n' || c_custkey, 'high' FROM customer),
 j AS (SELECT coalesce(i.issue_key, f.issue_key) AS issue_key, i.issue_key IS NOT NULL AS known, f.issue_key IS NOT NULL AS found, i.status, i.severity, f.severity AS ns, first_crawl, resolved_in, scope = 'site' OR page_no < 20 AS verified FROM issues i FULL JOIN f ON i.issue_key = f.issue_key),
 s AS (SELECT *, found AND known AND status = 'resolved' AS back, NOT found AND status IN ('open', 'ignored') AND verified AS gone FROM j)
 SELECT issue_key, CASE WHEN NOT known OR back THEN 'open' WHEN gone THEN 'resolved' ELSE status END AS status, CASE WHEN found THEN ns ELSE severity END AS severity, CASE WHEN known THEN first_crawl ELSE 'c9' END AS first_crawl, CASE WHEN found THEN 'c9' ELSE 'c8' END AS last_crawl,

@@ -81,7 +81,7 @@ def plan_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def start_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = read(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("project_id"))
+    wanted = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"))
     accepted, refused = records.start_crawls(wanted, crawls(spark, sf_dir))
     return accepted.select("project_id", F.coalesce("previous_id", F.lit(-1)).alias("previous_id"), "status").unionByName(refused.select("project_id", F.lit(0).cast("bigint").alias("previous_id"), F.lit("refused").alias("status")))
 
@@ -308,7 +308,7 @@ SQL = {
     "pending_invitations": f"SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderdate + INTERVAL 30 DAY > {NOW}",
     "connection_state": "SELECT true AS connected, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS last_synced_at FROM orders WHERE o_orderkey % 4 > 0 AND (o_custkey % 25) % 2 = 0",
     "plan_limits": "SELECT n_nationkey AS organisation_id, r_name AS plan, (r_regionkey * 10)::INT AS crawls_per_month FROM nation JOIN region ON r_regionkey = CASE WHEN n_nationkey % 3 > 0 THEN n_regionkey ELSE 2 END",
-    "start_crawls": f"WITH {CRAWLS}, w AS (SELECT c_custkey AS project_id FROM customer WHERE c_custkey % 4 = 0), a AS (SELECT DISTINCT project_id FROM crawls WHERE status = 'running'), l AS (SELECT project_id, arg_max(id, (created_at, id)) AS p FROM crawls WHERE status = 'completed' GROUP BY 1) SELECT w.project_id, CASE WHEN a.project_id IS NOT NULL THEN 0 ELSE coalesce(p, -1) END AS previous_id, CASE WHEN a.project_id IS NULL THEN 'queued' ELSE 'refused' END AS status FROM w LEFT JOIN a ON w.project_id = a.project_id LEFT JOIN l ON w.project_id = l.project_id",
+    "start_crawls": f"WITH {CRAWLS}, w AS (SELECT c_custkey AS project_id FROM customer), a AS (SELECT DISTINCT project_id FROM crawls WHERE status = 'running'), l AS (SELECT project_id, arg_max(id, (created_at, id)) AS p FROM crawls WHERE status = 'completed' GROUP BY 1) SELECT w.project_id, CASE WHEN a.project_id IS NOT NULL THEN 0 ELSE coalesce(p, -1) END AS previous_id, CASE WHEN a.project_id IS NULL THEN 'queued' ELSE 'refused' END AS status FROM w LEFT JOIN a ON w.project_id = a.project_id LEFT JOIN l ON w.project_id = l.project_id",
     "cancel_crawls": f"WITH {CRAWLS}, s AS (SELECT CASE WHEN id % 7 = 0 THEN 'queued' ELSE status END AS status, project_id FROM crawls) SELECT CASE WHEN project_id % 2 = 0 AND status = 'queued' THEN 'cancelled' WHEN project_id % 2 = 0 AND status = 'running' THEN 'cancelling' ELSE status END AS status, count(*) AS crawls FROM s GROUP BY 1",
     "analysable_crawls": f"WITH {CRAWLS}, k AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS k FROM crawls WHERE status = 'completed') SELECT project_id, id FROM k WHERE k = 1 AND analysis_status <> 'queued'",
     "revoked_families": "WITH b AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F') SELECT l.l_orderkey AS family_id, count(*) FILTER (l_linestatus = 'F' OR b.l_orderkey IS NOT NULL) AS revoked, count(*) AS tokens FROM lineitem l LEFT JOIN b ON l.l_orderkey = b.l_orderkey GROUP BY 1",

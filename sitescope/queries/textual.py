@@ -55,7 +55,7 @@ NEAR = f"WITH {SHINGLES} SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.si
 
 def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = text.md5_simhash(read(spark, sf_dir, "documents"), "doc_id", "text")
-    found = duplicates.groups(duplicates.near_pairs(rows, "doc_id", "simhash", bits=60), rows, "doc_id")
+    found = duplicates.near_groups(rows, "doc_id", "simhash", bits=60)
     return found.select("label", F.size("members").alias("members"), F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("doc_ids"))
 
 
@@ -114,7 +114,7 @@ CLASSIFY = f"""WITH {QUESTIONS} SELECT conv_id, turn, array_to_string({_labels([
 
 def grounding_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers and claims of documents, against the numbers of the document before as evidence."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.left("text", F.lit(400)), F.lit(" In "), (F.col("doc_id") % 50).cast("string"), F.lit(".50 of 1,200 clicks, rank 3")).alias("answer"), F.concat((F.col("doc_id") % 20).cast("string"), F.lit(".5 and 1200 or 3")).alias("evidence"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" In "), (F.col("doc_id") % 50).cast("string"), F.lit(".50 of 1,200 clicks, rank 3")).alias("answer"), F.concat((F.col("doc_id") % 20).cast("string"), F.lit(".5 and 1200 or 3")).alias("evidence"))
     out = answers.unsupported(rows)
     return out.select("doc_id", F.array_join("numbers", ",").alias("numbers"), F.array_join("claims", "; ").alias("claims"))
 
