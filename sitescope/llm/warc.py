@@ -29,7 +29,7 @@ from .files import new_name, open_store
 
 DATE = "2024-01-01T00:00:00Z"
 BLOCK_LINES = 512
-#: At most so many payloads can each be as frequent as one in so many pages: their decisions are broadcast.
+#: Payloads that more than one in so many pages has are fewer than that: their decisions are broadcast.
 HOT = 1000
 #: Ranges of one file that are nearer than this are read at once.
 READ_AHEAD = 1 << 16
@@ -94,15 +94,15 @@ def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, refers_to): refers_to is the largest page_id with the same payload, null for itself.
 
     Payloads of fewer than ``min_bytes`` are never revisited. Null page_ids cannot be referred to: such rows are responses
-    unless another page has their payload. Frequent payloads (one in HOT pages or more; at most HOT) are decided from a
+    unless another page has their payload. Frequent payloads (more than one in HOT pages; fewer than HOT) are decided from a
     broadcast, and only the others meet by digest.
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= min_bytes, F.unhex(F.sha1("payload"))))
     same = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper"))
     same = table(same.where("n > 1 AND keeper IS NOT NULL"), "warc-equal")
-    floor = max(2, pages.count() // HOT)
-    hot = same.where(F.col("n") >= floor).orderBy(F.desc("n"), "digest").limit(HOT + 1).select(F.col("digest").alias("hot_digest"), F.col("keeper").alias("hot_keeper"))
+    floor = max(2, pages.count() // HOT + 1)  # fewer than HOT payloads can have so many pages
+    hot = same.where(F.col("n") >= floor).select(F.col("digest").alias("hot_digest"), F.col("keeper").alias("hot_keeper"))
     rows = rows.join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
     spread = F.when(F.col("hot_keeper").isNull(), F.coalesce("digest", F.encode(F.coalesce(F.col("page_id").cast("string"), F.lit("")), "UTF-8")))
     rows = rows.withColumn("meet", F.coalesce(spread, F.encode(F.concat(F.lit("page:"), F.col("page_id").cast("string")), "UTF-8"), F.encode(F.lit("null"), "UTF-8")))

@@ -41,6 +41,12 @@ def test_small_payloads_are_all_responses(spark):
     assert got == {1: "response", 2: "response", 3: "revisit", 4: "response"}
 
 
+def test_many_equal_pairs(spark):
+    df = spark.range(2800).selectExpr("id AS page_id", "concat('https://h/', id) AS url", "concat('<p>', id % 1400) AS html")
+    got = {r["page_id"]: r["refers_to"] for r in warc.decide(df).collect()}
+    assert got == {i: i + 1400 if i < 1400 else None for i in range(2800)}
+
+
 def test_index_finds_captures_by_key(spark):
     df = spark.range(3000).selectExpr("id AS page_id", "concat('https://h', id % 7, '.example.org/p', id) AS url", "concat('<p>', id) AS html")
     folder = warc.scratch_path(spark, "t")
