@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a local folder where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("sitescope.scratch.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sitescope.scratch.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="sitescope-")
         spark.conf.set("sitescope.scratch.dir", found)
