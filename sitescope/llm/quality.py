@@ -36,7 +36,10 @@ _Q = 5.385
 CONSISTENCY = SUPPORT / (1 - exp(-_Q / 2) * (1 + _Q / 2 + _Q * _Q / 8))
 
 
-def statistics(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
+KEYS = ("doc_id", "lang", "source")
+
+
+def statistics(docs: DataFrame, columns: tuple[str, ...] = KEYS) -> DataFrame:
     """The base statistics of every row's whole text, as columns beside the struct ``doc`` of ``columns``."""
     text = text_of()
     rows = docs.select(F.struct(*columns).alias("doc"), text.alias("t"), F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("w"))
@@ -70,8 +73,7 @@ def statistics(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "lang", "s
     )
     rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     # A generator, as filters on the statistics are not pushed through it: below, they would repeat the work on the text.
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    rows = rows.select("doc", F.inline(F.array(F.struct(*names))))
+    rows = rows.select("doc", F.inline(F.array(F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
 
@@ -157,15 +159,15 @@ def estimate(rows: DataFrame) -> DataFrame:
     return now
 
 
-def judge(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    """The statistics of every row, base_failed and kept. ``columns`` go along in the struct ``doc``.
+def judge(docs: DataFrame, columns: tuple[str, ...] = KEYS) -> DataFrame:
+    """The statistics of every row, base_failed and kept. ``columns`` go along in the struct ``doc`` ("*": all of them).
 
-    Null text has no words and fails; null lang or source is a group of its own; repeated rows are judged alike.
+    Null text has no words and fails; null lang or source is a group of its own; repeated rows are judged alike. Texts are
+    read once: the estimates run over a table of the statistics, and of ``doc``, which they do not read.
     """
-    made = vectors(statistics(docs, columns).withColumns({c: F.col(f"doc.{c}") for c in ("doc_id", "lang", "source")}))
+    made = vectors(statistics(docs, columns).withColumns({c: F.col(f"doc.{c}") for c in KEYS}))
     stats = table(made, "quality-stats")
-    passed = stats.where("NOT base_failed")
-    groups = groups_of(passed)
+    groups = groups_of(stats.where("NOT base_failed"))
     named = join_small(_named(stats), groups, ["l", "s"], spread="doc_id").drop("l", "s")
     found = estimate(named.where("NOT base_failed").select("doc_id", "grp", *X))
     judged = _distance(named, found)
@@ -177,13 +179,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The documents that are kept. One pass reads the texts for the estimates, one to judge them, and no text is shuffled."""
-    columns = ("doc_id", "lang", "source")
-    stats = table(vectors(statistics(docs, columns).select("*", "doc.*")).drop("doc"), "quality-stats")
-    passed = stats.where("NOT base_failed")
-    groups = groups_of(passed)
-    found = estimate(join_small(_named(passed), groups, ["l", "s"], spread="doc_id").select("doc_id", "grp", *X))
-    own = vectors(statistics(docs.select(F.struct("*").alias("doc"), "text"), ("doc",)).withColumns({c: F.col(f"doc.doc.{c}") for c in columns}))
-    named = join_small(_named(own), groups, ["l", "s"], spread="doc_id").drop("l", "s")
-    kept = _distance(named, found).where(~F.col("base_failed") & F.coalesce(F.col("d") <= LIMIT, F.lit(True)))
-    return kept.select("doc.doc.*")
+    """The documents that are kept, as they are."""
+    return judge(docs, ("*",)).where("kept").select("doc.*")
