@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ __all__ = ["scratch_path", "shared_dir", "table"]
 #: A word is a run of characters other than space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+#: Texts that a task holds as Python objects at a time.
+SLICE_ROWS = 512
 
 #: A side is broadcast only if it was counted and has at most so many rows.
 BROADCAST_ROWS = 50_000
@@ -19,6 +23,13 @@ BROADCAST_ROWS = 50_000
 SALTS = 64
 
 
+def sliced(batches: Iterable, rows: int = SLICE_ROWS) -> Iterator:
+    """Arrow batches cut into slices (views, not copies), so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table, text_of
+from .common import scratch_path, sliced, table, text_of
 from .files import new_name, open_store
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -129,7 +129,7 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows, keys = [], []
             for i, t in enumerate(b.column(1)):
                 own = {line_key(x, min_chars) for x in t.as_py().split(b"\n")} - {None}
@@ -287,7 +287,7 @@ def rewrite(docs: DataFrame, index: LineIndex, min_chars: int = MIN_CHARS) -> Da
     rows = rows.join(lost, F.col("own_id") == F.col("lost_id"), "left").select("doc", "t", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             total, gone, texts = [], [], []
             for t, keys in zip(b.column(1), b.column(2), strict=True):
                 text = t.as_py()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import sliced, table, text_of
 
 SEQ_LEN = 2048
 SEPARATOR = 0
@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, seq_len: int = SEQ_LE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(path)
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             for row, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = np.append(bpe.ids(text.as_py()), np.uint32(SEPARATOR)).astype("<u4")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import sliced, table, text_of
 from .components import connected_components
 
 RADIUS, BANDS, SHINGLE, SEED = 2, 4, 3, 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], pa.int64())], ["doc_id", "fp"])
 
     return docs.select("doc_id", F.encode(text_of(), "UTF-8").alias("t")).mapInArrow(run, f"doc_id {kind}, fp long")

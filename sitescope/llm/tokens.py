@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import sliced, table, text_of
 
 #: Code points in a chunk.
 CHUNK = 1 << 16
@@ -137,7 +137,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT,
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Transducer(path)
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for alone, part in zip(batch.column(3), batch.column(5), strict=True):
                 m = machine.map(part.as_py())
