@@ -4,7 +4,7 @@ Each stage takes the documents that the one before it kept, with their columns,
 
 1. quality rules: documents that fail the base rules or lie beyond their group's robust distance go;
 2. line dedup: lines that three or more documents share stay only in the one with the largest doc_id;
-3. SimHash near-dedup: of each component of near-equal fingerprints the smallest doc_id stays;
+3. near-dedup: of each component of texts with a Jaccard index of 0.8 or more on five-word shingles the smallest doc_id stays;
 4. mixing: documents are taken 0, 1 or 2 times so that sources meet their target words;
 5. best-fit packing: the token pieces of all taken documents, placed in sequences.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitescope.llm import common, lines, mixing, packing, quality, simhash
+from sitescope.llm import common, lines, mixing, near, packing, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.first_of_each(docs)
+    return near.first_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
