@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import sliced, table, text_of
 from .components import connected_components
+from .near import numbered, smallest
 
 RADIUS, BANDS, SHINGLE, SEED = 2, 4, 3, 42
 BLOCK = 128
@@ -206,8 +207,10 @@ def hex_of(fp) -> F.Column:
 
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents without near copies: of every component, one row with its smallest doc_id."""
-    parts = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    firsts = parts.withColumnRenamed("doc_id", "kept_id")
-    kept = docs.select(F.struct("*").alias("doc"), "doc_id").join(firsts, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select("doc.*")
+    """The documents without near copies: of every component, one row with its smallest doc_id.
+
+    Rows are told apart by themselves, not by doc_id: a null or repeated doc_id with unrelated texts keeps each of them.
+    """
+    rows = numbered(docs)
+    found = table(near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), **options), "simhash-rows")
+    return smallest(rows, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("label")))

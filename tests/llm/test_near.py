@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from sitescope.llm import near
+from sitescope.llm import near, simhash
 
 from ..conftest import DATA
 
@@ -85,3 +85,13 @@ def test_no_words_and_long_texts():
     found = near.shingles(" ".join(f"w{k}" for k in range(5000)).encode())[1]
     assert len(found) == 4996 and len(near.bands(found)) == near.BANDS
     assert (np.diff(found.astype(object)) > 0).all()
+
+
+@pytest.mark.parametrize("first", [near.first_of_each, simhash.first_of_each])
+def test_null_and_repeated_ids(spark, first):
+    """Unrelated texts stay, whatever their ids; a copy goes, though its id is that of a kept text."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (1, text(3)), (1, text(4)), (2, text(4)), (0, text(5)), (2, text(5)), (None, text(3)), (3, text(6)), (3, text(6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(None, text(1)), (None, text(2)), (1, text(3)), (1, text(4)), (0, text(5)), (3, text(6))]
+    assert sorted(map(tuple, first(docs).collect()), key=str) == sorted(want, key=str)
