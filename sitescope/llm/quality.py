@@ -11,7 +11,9 @@ size never meet in a task. A fixed scale for each statistic is added to the cova
 all documents would otherwise make it singular and every other document an outlier). Documents beyond LIMIT are rejected.
 
 Groups with fewer than MIN_GROUP documents are pooled by language, and then all together; a pool that is still smaller gives
-no verdict and its documents stay.
+no verdict and its documents stay. That is the rule of the query and its SQL. With ``fallback``, as in the pipeline, a small
+group is judged by the estimate over all documents of its language, or over all documents of the corpus where the language
+has fewer than MIN_GROUP: only a corpus with fewer has no verdict.
 """
 
 from __future__ import annotations
@@ -86,14 +88,21 @@ def vectors(stats: DataFrame) -> DataFrame:
     return stats.select("*", *[F.floor(x * float(POINT) + 0.5).cast("long").alias(c) for c, x in zip(X, made, strict=True)])
 
 
-def groups_of(rows: DataFrame) -> DataFrame:
-    """(l, s, grp): for each language and source the group whose estimate judges it."""
+def groups_of(rows: DataFrame, fallback: bool = False) -> DataFrame:
+    """(l, s, grp, part): for each language and source the group whose estimate judges it, and those it takes part in."""
     counts = _named(rows).groupBy("l", "s").agg(F.count("*").alias("n"))
     small = F.col("n") < MIN_GROUP
-    pools = counts.where(small).groupBy("l").agg(F.sum("n").alias("pool"))
+    pooled = counts if fallback else counts.where(small)
+    pools = pooled.groupBy("l").agg(F.sum("n").alias("pool"), F.min("n").alias("least"))
     counts = counts.join(pools.withColumnRenamed("l", "pl"), F.col("l") == F.col("pl"), "left").drop("pl")
-    name = F.when(~small, F.concat_ws("/", F.lit("ls"), "l", "s")).when(F.col("pool") >= MIN_GROUP, F.concat_ws("/", F.lit("l"), "l")).otherwise("all")
-    return table(counts.select("l", "s", name.alias("grp")), "quality-groups")
+    own, lang = F.concat_ws("/", F.lit("ls"), "l", "s"), F.concat_ws("/", F.lit("l"), "l")
+    name = F.when(~small, own).when(F.col("pool") >= MIN_GROUP, lang).otherwise("all")
+    if not fallback:
+        return table(counts.select("l", "s", name.alias("grp"), F.array(name).alias("part")), "quality-groups")
+    rest = pools.agg(F.coalesce(F.min("pool") < MIN_GROUP, F.lit(False)).alias("rest"))
+    asked = (F.col("pool") >= MIN_GROUP) & (F.col("least") < MIN_GROUP)
+    part = F.array_compact(F.array(F.when(~small, own), F.when(asked, lang), F.when(F.col("rest"), F.lit("all"))))
+    return table(counts.crossJoin(F.broadcast(rest)).select("l", "s", name.alias("grp"), part.alias("part")), "quality-groups")
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -159,7 +168,7 @@ def estimate(rows: DataFrame) -> DataFrame:
     return now
 
 
-def judge(docs: DataFrame, columns: tuple[str, ...] = KEYS) -> DataFrame:
+def judge(docs: DataFrame, columns: tuple[str, ...] = KEYS, fallback: bool = False) -> DataFrame:
     """The statistics of every row, base_failed and kept. ``columns`` go along in the struct ``doc`` ("*": all of them).
 
     Null text has no words and fails; null lang or source is a group of its own; repeated rows are judged alike. Texts are
@@ -167,10 +176,10 @@ def judge(docs: DataFrame, columns: tuple[str, ...] = KEYS) -> DataFrame:
     """
     made = vectors(statistics(docs, columns).withColumns({c: F.col(f"doc.{c}") for c in KEYS}))
     stats = table(made, "quality-stats")
-    groups = groups_of(stats.where("NOT base_failed"))
+    groups = groups_of(stats.where("NOT base_failed"), fallback)
     named = join_small(_named(stats), groups, ["l", "s"], spread="doc_id").drop("l", "s")
-    found = estimate(named.where("NOT base_failed").select("doc_id", "grp", *X))
-    judged = _distance(named, found)
+    found = estimate(named.where("NOT base_failed").select("doc_id", F.explode("part").alias("grp"), *X))
+    judged = _distance(named.drop("part"), found)
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d") <= LIMIT, F.lit(True)))
 
 
@@ -179,5 +188,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, as they are."""
-    return judge(docs, ("*",)).where("kept").select("doc.*")
+    """The documents that are kept, as they are; small groups fall back to their language or the corpus."""
+    return judge(docs, ("*",), fallback=True).where("kept").select("doc.*")

@@ -43,3 +43,21 @@ def test_labels(spark):
     own = rows.join(labels, "doc_id").where("NOT base_failed").collect()
     assert all(r["kept"] for r in own if r["quality"] == 1)
     assert sum(not r["kept"] for r in own if r["quality"] == 0) > 0.8 * sum(r["quality"] == 0 for r in own)
+
+
+def test_small_groups_beside_large_ones(spark):
+    """Junk of a rare language, of a small source of a large language and of an unnamed group gets a verdict."""
+    import random
+
+    rng = random.Random(4)
+    words = lambda: " ".join(f"{rng.choice('abcdefgh') * rng.randint(2, 8)}{rng.randint(0, 999)}" for _ in range(rng.randint(20, 300)))
+    junk = lambda: " ".join(f"w{rng.randint(0, 9999)}###$$$" for _ in range(100))
+    groups = [("en", "a", 300), ("en", "b", 250), ("en", "few", 40), ("rare", "a", 60), (None, None, 12)]
+    made = [(lang, source, k < 5, junk() if k < 5 else words()) for lang, source, n in groups for k in range(n)]
+    rows = [(i, text, lang, source) for i, (lang, source, _, text) in enumerate(made)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality.good_documents(docs).collect()}
+    assert kept == {i for i, (_, _, bad, _) in enumerate(made) if not bad}
+    # the query is held to its SQL, whose leftover pool of 112 documents has no verdict
+    own = {r["doc_id"] for r in quality.quality_report(docs).where("kept").collect()}
+    assert own - kept == {i for i, (lang, source, bad, _) in enumerate(made) if bad and (lang, source) not in (("en", "a"), ("en", "b"))}
