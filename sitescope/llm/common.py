@@ -63,3 +63,26 @@ def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "lef
         right = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = df.withColumn("__salt", salt).join(right, on & (F.col("__salt") == F.col("__copy")), how).drop("__salt", "__copy")
     return joined.drop(*[f"__{k}" for k in keys])
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Every row as the struct ``doc`` with a number ``row`` and a hash ``sum`` of its columns, written once."""
+    parts = [F.coalesce(F.to_json(F.struct(F.col(f"doc.`{c}`").alias("c"))), F.lit("")) for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    return table(rows.withColumn("sum", F.xxhash64(F.col("doc.text"), *parts)), "near-rows")
+
+
+def smallest(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of every label the row with the smallest doc_id (null only if there is no other), by content among equals.
+
+    ``rows`` are numbered, ``labels`` has (row, label). Only ids are grouped. The rows that go are fewer than those that
+    stay: up to BROADCAST_ROWS of them are broadcast, and then no text is shuffled.
+    """
+    ids = rows.select("row", "sum", F.col("doc.doc_id").alias("id"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sum", "row")).alias("best")
+    several = F.count("*").alias("n")
+    named = table(ids.join(labels, "row").select("label", "row", "sum", "id"), "near-named")
+    firsts = table(named.groupBy("label").agg(best, several).where("n > 1").select("label", F.col("best.row").alias("first")), "near-firsts")
+    gone = table(join_small(named, firsts, ["label"], "inner", spread="row").where("row <> first").select("row"), "near-gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return rows.join(side, "row", "left_anti").select("doc.*")

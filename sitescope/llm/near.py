@@ -1,10 +1,12 @@
-"""Near copies by the Jaccard index of five-word shingles: minhash bands, exact confirmation in blocks, components.
-
-SimHash cannot find these pairs: at an index of 0.8 fingerprints differ in some ten of 64 bits, and a radius that covers them
-leaves the pigeonhole nothing to prune by. Texts of the same words are one class. Classes that share a band of minima are
-candidates: BANDS bands of WIDTH minima miss a pair at 0.8 with a chance of 6e-5, and closer ones more rarely. Candidates
-are joined to clusters, and in a cluster all pairs are compared by their exact sets of shingles, in pairs of blocks, so that
-no task holds more than two blocks. Only confirmed pairs are links.
+"""Near copies by the Jaccard index of five-word shingles: bit-sliced SimHash in clusters, then exact confirmation.
+
+At an index of 0.8 fingerprints of sets of shingles differ in some ten of 64 bits (12 for sets of four and five). A radius
+that covers them leaves SimHash's pigeonhole nothing to prune by, so classes of texts (those of the same words) meet another
+way: those that share a band of minima are tied to clusters. BANDS bands of WIDTH minima miss a pair at 0.8 with a chance of
+6e-5, and closer ones more rarely. In a cluster, fingerprints are compared in bit planes with carry-save counters at RADIUS
+bits (a pair at 0.8 lies beyond it with a chance of 5e-5 at most, unrelated ones within it with 3e-2); pairs within are
+compared by their exact sets of shingles. Only confirmed pairs are links. Large clusters are cut into blocks and compared in
+pairs of blocks, so that no task holds more than two; a pair of blocks returns a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, sliced, table, text_of
+from .common import join_small, numbered, sliced, smallest, table, text_of
 from .components import connected_components
+from .simhash import byte_counts, forest, majority, sliced_links
 
 SHINGLE, LIMIT, SEED = 5, (4, 5), 42
-BANDS, WIDTH, BLOCK = 32, 6, 128
+BANDS, WIDTH, BLOCK, RADIUS = 32, 6, 128, 24
 #: Columns of the table of shared shingles that are multiplied at a time.
 COLUMNS = 4096
 
@@ -73,6 +76,22 @@ def clusters(classes: DataFrame) -> DataFrame:
     return connected_components(ties.distinct())
 
 
+def close(sets: list[np.ndarray], first: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j), i < j, of sets whose fingerprints are within ``radius`` bits and whose Jaccard index is LIMIT or more."""
+    fps = np.array([majority(byte_counts(s), len(s)) for s in sets], np.int64).view(np.uint64)
+    i, j = sliced_links(fps, np.zeros(len(fps), np.int64), radius)
+    if first:
+        across = (i < first) & (j >= first)
+        i, j = i[across], j[across]
+    if not len(i):
+        return i, j
+    rows, at = np.unique(np.r_[i, j], return_inverse=True)
+    near = np.zeros((len(rows), len(rows)), bool)
+    near[confirmed([sets[r] for r in rows], int(np.searchsorted(rows, first)))] = True
+    keep = near[at[: len(i)], at[len(i) :]]
+    return i[keep], j[keep]
+
+
 def confirmed(sets: list[np.ndarray], first: int) -> tuple[np.ndarray, np.ndarray]:
     """All (i, j), i < j, with a Jaccard index of LIMIT or more. With ``first``, only pairs of one below and one from it."""
     n = len(sets)
@@ -99,7 +118,7 @@ def confirmed(sets: list[np.ndarray], first: int) -> tuple[np.ndarray, np.ndarra
 
 
 def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b) of classes: the pairs of each cluster that are near copies. ``nodes``: label, cls, t (the text's bytes)."""
+    """(a, b) of classes: edges whose components are those of all near copies. ``nodes``: label, cls, t (the text's bytes)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -116,8 +135,9 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
         # a pair of two blocks leaves the pairs within a block to that block's own group
         first = sum(h[0] == held[0][0] for h in held) if held[0][2] != held[0][3] else 0
         cls = np.array([h[4] for h in held], np.int64)
-        i, j = confirmed([h[5] for h in held], first)
-        return cls[i], cls[j]
+        label = forest(len(held), *close([h[5] for h in held], first))
+        own = np.flatnonzero(label != np.arange(len(held)))
+        return cls[own], cls[label[own]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -140,24 +160,6 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "own").mapInArrow(run, "a long, b long")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """Every row as the struct ``doc`` with a number ``row`` and a hash ``sum`` of its columns, written once."""
-    parts = [F.coalesce(F.to_json(F.struct(F.col(f"doc.`{c}`").alias("c"))), F.lit("")) for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
-    return table(rows.withColumn("sum", F.xxhash64(F.col("doc.text"), *parts)), "near-rows")
-
-
-def smallest(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of every label the row with the smallest doc_id (null only if there is no other), by content among equals.
-
-    ``rows`` are numbered, ``labels`` has (row, label).
-    """
-    ids = rows.select("row", "sum", F.col("doc.doc_id").alias("id"))
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sum", "row")).alias("best")
-    kept = ids.join(labels, "row").groupBy("label").agg(best).select(F.col("best.row").alias("row"))
-    return rows.join(table(kept, "near-kept"), "row", "left_semi").select("doc.*")
-
-
 def components(rows: DataFrame) -> DataFrame:
     """(row, label) of numbered rows: equal labels are near copies, directly or over others."""
     own = table(keyed(rows.select("row", F.col("doc.text").alias("text"))), "near-keys")
@@ -171,6 +173,11 @@ def components(rows: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without near copies: of every component, one row with its smallest doc_id."""
+    """The documents without near copies: of every component, one row with its smallest doc_id.
+
+    Null and empty texts are texts without words, which are copies of each other and near nothing else. Rows are told apart
+    by themselves, not by doc_id: unrelated texts under null or repeated ids all stay. Among repeated rows and ties the
+    content decides. Very long texts are compared whole. An empty table stays empty; columns may have any names.
+    """
     rows = numbered(docs)
     return smallest(rows, components(rows))

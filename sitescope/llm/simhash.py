@@ -19,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, table, text_of
+from .common import numbered, sliced, smallest, table, text_of
 from .components import connected_components
-from .near import numbered, smallest
 
 RADIUS, BANDS, SHINGLE, SEED = 2, 4, 3, 42
 BLOCK = 128
@@ -47,10 +46,18 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     seen = np.zeros((8, 256), np.int64)
     for at in range(0, n, 1 << 16):
         parts = [joined[s:e] for s, e in zip(starts[at : at + (1 << 16)], last[at : at + (1 << 16)], strict=True)]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts)).view(np.uint8).reshape(-1, 8)
-        seen += np.bincount((h + np.arange(8) * 256).ravel(), minlength=2048).reshape(8, 256)
-    over = (seen @ _BITS).ravel() * 2 > n
-    return int(np.packbits(over, bitorder="little").view(np.int64)[0])
+        seen += byte_counts(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts)))
+    return majority(seen, n)
+
+
+def byte_counts(hashes: np.ndarray) -> np.ndarray:
+    """How often each of the eight bytes of unsigned 64-bit hashes has each value."""
+    return np.bincount((hashes.view(np.uint8).reshape(-1, 8) + np.arange(8) * 256).ravel(), minlength=2048).reshape(8, 256)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint whose bits are set in over half of ``n`` hashes, as a signed integer."""
+    return int(np.packbits((counts @ _BITS).ravel() * 2 > n, bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -187,8 +194,9 @@ def links(classes: DataFrame, radius: int = RADIUS, bands: int = BANDS, block: i
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row.
 
-    Texts without words have fingerprint 0 and link like any other. Repeated rows share a component. Null doc_ids are
-    members but never name a component, unless it has no other id.
+    Texts without words (null and empty ones too) have fingerprint 0 and link like any other. Repeated rows and ties share a
+    component. Null doc_ids are members but never name a component, unless it has no other id. Very long texts are hashed
+    whole, 65,536 shingles at a time. An empty table gives no rows. Other columns are not read, whatever their names.
     """
     own = table(fingerprints(docs, shingle), "simhash-fps")
     classes = table(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-classes")

@@ -4,8 +4,8 @@ from sitescope.llm import common
 
 from ..conftest import DATA
 from .test_lines import brute as brute_lines
+from .test_near import brute_kept
 from .test_quality import brute as brute_quality
-from .test_simhash import brute_components, brute_fingerprint
 
 
 def test_stages(spark):
@@ -29,9 +29,9 @@ def test_stages(spark):
         assert len(r["text"].split("\n")) == len(source[r["doc_id"]]["text"].split("\n")) - want[r["doc_id"]] or not r["text"]
         assert r["n_chars"] == len(r["text"])
 
-    label = brute_components([(r["doc_id"], brute_fingerprint(r["text"])) for r in lined.collect()])
-    assert sorted(r["doc_id"] for r in single.collect()) == sorted(set(label.values()))
-    assert {r["doc_id"] for r in mixed.collect()} <= set(label.values())
+    left = brute_kept([(r["doc_id"], r["text"]) for r in lined.collect()])
+    assert sorted(r["doc_id"] for r in single.collect()) == left
+    assert {r["doc_id"] for r in mixed.collect()} <= set(left)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in mixed.collect()}
 
 
