@@ -1,21 +1,23 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target of words. A document is expected in the mix ``target / source_size`` times: the whole part is
-given to each document for certain, the fraction is its inclusion probability p. Documents are then ranked by the Pareto
+Every source gets a target of words. Within a source, documents are included with unequal odds: a document of a length
+*class* (the binary digits of its size) is expected in the mix ``rate * class`` times, at most ``cap`` times, where the rate
+is such that the expected words are the source's target; what capped classes cannot take goes to the others. The whole part
+is given to each document for certain, the fraction is its inclusion probability p. Documents are then ranked by the Pareto
 ratio (u / (1 - u)) / (p / (1 - p)), u a hash of doc_id in (0, 1), and taken in that order while the source's remaining
 words allow: a sample of fixed size, in words. The gap that is left (less than one document) is closed by the document
 outside the sample whose size fits it best, if one brings the total nearer.
 
 No group of one source meets in a task: ranks are cut by a histogram of the ratio for each source, and only the bucket in
-which the cut falls is ordered. The plan has one row for each source.
+which the cut falls is ordered. The plan has one row for each source and class, at most 64 for each source.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_unit, join_small, table, text_of, word_count
+from .common import hash_unit, join_small, ordinals, table, text_of, word_count
 
 BUCKETS = 4096
 NO_ID = -(2**63)
@@ -26,29 +28,52 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", word_count(text_of()).alias("size"))
 
 
+def class_of(size: Column) -> Column:
+    """The binary digits of a size: what its document's odds are in proportion to."""
+    return F.length(F.bin(size)).cast("long")
+
+
 def targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """One row per source: source_size and target.
 
     Sources in the order of their code points, null last, weigh ``weights``, repeating. They share ``share`` times all
-    sizes; no target is above ``cap`` times its source's size, what is above goes to the others by weight.
+    sizes; no target is above ``cap`` times its source's size, what is above goes to the others by weight: the level is
+    raised until no further source is capped.
     """
     per = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    # One row per source from here: the windows order sources, not documents.
-    n = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(n - 1, F.lit(len(weights))) + 1).cast("int"))
+    per = ordinals(per, [F.col("source").asc_nulls_last()], "k")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("k", F.lit(len(weights))) + 1).cast("int"))
     per = per.withColumn("w", weight).withColumn("most", F.lit(float(cap)) * F.col("source_size"))
-    per = per.withColumn("ratio", F.col("most") / F.col("w"))
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    level = (F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (
-        F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    )
-    per = per.withColumn("k", F.row_number().over(order)).withColumn("level", level)
-    per = per.withColumn("capped", F.col("level") > F.col("ratio"))
-    first = F.min(F.when(~F.col("capped"), F.struct("k", "level"))).over(every)
-    target = F.when(F.col("capped"), F.col("most")).otherwise(F.col("w") * first["level"])
-    return per.select("source", "source_size", target.alias("target"))
+    level, count = -1.0, -1
+    while True:
+        capped = F.col("most") / F.col("w") < F.lit(level)
+        r = per.agg(F.sum("source_size").alias("all"), F.sum(F.when(capped, F.col("most"))).alias("taken"), F.sum(F.when(~capped, F.col("w"))).alias("w"), F.count_if(capped).alias("n")).first()
+        if r["n"] == count or not r["w"]:
+            break
+        count, level = r["n"], (share * (r["all"] or 0) - (r["taken"] or 0.0)) / r["w"]
+    return per.select("source", "source_size", F.when(capped, F.col("most")).otherwise(F.col("w") * F.lit(level)).alias("target"))
+
+
+def rates(sized: DataFrame, plan: DataFrame, cap: float = 2.0) -> DataFrame:
+    """One row per source and class: source_size, target, the whole copies and the inclusion probability p.
+
+    From the largest class down, classes are capped as long as the rate that is left for the others would take them beyond
+    ``cap``. A source without words has target 0 and no rate.
+    """
+    per = sized.groupBy("source", class_of(F.col("size")).alias("cls")).agg(F.sum("size").cast("long").alias("words"))
+    per = join_small(per, plan, ["source"])
+    down = Window.partitionBy("source").orderBy(F.desc("cls"))  # at most 64 rows for each source
+    above = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("cls") * F.col("words")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    left = F.col("target") - F.lit(float(cap)) * above
+    per = per.withColumn("rate", F.when(rest > 0, left / rest).otherwise(0.0))
+    per = per.withColumn("full", F.col("rate") * F.col("cls") > F.lit(float(cap)))
+    first = F.max(F.when(~F.col("full"), F.struct("cls", "rate"))).over(Window.partitionBy("source"))
+    copies_ = F.when(first.isNull() | (F.col("cls") > first["cls"]), F.lit(float(cap))).otherwise(first["rate"] * F.col("cls"))
+    per = per.withColumn("copies", F.when(F.col("source_size") > 0, copies_).otherwise(0.0))
+    per = per.withColumn("whole", F.floor("copies").cast("long")).withColumn("p", F.col("copies") - F.floor("copies"))
+    given = F.sum(F.col("whole") * F.col("words")).over(Window.partitionBy("source"))
+    return per.select("source", "cls", "source_size", "target", "whole", "p", (F.col("target") - given).alias("left"))
 
 
 def _ranked(sized: DataFrame, plan: DataFrame, cap: float, seed: str) -> DataFrame:
@@ -56,7 +81,7 @@ def _ranked(sized: DataFrame, plan: DataFrame, cap: float, seed: str) -> DataFra
     u = hash_unit(F.col("doc_id"), seed=seed)
     p = F.col("p")
     return (
-        join_small(sized, plan, ["source"], spread="doc_id")
+        join_small(sized.withColumn("cls", class_of(F.col("size"))), plan, ["source", "cls"], spread="doc_id")
         .withColumn("q", F.when((p > 0) & (F.col("whole") < cap), (u / (1 - u)) / (p / (1 - p))))
         .withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS).cast("int"))
         .withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
@@ -64,14 +89,11 @@ def _ranked(sized: DataFrame, plan: DataFrame, cap: float, seed: str) -> DataFra
 
 
 def mix_plan(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
-    """One row per source: targets, whole copies for all, and where the order of ratios is cut.
+    """One row per source and class: targets, whole copies, probabilities, and where the order of ratios is cut.
 
-    Rows that repeat a doc_id are taken together. A source without words has target 0 and nothing is taken of it.
+    Rows that repeat a doc_id in a source are taken together, ties of the ratio by doc_id.
     """
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = targets(sized, weights, share, cap).withColumn("whole", F.floor(rate).cast("long"))
-    plan = plan.withColumn("p", rate - F.col("whole")).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = table(plan, "mix-targets")
+    plan = table(rates(sized, table(targets(sized, weights, share, cap), "mix-targets"), cap), "mix-rates")
 
     ranked = _ranked(sized, plan, cap, seed).where(F.col("q").isNotNull())
     by = Window.partitionBy("source").orderBy("bucket")
@@ -101,7 +123,7 @@ def mix_plan(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: fl
     off = F.abs(F.col("size") - gap)
     rest = ranked.where(F.col("q").isNotNull() & F.col("cut_bucket").isNotNull() & ~_inside() & (off < gap))
     fill = rest.groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("q"), F.col("id"))).alias("f"))
-    fill = fill.select(F.col("source").alias("s"), F.col("f.id").alias("fill_id"))
+    fill = fill.select(F.col("source").alias("s"), F.col("f.q").alias("fill_q"), F.col("f.id").alias("fill_id"))
     return table(plan.join(fill, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-plan")
 
 
@@ -115,10 +137,12 @@ def _inside():
 def copies(docs: DataFrame, plan: DataFrame, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """One row per document: the whole row as the struct ``doc``, source_size, target and copies (0 to ``cap``).
 
-    Columns of the documents may have any names: they travel inside the struct.
+    Columns of the documents may have any names: they travel inside the struct. A size is taken over where there is one of
+    ``sizes``, and counted from the text otherwise.
     """
-    ranked = _ranked(docs.select(F.struct("*").alias("doc"), "doc_id", "source"), plan, cap, seed)
-    chosen = _inside() | (F.col("q").isNotNull() & F.coalesce(F.col("id") == F.col("fill_id"), F.lit(False)))
+    size = word_count(text_of()) if "text" in docs.columns else F.col("size")
+    ranked = _ranked(docs.select(F.struct("*").alias("doc"), "doc_id", "source", size.alias("size")), plan, cap, seed)
+    chosen = _inside() | F.coalesce((F.col("q") == F.col("fill_q")) & (F.col("id") == F.col("fill_id")), F.lit(False))
     return ranked.select("doc", "source_size", "target", (F.col("whole") + chosen.cast("long")).alias("copies"))
 
 
@@ -130,7 +154,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words) of every document."""
+    """doc_id, size, source_size, target and taken (words) of every document.
+
+    Null and empty texts have size 0 and take nothing; a null source is a source, the last; null doc_ids count as one id.
+    Very long texts are counted whole; where one of them is larger than what a source has left, it stays out. Repeated rows
+    are taken alike. An empty table gives no rows; other columns are not read, whatever their names.
+    """
     sized = table(sizes(docs), "mix-sizes")
     out = copies(sized, mix_plan(sized))
     return out.select("doc.doc_id", "doc.size", "source_size", "target", (F.col("copies") * F.col("doc.size")).alias("taken"))

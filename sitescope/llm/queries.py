@@ -77,9 +77,17 @@ k AS (SELECT *, most / w AS ratio, row_number() OVER (ORDER BY most / w, source
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS level FROM k),
 t AS (SELECT source, source_size, CASE WHEN level > ratio THEN most ELSE w * (SELECT arg_min(level, k) FROM l WHERE level <= ratio) END AS target FROM l),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t),
-p AS (SELECT *, floor(rate)::BIGINT AS whole, rate - floor(rate) AS p, target - floor(rate) * source_size AS rem FROM r),
-h AS (SELECT s.doc_id, s.size, p.*, (('0x' || substr(md5('mix|' || coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS u FROM s JOIN p ON s.source IS NOT DISTINCT FROM p.source),
+n AS (SELECT *, length(bin(size))::BIGINT AS cls FROM s),
+cw AS (SELECT source, cls, sum(size)::BIGINT AS words FROM n GROUP BY source, cls),
+ct AS (SELECT cw.*, source_size, target,
+    target - 2.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY cw.source ORDER BY cls DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rem,
+    (sum(cls * words) OVER (PARTITION BY cw.source ORDER BY cls DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS rest FROM cw JOIN t ON cw.source IS NOT DISTINCT FROM t.source),
+cr AS (SELECT *, CASE WHEN rest > 0 THEN rem / rest ELSE 0.0 END AS rate FROM ct),
+cf AS (SELECT source, max(cls) AS top, arg_max(rate, cls) AS rate FROM cr WHERE rate * cls <= 2 GROUP BY source),
+r AS (SELECT cr.source, cr.cls, words, source_size, target, CASE WHEN source_size = 0 THEN 0.0 WHEN cf.top IS NULL OR cr.cls > cf.top THEN 2.0 ELSE cf.rate * cr.cls END::DOUBLE AS rate
+    FROM cr LEFT JOIN cf ON cr.source IS NOT DISTINCT FROM cf.source),
+p AS (SELECT *, floor(rate)::BIGINT AS whole, rate - floor(rate) AS p, target - (sum(floor(rate)::BIGINT * words) OVER (PARTITION BY source))::BIGINT AS rem FROM r),
+h AS (SELECT s.doc_id, s.size, p.*, (('0x' || substr(md5('mix|' || coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS u FROM n s JOIN p ON s.source IS NOT DISTINCT FROM p.source AND s.cls = p.cls),
 q AS (SELECT *, CASE WHEN p > 0 AND whole < 2 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM h),
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id) AS upto FROM q WHERE q IS NOT NULL),
 i AS (SELECT *, upto <= rem AS inside FROM c),

@@ -47,3 +47,37 @@ def test_large_plan_side_is_salted(spark, odd, monkeypatch):
     want = sorted(map(tuple, mixing.mix_report(odd).collect()), key=str)
     monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     assert sorted(map(tuple, mixing.mix_report(odd).collect()), key=str) == want
+
+
+def test_inclusion_is_unequal(spark):
+    """Expected copies are in proportion to the class of the size, capped classes apart; drawn copies follow them."""
+    rows = [(i, " ".join(["w"] * (3 if i % 3 else 60)), f"s{i % 2}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = mixing.sizes(docs)
+    plan = mixing.mix_plan(sized, weights=(1, 3), share=0.5)
+    by = {(r["source"], r["cls"]): r for r in plan.collect()}
+    words = {(s, c): sum(n for i, t, s_ in rows if s_ == s and (n := len(t.split())).bit_length() == c) for s, c in by}
+    for s in ("s0", "s1"):
+        a, b = (by[s, c]["whole"] + by[s, c]["p"] for c in (2, 6))
+        assert abs(b / a - 3) < 1e-9 or b == 2.0
+        assert abs(a * words[s, 2] + b * words[s, 6] - by[s, 2]["target"]) < 1e-6
+    got = mixing.copies(sized, plan).collect()
+    for (s, c), r in by.items():
+        own = [x["copies"] for x in got if x["doc"]["source"] == s and x["doc"]["size"].bit_length() == c]
+        # Pareto sampling of fixed size holds the asked odds nearly
+        assert abs(sum(own) / len(own) - r["whole"] - r["p"]) < 0.05
+        assert set(own) <= {r["whole"], r["whole"] + 1}
+
+
+def test_level_is_that_of_plain_water_filling(spark):
+    import random
+
+    rng = random.Random(3)
+    own = [(f"s{k:03}", rng.choice([1, 10, 100, 10_000])) for k in range(50)]
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(own, "source string, size long")).collect()}
+    w = {s: (3, 1, 2)[k % 3] for k, (s, _) in enumerate(sorted(own))}
+    need, low, high = 1.5 * sum(n for _, n in own), 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * n, mid * w[s]) for s, n in own) < need else (low, mid)
+    assert all(abs(got[s] - min(2 * n, low * w[s])) < 1e-6 * need for s, n in own)
