@@ -112,8 +112,8 @@ FROM f GROUP BY doc_id
 
 def quality_sql() -> str:
     """The quality rules in SQL, with the concentration steps written out."""
-    q, x = quality, quality.X
-    pairs = [(i, j) for i in range(1, 5) for j in range(1, i + 1)]
+    q, x, pairs = quality, quality.X, quality.PAIRS
+    same = lambda a, b: f"{a}.grp IS NOT DISTINCT FROM {b}.grp"
     scale = [(s * q.POINT) ** 2 for s in q.SCALES]
     parts = [
         rf"""w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)""",
@@ -126,44 +126,60 @@ def quality_sql() -> str:
             (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
               - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
             coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id)""",
-        f"""v AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEATED} * n_words AS base_failed, coalesce(lang, '<null>') AS l, coalesce(source, '<null>') AS s,
+        f"""v AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEATED} * n_words AS base_failed,
             floor(ln((word_chars + 500.0::DOUBLE) / (n_words + 100.0::DOUBLE)) * {q.POINT} + 0.5)::BIGINT AS x1,
             floor(sqrt(n_symbols / (n_words + 20.0::DOUBLE)) * {q.POINT} + 0.5)::BIGINT AS x2, floor(sqrt(n_dup_lines / (n_words + 20.0::DOUBLE)) * {q.POINT} + 0.5)::BIGINT AS x3,
             floor(sqrt(n_repeat_words / (n_words + 20.0::DOUBLE)) * {q.POINT} + 0.5)::BIGINT AS x4 FROM b)""",
-        """c AS (SELECT l, s, count(*) AS n FROM v WHERE NOT base_failed GROUP BY l, s)""",
-        f"""pool AS (SELECT l, sum(n) AS pool FROM c WHERE n < {q.MIN_GROUP} GROUP BY l)""",
-        f"""grp AS (SELECT c.l, c.s, CASE WHEN n >= {q.MIN_GROUP} THEN 'ls/' || c.l || '/' || c.s WHEN pool >= {q.MIN_GROUP} THEN 'l/' || c.l ELSE 'all' END AS grp FROM c LEFT JOIN pool ON c.l = pool.l)""",
-        """a AS (SELECT v.*, grp FROM v LEFT JOIN grp ON v.l = grp.l AND v.s = grp.s)""",
-        """u AS (SELECT * FROM a WHERE NOT base_failed)""",
-        "med AS (SELECT grp, count(*) AS n, " + ", ".join(f"quantile_cont({c}, 0.5) AS m{i}" for i, c in enumerate(x, 1)) + " FROM u GROUP BY grp)",
-        "mad AS (SELECT u.grp, " + ", ".join(f"quantile_cont(abs({c} - m{i}), 0.5) AS d{i}" for i, c in enumerate(x, 1)) + " FROM u JOIN med ON u.grp = med.grp GROUP BY u.grp)",
-        "e0 AS (SELECT med.grp, m1, m2, m3, m4, " + ", ".join(f"1.4826::DOUBLE * d{i} * 1.4826::DOUBLE * d{i} + {s!r}::DOUBLE AS v{i}" for i, s in enumerate(scale, 1)) + f" FROM med JOIN mad ON med.grp = mad.grp WHERE n >= {q.MIN_GROUP})",
+        """u AS (SELECT unnest([{'level': 0, 'l': NULL::VARCHAR, 's': NULL::VARCHAR}, {'level': 1, 'l': lang, 's': NULL::VARCHAR}, {'level': 2, 'l': lang, 's': source}]) AS grp, x1, x2, x3, x4 FROM v WHERE NOT base_failed)""",
+        "med AS (SELECT grp, count(*)::DOUBLE AS n, " + ", ".join(f"quantile_cont({c}, 0.5) AS m{i}" for i, c in enumerate(x, 1)) + " FROM u GROUP BY grp)",
+        "mad AS (SELECT u.grp, " + ", ".join(f"quantile_cont(abs({c} - m{i}), 0.5) AS d{i}" for i, c in enumerate(x, 1)) + f" FROM u JOIN med ON {same('u', 'med')} GROUP BY u.grp)",
     ]
+    means, covs = ", ".join(q.MEANS), ", ".join(q.COVARIANCES)
+    state = (*q.MEANS, *q.COVARIANCES, *q.FACTORS, "det")
 
-    def distance(step: int, rows: str) -> list[str]:
-        if not step:
-            total = " + ".join(["0.0::DOUBLE", *[f"({c} - m{i}) * ({c} - m{i}) / v{i}" for i, c in enumerate(x, 1)]])
-            return [f"dist{step}{rows} AS (SELECT {rows}.*, {total} AS d FROM {rows} LEFT JOIN e{step} ON {rows}.grp = e{step}.grp)"]
+    def moments(rows: str, keys: str) -> str:
+        sums = [f"sum({c})::DOUBLE / count(*)::DOUBLE AS m{i}" for i, c in enumerate(x, 1)] + [f"sum({x[i - 1]} * {x[j - 1]})::DOUBLE AS p{i}{j}" for i, j in pairs]
+        inner = f"SELECT {keys}, count(*)::DOUBLE AS n, {', '.join(sums)} FROM {rows} GROUP BY {keys}"
+        return f"SELECT {keys}, {means}, " + ", ".join(f"(p{i}{j} / n - m{i} * m{j}) * {q.CONSISTENCY!r}::DOUBLE AS a{i}{j}" for i, j in pairs) + f" FROM ({inner})"
+
+    def factored(inner: str) -> str:
+        for i, j in pairs:
+            a = f"(a{i}{j}" + (f" + {scale[i - 1]!r}::DOUBLE" if i == j else "") + "".join(f" - c{i}{t} * c{j}{t}" for t in range(1, j)) + ")"
+            inner = f"SELECT *, {f'sqrt{a}' if i == j else f'{a} / c{j}{j}'} AS c{i}{j} FROM ({inner})"
+        return f"SELECT *, c11 * c22 * c33 * c44 AS det FROM ({inner})"
+
+    def distance(rows: str, found: str, on: str, keep: str) -> str:
         made = [f"({c} - m{i}" + "".join(f" - c{i}{k} * y{k}" for k in range(1, i)) + f") / c{i}{i} AS y{i}" for i, c in enumerate(x, 1)]
-        inner = f"SELECT {rows}.*, e{step}.* EXCLUDE (grp), {made[0]} FROM {rows} LEFT JOIN e{step} ON {rows}.grp = e{step}.grp"
+        inner = f"SELECT {keep}, {rows}.x1, {rows}.x2, {rows}.x3, {rows}.x4, {means}, {', '.join(q.FACTORS)}, {made[0]} FROM {rows} LEFT JOIN {found} ON {on}"
         for m in made[1:]:
             inner = f"SELECT *, {m} FROM ({inner})"
-        return [f"dist{step}{rows} AS (SELECT *, 0.0::DOUBLE + y1 * y1 + y2 * y2 + y3 * y3 + y4 * y4 AS d FROM ({inner}))"]
-
+        return f"SELECT *, 0.0::DOUBLE + y1 * y1 + y2 * y2 + y3 * y3 + y4 * y4 AS d FROM ({inner})"
+
+    diagonal = lambda wide: ", ".join(f"{wide(i) if i == j else '0.0::DOUBLE'} AS a{i}{j}" for i, j in pairs)
+    mids = f"FROM med JOIN mad ON {same('med', 'mad')}"
+    starts = f"SELECT med.grp, 0 AS start, {means}, {diagonal(lambda i: f'1.4826::DOUBLE * d{i} * 1.4826::DOUBLE * d{i}')} {mids}"
+    starts += f" UNION ALL SELECT med.grp, 1, {means}, {diagonal(lambda i: '0.0::DOUBLE')} {mids}"
+    starts += f" UNION ALL SELECT grp, 2, {means}, {covs} FROM ({moments('u', 'grp')})"
+    parts.append(f"e0 AS (SELECT * REPLACE ('infinity'::DOUBLE AS det) FROM ({factored(starts)}))")
     for k in range(q.STEPS):
-        parts += distance(k, "u")
-        parts.append(f"b{k} AS (SELECT *, floor(ln(1.0::DOUBLE + d) * 64.0::DOUBLE)::BIGINT AS b FROM dist{k}u WHERE d IS NOT NULL)")
-        parts.append(f"q{k} AS (SELECT grp, quantile_cont(b, {q.SUPPORT}) AS q FROM b{k} GROUP BY grp)")
-        sums = [f"sum({c})::DOUBLE / count(*)::DOUBLE AS m{i}" for i, c in enumerate(x, 1)] + [f"sum({x[i - 1]} * {x[j - 1]})::DOUBLE AS p{i}{j}" for i, j in pairs]
-        inner = f"SELECT b{k}.grp, count(*)::DOUBLE AS n, {', '.join(sums)} FROM b{k} JOIN q{k} ON b{k}.grp = q{k}.grp WHERE b <= q GROUP BY b{k}.grp"
-        for i, j in pairs:
-            a = f"(p{i}{j} / n - m{i} * m{j}) * {q.CONSISTENCY!r}::DOUBLE" + (f" + {scale[i - 1]!r}::DOUBLE" if i == j else "")
-            a = f"({a}" + "".join(f" - c{i}{t} * c{j}{t}" for t in range(1, j)) + ")"
-            inner = f"SELECT *, {f'sqrt{a}' if i == j else f'{a} / c{j}{j}'} AS c{i}{j} FROM ({inner})"
-        parts.append(f"e{k + 1} AS (SELECT grp, m1, m2, m3, m4, {', '.join(f'c{i}{j}' for i, j in pairs)} FROM ({inner}))")
-    parts += distance(q.STEPS, "a")
+        parts.append(f"b{k} AS (SELECT grp, start, x1, x2, x3, x4, floor(ln(1.0::DOUBLE + d) * 64.0::DOUBLE)::BIGINT AS b FROM ({distance('u', f'e{k}', same('u', f'e{k}'), f'u.grp, e{k}.start')}))")
+        parts.append(f"q{k} AS (SELECT grp, start, quantile_cont(b, {q.SUPPORT}) AS q FROM b{k} GROUP BY grp, start)")
+        half = f"(SELECT b{k}.* FROM b{k} JOIN q{k} ON {same(f'b{k}', f'q{k}')} AND b{k}.start = q{k}.start WHERE b <= q)"
+        parts.append(f"n{k} AS ({factored(moments(half, 'grp, start'))})")
+        cols = ", ".join(f"CASE WHEN n{k}.det < e{k}.det THEN n{k}.{c} ELSE e{k}.{c} END AS {c}" for c in state)
+        parts.append(f"e{k + 1} AS (SELECT e{k}.grp, e{k}.start, {cols} FROM e{k} LEFT JOIN n{k} ON {same(f'e{k}', f'n{k}')} AND e{k}.start = n{k}.start)")
+    parts.append(f"best AS (SELECT e.grp, n AS size, {means.replace('m', 'e.m')}, {covs} FROM (SELECT * FROM e{q.STEPS} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY det, start) = 1) e JOIN med ON {same('e', 'med')})")
+    parts.append(f"l0 AS (SELECT * FROM best WHERE grp.level = 0 AND size >= {q.MIN_CORPUS})")
+    for level in (1, 2):
+        up = f"p.grp.l IS NOT DISTINCT FROM b.grp.l" if level == 2 else "true"
+        w = f"(b.size * b.size / (b.size * b.size + {float(q.PRIOR * q.PRIOR)!r}::DOUBLE))"
+        cols = ", ".join(f"b.{c} * {w} + p.{c} * (1.0::DOUBLE - {w}) AS {c}" for c in (*q.MEANS, *q.COVARIANCES))
+        parts.append(f"l{level} AS (SELECT b.grp, b.size, {cols} FROM best b JOIN l{level - 1} p ON {up} WHERE b.grp.level = {level})")
+    parts.append(f"last AS ({factored('SELECT * FROM l2')})")
+    stats = "v.doc_id, v.n_words, v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, v.base_failed"
+    final = distance("v", "last", "v.lang IS NOT DISTINCT FROM last.grp.l AND v.source IS NOT DISTINCT FROM last.grp.s", stats)
     return "WITH " + ",\n".join(p.replace(" AS (", " AS MATERIALIZED (", 1) for p in parts) + f"""
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d <= {q.LIMIT}, true) AS kept FROM dist{q.STEPS}a"""
+SELECT {stats.replace('v.', '')}, NOT base_failed AND coalesce(d <= {q.LIMIT}, true) AS kept FROM ({final})"""
 
 
 def licenses_sql() -> str:
