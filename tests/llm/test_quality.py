@@ -102,5 +102,6 @@ def test_small_groups_are_drawn_to_their_pool(spark):
     rows = [("en", "big", *x(k)) for k in range(2000)] + [("en", f"far{n}", *far(k)) for n in (1, 50, 400) for k in range(n)]
     found = quality.estimate(spark.createDataFrame(rows, "lang string, source string, x1 long, x2 long, x3 long, x4 long"))
     at = {r["grp"]["s"]: r["m1"] for r in found.collect()}
-    assert at["big"] < at["far1"] < at["far50"] < at["far400"] < 12_007
-    assert at["far1"] < 10_000 and at["far400"] > 10_800
+    assert at["far1"] < at["far50"] < at["far400"] < 12_007
+    # the pool's own estimate leaves the far sources out
+    assert abs(at["far1"] - at["big"]) < 50 and at["far400"] > 10_800
