@@ -183,28 +183,30 @@ SELECT {stats.replace('v.', '')}, NOT base_failed AND coalesce(d <= {q.LIMIT}, t
 
 
 def licenses_sql() -> str:
-    """The license scan in SQL: every unit against every template, without anchors."""
+    """The license scan in SQL: every unit against every template of its kind, without anchors."""
     lc = licenses
-    rows = ", ".join(f"({k}, '{name}', '{t}', {c})" for k, (name, v) in enumerate(lc.VECTORS) for t, c in sorted(v.items()))
+    kinds = [(0, lc.TEMPLATES), (1, lc.whole_texts())]
+    rows = ", ".join(f"({kind}, {k}, '{name}', '{' '.join(lc.terms(text))}')" for kind, found in kinds for k, (name, text) in enumerate(found))
     return f"""
-WITH tpl(k, name, term, c) AS (VALUES {rows}),
+WITH texts(kind, k, name, t) AS (VALUES {rows}),
+tpl AS MATERIALIZED (SELECT kind, k, any_value(name) AS name, term, 1 + ln(count(*)) AS c FROM (SELECT kind, k, name, unnest(string_split(t, ' ')) AS term FROM texts) GROUP BY kind, k, term),
 doc AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT count(*) AS n FROM doc),
 held AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS term FROM doc),
-idf AS MATERIALIZED (SELECT v.term, ln((1 + (SELECT n FROM n))::DOUBLE / (1 + count(held.doc_id))::DOUBLE) + 1 AS idf FROM (SELECT DISTINCT term FROM tpl) v LEFT JOIN held ON held.term = v.term GROUP BY v.term),
-len AS (SELECT k, any_value(name) AS name, sqrt(sum(c * c * idf * idf)) AS len FROM tpl JOIN idf ON tpl.term = idf.term GROUP BY k),
-w AS (SELECT doc_id, t, len(regexp_extract_all(lower(t), '[a-z0-9]+')) AS words FROM doc),
-u AS MATERIALIZED (SELECT doc_id, u, row_number() OVER () AS uid FROM (
-    SELECT doc_id, unnest(list_distinct(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\\n[ \\t\\r]*\\n'), CASE WHEN words <= {lc.FILE_WORDS} THEN [t] ELSE [] END))) AS u FROM w)),
-x AS MATERIALIZED (SELECT uid, term, count(*) AS c FROM (SELECT uid, unnest(regexp_extract_all(lower(u), '[a-z0-9]+')) AS term FROM u) GROUP BY uid, term),
-q AS (SELECT uid, sqrt(sum(power(c * coalesce(idf, ln(1 + (SELECT n FROM n)::DOUBLE) + 1), 2))) AS len FROM x LEFT JOIN idf ON x.term = idf.term GROUP BY uid),
-dot AS (SELECT x.uid, tpl.k, sum(x.c * tpl.c * idf * idf) AS dot FROM x JOIN tpl ON x.term = tpl.term JOIN idf ON x.term = idf.term GROUP BY x.uid, tpl.k),
-s AS (SELECT u.doc_id, dot.k, len.name, round(dot / q.len / len.len, 6) AS score FROM dot JOIN q ON dot.uid = q.uid JOIN len ON dot.k = len.k JOIN u ON dot.uid = u.uid),
-own AS MATERIALIZED (SELECT doc_id, arg_max(name, (score, -k)) AS own_license, max(score) AS own_score FROM s WHERE score >= {lc.THRESHOLD} GROUP BY doc_id),
+idf AS MATERIALIZED (SELECT kind, v.term, ln((1 + (SELECT n FROM n))::DOUBLE / (1 + df)::DOUBLE) + 1 AS idf FROM (SELECT DISTINCT kind, term FROM tpl) v
+    JOIN (SELECT v.term, count(held.doc_id) AS df FROM (SELECT DISTINCT term FROM tpl) v LEFT JOIN held ON held.term = v.term GROUP BY v.term) d ON v.term = d.term),
+len AS (SELECT tpl.kind, k, any_value(name) AS name, sqrt(sum(c * c * idf * idf)) AS len FROM tpl JOIN idf ON tpl.kind = idf.kind AND tpl.term = idf.term GROUP BY tpl.kind, k),
+u AS MATERIALIZED (SELECT *, row_number() OVER () AS uid FROM (
+    SELECT doc_id, 0 AS kind, unnest(list_distinct(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\\n[ \\t\\r]*\\n'), [t]))) AS u FROM doc UNION ALL SELECT doc_id, 1, t FROM doc)),
+x AS MATERIALIZED (SELECT uid, any_value(kind) AS kind, term, 1 + ln(count(*)) AS c FROM (SELECT uid, kind, unnest(regexp_extract_all(lower(u), '[a-z0-9]+')) AS term FROM u) GROUP BY uid, term),
+q AS (SELECT uid, sqrt(sum(power(c * coalesce(idf, ln(1 + (SELECT n FROM n)::DOUBLE) + 1), 2))) AS len FROM x LEFT JOIN idf ON x.kind = idf.kind AND x.term = idf.term GROUP BY uid),
+dot AS (SELECT x.uid, x.kind, tpl.k, sum(x.c * tpl.c * idf * idf) AS dot FROM x JOIN tpl ON x.kind = tpl.kind AND x.term = tpl.term JOIN idf ON x.kind = idf.kind AND x.term = idf.term GROUP BY x.uid, x.kind, tpl.k),
+s AS (SELECT u.doc_id, dot.kind, dot.k, len.name, round(dot / q.len / len.len, 6) AS score FROM dot JOIN q ON dot.uid = q.uid JOIN len ON dot.kind = len.kind AND dot.k = len.k JOIN u ON dot.uid = u.uid),
+own AS MATERIALIZED (SELECT doc_id, arg_max(name, (score, kind, -k)) AS own_license, max(score) AS own_score FROM s WHERE score >= {lc.THRESHOLD} GROUP BY doc_id),
 f AS MATERIALIZED (SELECT d.doc_id, own_license, own_score, (d.doc_id // 1000)::VARCHAR AS a, (d.doc_id // 1000)::VARCHAR || '/' || (d.doc_id // 100)::VARCHAR AS b,
     CASE WHEN d.doc_id % 1000 = 0 THEN (d.doc_id // 1000)::VARCHAR || '/LICENSE' WHEN d.doc_id % 100 = 0 THEN (d.doc_id // 1000)::VARCHAR || '/' || (d.doc_id // 100)::VARCHAR || '/LICENSE'
     ELSE (d.doc_id // 1000)::VARCHAR || '/' || (d.doc_id // 100)::VARCHAR || '/' || d.doc_id::VARCHAR || '.txt' END AS path FROM doc d LEFT JOIN own ON d.doc_id = own.doc_id),
-g AS MATERIALIZED (SELECT regexp_replace(path, '/[^/]*$', '') AS up, own_license AS given FROM f WHERE path LIKE '%/LICENSE' AND own_license IS NOT NULL)
+g AS MATERIALIZED (SELECT regexp_replace(path, '/[^/]*$', '') AS up, coalesce(own_license, '{lc.UNKNOWN}') AS given FROM f WHERE path LIKE '%/LICENSE')
 SELECT f.doc_id, f.own_license, f.own_score, f.path, coalesce(f.own_license, CASE WHEN f.doc_id % 1000 <> 0 THEN gb.given END, ga.given) AS license,
     CASE WHEN f.own_license IS NULL THEN coalesce(CASE WHEN f.doc_id % 1000 <> 0 THEN gb.up END, ga.up) END AS inherited_from
 FROM f LEFT JOIN g ga ON ga.up = f.a LEFT JOIN g gb ON gb.up = f.b
