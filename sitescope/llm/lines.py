@@ -7,6 +7,10 @@ index is three tables in the shared folder:
 - refs: the exact table, for each key the number of its documents and the largest doc_id that holds it;
 - filters: for each shard of the key space a cuckoo filter of the keys with at least ``min_docs`` documents.
 
+An insertion or deletion writes only what it changes: further postings with a sign, and new versions of the touched counts.
+Tables of BATCHES changes are read together and then written as one. A shard's filter that gets fuller than it was made for
+is built anew from the exact table, with room for twice its keys; the others take the changes.
+
 A line has to be looked up in the exact table only if its shard's filter knows it. Cuckoo filters forget, so deleting
 documents lowers the counts, takes the keys that are no longer repeated out of the filters, and gives the lines back.
 """
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +32,8 @@ from .files import new_name, open_store
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Shards at least, and repeated keys in the filter of a shard, about.
 SHARDS, SHARD_KEYS = 16, 500_000
+#: Changes after which the tables of an index are written anew as one.
+BATCHES = 8
 #: Parts into which the postings of a shard are dealt: a line that is in most documents must not meet in one task.
 SLICES = 64
 
@@ -57,6 +64,11 @@ class CuckooFilter:
         with np.errstate(over="ignore"):
             return ((print_.astype(np.uint64) * self.MIX) >> np.uint64(20)) & mask
 
+    @property
+    def room(self) -> int:
+        """Keys for which the filter is made."""
+        return int(self.buckets.size * 0.8)
+
     def contains(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         f, a, b = self._of(hi, lo)
         found = (self.buckets[a] == f[:, None]).any(1) | (self.buckets[b] == f[:, None]).any(1)
@@ -64,11 +76,28 @@ class CuckooFilter:
             found |= np.fromiter(((int(x), int(min(y, z))) in self.stash for x, y, z in zip(f, a, b, strict=True)), bool, len(f))
         return found
 
+    def _slots(self, at: np.ndarray, f: np.ndarray, free: bool) -> tuple[np.ndarray, np.ndarray]:
+        """For each entry a slot of its own in its bucket that is free (or holds its fingerprint), and whether there is one."""
+        order = np.lexsort((f, at)) if not free else np.argsort(at, kind="stable")
+        a, g = at[order], f[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | ((g[1:] != g[:-1]) & (not free))][: len(a)]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+        fits = self.buckets[a] == (0 if free else g[:, None])
+        chosen = fits & (fits.cumsum(1) == (np.arange(len(a)) - first + 1)[:, None])
+        slot, found = np.empty(len(a), np.int64), np.empty(len(a), bool)
+        slot[order], found[order] = chosen.argmax(1), chosen.any(1)
+        return slot, found
+
     def insert(self, hi: np.ndarray, lo: np.ndarray) -> None:
+        """All entries at once where a bucket of theirs has room; the others move entries about, one by one."""
         mask = np.uint64(len(self.buckets) - 1)
-        for f, a, b in zip(*self._of(hi, lo), strict=True):
-            if self._put(a, f) or self._put(b, f):
-                continue
+        f, a, b = self._of(hi, lo)
+        for side in (0, 1):
+            at = (a, b)[side]
+            slot, found = self._slots(at, f, True)
+            self.buckets[at[found], slot[found]] = f[found]
+            f, a, b = f[~found], a[~found], b[~found]
+        for f, a in zip(f, a, strict=True):
             at = a
             for kick in range(self.KICKS):
                 slot = (int(f) + kick) % self.SLOTS
@@ -88,18 +117,18 @@ class CuckooFilter:
 
     def delete(self, hi: np.ndarray, lo: np.ndarray) -> None:
         """Takes one entry of each key out; only keys that were inserted may be deleted."""
-        for f, a, b in zip(*self._of(hi, lo), strict=True):
-            key = (int(f), int(min(a, b)))
-            for at in (a, b):
-                held = np.flatnonzero(self.buckets[at] == f)
-                if len(held):
-                    self.buckets[at, held[0]] = 0
-                    break
+        f, a, b = self._of(hi, lo)
+        for side in (0, 1):
+            at = (a, b)[side]
+            slot, found = self._slots(at, f, False)
+            self.buckets[at[found], slot[found]] = 0
+            f, a, b = f[~found], a[~found], b[~found]
+        for x, y, z in zip(f, a, b, strict=True):
+            key = (int(x), int(min(y, z)))
+            if self.stash.get(key, 0) > 1:
+                self.stash[key] -= 1
             else:
-                if self.stash.get(key, 0) > 1:
-                    self.stash[key] -= 1
-                else:
-                    self.stash.pop(key, None)
+                self.stash.pop(key, None)
 
     def to_bytes(self) -> bytes:
         extra = np.array([[*k, n] for k, n in self.stash.items()], np.int64).reshape(-1, 3)
@@ -144,13 +173,39 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 @dataclass
 class LineIndex:
-    postings: DataFrame  # hi, lo, doc_id
-    refs: DataFrame  # hi, lo, refs, keeper
-    filters: dict[int, str]  # shard -> file
+    changes: list[DataFrame]  # hi, lo, doc_id, sign
+    versions: list[DataFrame]  # hi, lo, refs, keeper, version
+    filters: dict[int, tuple[str, int]]  # shard -> file and the keys it has room for
     folder: str
     min_docs: int = MIN_DOCS
     shards: int = SHARDS
 
+    @property
+    def postings(self) -> DataFrame:
+        """(hi, lo, doc_id) as the changes have left them."""
+        if len(self.changes) == 1:
+            return self.changes[0].drop("sign")
+        found = reduce(DataFrame.unionByName, self.changes).groupBy("hi", "lo", "doc_id").agg(F.sum("sign").alias("sign"))
+        return found.where("sign > 0").drop("sign")
+
+    @property
+    def refs(self) -> DataFrame:
+        """(hi, lo, refs, keeper) of the keys that documents hold."""
+        if len(self.versions) == 1:
+            return self.versions[0].drop("version")
+        found = reduce(DataFrame.unionByName, self.versions).groupBy("hi", "lo").agg(F.max_by(F.struct("refs", "keeper"), "version").alias("last"))
+        return found.select("hi", "lo", "last.*").where("refs > 0")
+
+    def with_(self, postings: DataFrame, sign: int, refs: DataFrame) -> LineIndex:
+        """The index with further changes; both tables are written as one when there are BATCHES of them."""
+        changes = [*self.changes, table(postings.select("hi", "lo", "doc_id", F.lit(sign).alias("sign")), "line-changes")]
+        versions = [*self.versions, table(refs.select("hi", "lo", "refs", "keeper", F.lit(len(self.versions)).alias("version")), "line-versions")]
+        out = LineIndex(changes, versions, dict(self.filters), self.folder, self.min_docs, self.shards)
+        if len(changes) > BATCHES:
+            out.changes = [table(out.postings.withColumn("sign", F.lit(1)), "line-changes")]
+            out.versions = [table(out.refs.withColumn("version", F.lit(0)), "line-versions")]
+        return out
+
 
 def _shard(shards: int):
     return F.pmod(F.xxhash64("hi", "lo"), F.lit(shards)).cast("int")
@@ -160,9 +215,9 @@ def _count(posts: DataFrame) -> DataFrame:
     return posts.groupBy("hi", "lo").agg(F.count("*").alias("refs"), F.max("doc_id").alias("keeper"))
 
 
-def _filters(changes: DataFrame, index: LineIndex) -> dict[int, str]:
-    """Applies changes (hi, lo, up) to the filters and writes the new ones; returns their files, one for each shard."""
-    uri, old = index.folder, dict(index.filters)
+def _filters(changes: DataFrame, index: LineIndex, fresh: set[int] = frozenset()) -> dict[int, tuple[str, int]]:
+    """Applies changes (hi, lo, up) to the filters and writes the new ones; those of ``fresh`` shards start empty."""
+    uri, old = index.folder, {n: file for n, (file, _) in index.filters.items() if n not in fresh}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(uri)
@@ -176,14 +231,14 @@ def _filters(changes: DataFrame, index: LineIndex) -> dict[int, str]:
                 with store.open_input_stream(f"{path}/{old[now]}", compression=None) as f:
                     own = CuckooFilter.from_bytes(f.read())
             else:
-                own = CuckooFilter(int(up.sum()))
+                own = CuckooFilter(int(up.sum()) * (2 if now in fresh else 1))
             own.delete(hi[~up], lo[~up])
             own.insert(hi[up], lo[up])
             name = new_name(f"filter-{now}", "bin")
             store.create_dir(path, recursive=True)
             with store.open_output_stream(f"{path}/{name}", compression=None) as f:
                 f.write(own.to_bytes())
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([name])], ["shard", "file"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([name]), pa.array([own.room], pa.int64())], ["shard", "file", "room"])
 
         for b in batches:
             shards = b.column(0).to_numpy()
@@ -198,16 +253,17 @@ def _filters(changes: DataFrame, index: LineIndex) -> dict[int, str]:
             yield close()
 
     rows = changes.select(_shard(index.shards).alias("shard"), "hi", "lo", "up").repartition("shard").sortWithinPartitions("shard")
-    return old | {r["shard"]: r["file"] for r in rows.mapInArrow(run, "shard int, file string").collect()}  # one row for each shard
+    made = rows.mapInArrow(run, "shard int, file string, room long").collect()  # one row for each shard
+    return index.filters | {r["shard"]: (r["file"], r["room"]) for r in made}
 
 
 def build(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int = SHARDS) -> LineIndex:
     """The index of a whole table."""
     spark = docs.sparkSession
-    posts = table(postings(docs, min_chars).select("hi", "lo", "doc_id").distinct(), "line-postings")
-    refs = table(_count(posts), "line-refs")
+    posts = table(postings(docs, min_chars).select("hi", "lo", "doc_id").distinct().withColumn("sign", F.lit(1)), "line-postings")
+    refs = table(_count(posts).withColumn("version", F.lit(0)), "line-refs")
     repeated = refs.where(F.col("refs") >= min_docs)
-    index = LineIndex(posts, refs, {}, scratch_path(spark, "line-filters"), min_docs, max(shards, repeated.count() // SHARD_KEYS))
+    index = LineIndex([posts], [refs], {}, scratch_path(spark, "line-filters"), min_docs, max(shards, repeated.count() // SHARD_KEYS))
     index.filters = _filters(repeated.withColumn("up", F.lit(True)), index)
     return index
 
@@ -216,32 +272,39 @@ def insert(index: LineIndex, docs: DataFrame, min_chars: int = MIN_CHARS) -> Lin
     """The index with further documents (documents that it holds already change nothing)."""
     new = postings(docs, min_chars).select("hi", "lo", "doc_id").distinct()
     new = table(new.join(index.postings, ["hi", "lo", "doc_id"], "left_anti"), "line-new")
-    return _moved(index, table(index.postings.unionByName(new), "line-postings"), new)
+    more = _count(new).select("hi", "lo", F.col("refs").alias("more"), F.col("keeper").alias("last"))
+    refs = more.join(index.refs, ["hi", "lo"], "left").select("hi", "lo", (F.coalesce("refs", F.lit(0)) + F.col("more")).alias("refs"), F.greatest("keeper", "last").alias("keeper"))
+    return _moved(index, index.with_(new, 1, refs), new)
 
 
 def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     """The index without the documents of ``doc_ids`` (doc_id): lines that they made repeated are given back."""
     gone = doc_ids.select("doc_id").distinct()
-    old = table(index.postings.join(gone, "doc_id", "left_semi"), "line-gone")
-    return _moved(index, table(index.postings.join(gone, "doc_id", "left_anti").select("hi", "lo", "doc_id"), "line-postings"), old)
+    old = table(index.postings.join(gone, "doc_id", "left_semi").select("hi", "lo", "doc_id"), "line-gone")
+    touched = old.select("hi", "lo").distinct()
+    left = index.postings.join(gone, "doc_id", "left_anti").join(touched, ["hi", "lo"], "left_semi")
+    refs = touched.join(_count(left), ["hi", "lo"], "left").withColumn("refs", F.coalesce("refs", F.lit(0)))
+    return _moved(index, index.with_(old, -1, refs), old)
 
 
-def _moved(index: LineIndex, posts: DataFrame, changed: DataFrame) -> LineIndex:
+def _moved(before: LineIndex, after: LineIndex, changed: DataFrame) -> LineIndex:
+    """``after`` with its filters: keys that have become repeated are put in, those that no longer are are taken out."""
     touched = changed.select("hi", "lo").distinct()
-    again = table(_count(posts.join(touched, ["hi", "lo"], "left_semi")), "line-counted")
-    refs = table(index.refs.join(touched, ["hi", "lo"], "left_anti").unionByName(again), "line-refs")
-    was = index.refs.select("hi", "lo", F.col("refs").alias("was"))
-    both = touched.join(again, ["hi", "lo"], "left").join(was, ["hi", "lo"], "left")
-    up = F.coalesce(F.col("refs") >= index.min_docs, F.lit(False))
-    moved = both.select("hi", "lo", up.alias("up"), F.coalesce(F.col("was") >= index.min_docs, F.lit(False)).alias("had")).where("up <> had")
-    out = LineIndex(posts, refs, dict(index.filters), index.folder, index.min_docs, index.shards)
-    out.filters = _filters(moved.select("hi", "lo", "up"), out)
-    return out
+    repeated = lambda index, name: index.refs.join(touched, ["hi", "lo"], "left_semi").select("hi", "lo", (F.col("refs") >= index.min_docs).alias(name))
+    both = touched.join(repeated(after, "up"), ["hi", "lo"], "left").join(repeated(before, "had"), ["hi", "lo"], "left").na.fill(False, ["up", "had"])
+    moved = table(both.where("up <> had").select("hi", "lo", "up"), "line-moved")
+    held = after.refs.where(F.col("refs") >= after.min_docs)
+    sizes = held.groupBy(_shard(after.shards).alias("shard")).agg(F.count("*").alias("n")).collect()  # one row for each shard
+    fresh = {r["shard"] for r in sizes if r["n"] > after.filters.get(r["shard"], ("", 0))[1]}
+    own = _shard(after.shards).isin(list(fresh))
+    rows = moved.where(~own).unionByName(held.where(own).select("hi", "lo", F.lit(True).alias("up"))) if fresh else moved
+    after.filters = _filters(rows, after, fresh)
+    return after
 
 
 def known(index: LineIndex, posts: DataFrame) -> DataFrame:
     """The postings that the filters know: all repeated ones, and a few others by chance."""
-    uri, files, shards = index.folder, dict(index.filters), index.shards
+    uri, files, shards = index.folder, {n: file for n, (file, _) in index.filters.items()}, index.shards
     kind = posts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,8 +341,9 @@ def dropped(index: LineIndex) -> DataFrame:
 def rewrite(docs: DataFrame, index: LineIndex, min_chars: int = MIN_CHARS) -> DataFrame:
     """Every row without its text as the struct ``doc``, with n_lines, n_dropped and the text that is kept.
 
-    Null and empty texts are one empty line and stay as they are. Rows that repeat a doc_id are one document. The text goes to
-    Python and back once.
+    Null and empty texts are one empty line and stay as they are. Rows that repeat a doc_id are one document; of the documents
+    that share a line the largest doc_id keeps it, in each of its rows. Very long texts are split whole, SLICE_ROWS texts at a
+    time; an empty table gives no rows; columns may have any names. The text goes to Python and back once.
     """
     lost = dropped(index).withColumnRenamed("doc_id", "lost_id")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]

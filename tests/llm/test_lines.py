@@ -70,3 +70,36 @@ def test_cuckoo_filter(keys, capacity):
     assert f.contains(hi[half:], lo[half:]).all()
     f.delete(hi[half:], lo[half:])
     assert not f.buckets.any() and not f.stash
+
+
+def test_filters_grow(spark):
+    """Many insertions: filters are built anew before they are full, tables are written as one, and nothing is forgotten."""
+    text = lambda i: "\n".join(f"shared line number {k} of some length" for k in range(i // 5 * 40 + 40))
+    docs = [spark.createDataFrame([(i, text(i)) for i in range(a, a + 5)], "doc_id long, text string") for a in range(0, 50, 5)]
+    index = lines.build(docs[0], shards=2)
+    first = dict(index.filters)
+    for d in docs[1:]:
+        index = lines.insert(index, d)
+    assert len(index.changes) < lines.BATCHES and all(index.filters[n][1] > first[n][1] for n in first)
+    store, path = lines.open_store(index.folder)
+    for file, room in index.filters.values():
+        with store.open_input_stream(f"{path}/{file}", compression=None) as f:
+            own = lines.CuckooFilter.from_bytes(f.read())
+        assert not own.stash and np.count_nonzero(own.buckets) <= room
+    whole = lines.build(spark.createDataFrame([(i, text(i)) for i in range(50)], "doc_id long, text string"), shards=2)
+    state = lambda x: {(r["doc_id"], (k["hi"], k["lo"])) for r in lines.dropped(x).collect() for k in r["keys"]}
+    assert state(index) == state(whole)
+    few = lines.delete(index, spark.range(3, 50).withColumnRenamed("id", "doc_id"))
+    assert state(few) == state(lines.build(docs[0].where("doc_id < 3"), shards=2))
+
+
+def test_insertion_in_bulk():
+    """A filter filled to its room needs no stash, and holds every key."""
+    rng = np.random.default_rng(1)
+    hi, lo = (rng.integers(0, 2**64, 100_000, dtype=np.uint64) for _ in range(2))
+    f = lines.CuckooFilter(100_000)
+    for k in range(0, 100_000, 9_000):
+        f.insert(hi[k : k + 9_000], lo[k : k + 9_000])
+    assert f.contains(hi, lo).all() and not f.stash
+    f.delete(hi[::2], lo[::2])
+    assert f.contains(hi[1::2], lo[1::2]).all() and np.count_nonzero(f.buckets) == 50_000
