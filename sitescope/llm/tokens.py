@@ -92,12 +92,16 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text, pair by pair: the best score first, the leftmost among equals."""
-        parts, score = list(text), self.pieces.get
-        while len(parts) > 1:
-            best, at = min((score(a + b, float("inf")), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == float("inf"):
-                break
+        none, score = float("inf"), self.pieces.get
+        parts = list(text)
+        scores = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := min(scores)) < none:
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            for k in (at - 1, at):
+                if 0 <= k < len(scores):
+                    scores[k] = score(parts[k] + parts[k + 1], none)
         return parts
 
     def agree(self, before: str, piece: str) -> bool:
