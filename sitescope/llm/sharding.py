@@ -1,9 +1,12 @@
 """Sharding by a k-d tree over document metadata with weighted medians.
 
-Every document is a point: its language, its source and the logarithm of its size, each a code of 16 bits; 12 further bits
-from a hash of doc_id part the documents of one code, so that no language or source is too large to split. A node that
-stands for k shards is split along its widest dimension where the bytes of the lower side reach floor(k/2)/k of its own, and
-so on until every leaf is one shard with the target bytes.
+Every document is a point: its language and its source, each by its place in the order of code points, and the logarithm of
+its size, codes of 12 bits. Further bits part the documents of one code, so that no language or source is too large to split:
+8 from a hash of the text, then 10 from one of doc_id. Equal texts take the smallest language and source among them, so they
+are one point but for the last bits, and stay together unless a median falls on them: a group larger than a shard is split
+exactly, a small one only if it shares the bits of a median's text. A node that stands for k shards is split along its widest
+dimension where the bytes of the lower side reach floor(k/2)/k of its own, and so on until every leaf is one shard with the
+target bytes.
 
 Medians come from histograms of all nodes of a level at once, refined in three steps of 1024 buckets, over cells (documents
 with equal points, added up). The driver sees bucket sums, at most nodes x 1024 of them, and keeps one threshold for each
@@ -17,12 +20,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import join_small, ordinals, table, text_of
 
 SHARDS = 40
 OVERHEAD = 16
-CODE_BITS, SPREAD_BITS, STEP_BITS = 16, 12, 10
-KEY_BITS = CODE_BITS + SPREAD_BITS
+CODE_BITS, TEXT_BITS, DOC_BITS, STEP_BITS = 12, 8, 10, 10
+KEY_BITS = CODE_BITS + TEXT_BITS + DOC_BITS
 DIMENSIONS = ("by_lang", "by_source", "by_size")
 #: Groups in which the documents of a shard are numbered.
 SLOT_GROUPS = 256
@@ -42,16 +45,30 @@ class Split(NamedTuple):
     right: Node
 
 
+def _coded(rows: DataFrame, column: str) -> DataFrame:
+    """Adds ``column``_code: the place of the value in the order of code points, null last, stretched over the codes."""
+    known = table(ordinals(rows.select(column).distinct(), [F.col(column).asc_nulls_last()], "k"), "shard-codes")
+    code = F.floor(F.col("k") * F.lit(1 << CODE_BITS) / F.lit(max(1, known.count()))).cast("long")
+    return join_small(rows, known.select(column, code.alias(f"{column}_code")), [column], spread="doc_id")
+
+
 def points(docs: DataFrame, columns: tuple[Column, ...] = ()) -> DataFrame:
-    """doc_id, size, the keys of the dimensions and further columns. Null lang, source, text and doc_id have points like any other value."""
+    """doc_id, size, the keys of the dimensions and further columns.
+
+    Null lang, source and doc_id are values like any other, null text is empty; repeated rows are equal points.
+    """
     size = (F.octet_length(text_of()) + OVERHEAD).cast("long")
-    code = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << CODE_BITS))
-    spread = lambda d: F.pmod(F.xxhash64("doc_id", F.lit(d)), F.lit(1 << SPREAD_BITS))
-    key = lambda d, c: (c * (1 << SPREAD_BITS) + spread(d)).cast("long").alias(d)
+    rows = docs.select("doc_id", "lang", "source", size.alias("size"), F.xxhash64(text_of()).alias("text_hash"), *columns)
+    further = [F.col(c) for c in rows.columns[5:]]
+    several = rows.groupBy("text_hash").agg(F.count("*").alias("n"), F.min(F.struct("lang", "source")).alias("first")).where("n > 1").select("text_hash", "first")
+    rows = join_small(rows, table(several, "shard-groups"), ["text_hash"], spread="doc_id")
+    same = lambda c: F.when(F.col("first").isNotNull(), F.col(f"first.{c}")).otherwise(F.col(c)).alias(c)
+    rows = rows.select("doc_id", same("lang"), same("source"), "size", "text_hash", *further)
+    rows = _coded(_coded(rows, "lang"), "source")
+    spread = F.pmod("text_hash", F.lit(1 << TEXT_BITS)) * (1 << DOC_BITS) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << DOC_BITS))
+    key = lambda d, c: (c * (1 << (TEXT_BITS + DOC_BITS)) + spread).cast("long").alias(d)
     log = F.least(F.floor(F.log2("size") * (1 << (CODE_BITS - 5))), F.lit((1 << CODE_BITS) - 1))
-    rows = docs.select("doc_id", "lang", "source", size.alias("size"), *columns)
-    further = [F.col(c) for c in rows.columns[4:]]
-    return rows.select("doc_id", "size", key("by_lang", code("lang")), key("by_source", code("source")), key("by_size", log), *further)
+    return rows.select("doc_id", "size", key("by_lang", F.col("lang_code")), key("by_source", F.col("source_code")), key("by_size", log), *further)
 
 
 def place(splits: list[Split], shards: bool = False) -> Column:
@@ -148,7 +165,11 @@ def assign(points: DataFrame, splits: list[Split]) -> DataFrame:
 
 
 def shard_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard. An empty table gives no rows; repeated rows get slots of their own."""
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
+
+    Null and empty texts have OVERHEAD bytes; very long ones are weighed whole and go where they bring the sides nearest; ties
+    go to one side; repeated rows get slots of their own. An empty table gives no rows; other columns may have any names.
+    """
     rows = points(docs, (F.crc32(F.encode(text_of(), "UTF-8")).alias("text_crc32"),))
     rows = table(rows, "shard-points")
     out = assign(rows, build(rows, shards))

@@ -46,3 +46,35 @@ def test_hot_text_is_split(spark):
 def test_files(spark, odd, tmp_path):
     sharding.write_shards(odd.drop("doc"), str(tmp_path / "s"), 5)
     assert spark.read.parquet(str(tmp_path / "s")).count() == odd.count()
+
+
+def brute_tree(rows, first, shards):
+    """{row: shard} by splitting sorted points at their weighted median, one node after another."""
+    if shards == 1 or not rows:
+        return {r["row"]: first for r in rows}
+    d = max(sharding.DIMENSIONS, key=lambda d: max(r[d] for r in rows) - min(r[d] for r in rows))
+    left, total = shards // 2, sum(r["size"] for r in rows)
+    goal, below, cut = total * left / shards, 0, None
+    for key in sorted({r[d] for r in rows}):
+        own = sum(r["size"] for r in rows if r[d] == key)
+        if below + own > goal:
+            cut = key + 1 if abs(below + own - goal) < abs(below - goal) else key
+            break
+        below += own
+    lower, upper = [r for r in rows if r[d] < cut], [r for r in rows if r[d] >= cut]
+    return brute_tree(lower, first, left) | brute_tree(upper, first + left, shards - left)
+
+
+def test_tree_against_brute_force(spark):
+    """Every document is in the shard that exact medians, found node by node, give it."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    own = sharding.points(docs).collect()
+    want = brute_tree([r.asDict() | {"row": k} for k, r in enumerate(own)], 0, 13)
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard_report(docs, 13).collect()}
+    assert got == {r["doc_id"]: want[k] for k, r in enumerate(own)}
+
+
+def test_equal_texts_stay_together(spark):
+    docs = spark.read.parquet(DATA.replace("0.001", "0.01") + "/documents.parquet")
+    groups = sharding.shard_report(docs).groupBy("text_crc32").agg(F.count("*").alias("n"), F.count_distinct("shard").alias("shards")).where("n > 1").collect()
+    assert len(groups) > 50 and sum(r["shards"] > 1 for r in groups) <= 0.1 * len(groups)
