@@ -17,7 +17,9 @@ associatively, so chunks of a text are counted anywhere, in any order, and compo
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -29,7 +31,7 @@ from .common import sliced, table, text_of
 #: Code points in a chunk.
 CHUNK = 1 << 14
 #: Transitions kept at most.
-TRANSITIONS = 1 << 19
+TRANSITIONS = 3 << 18
 LIMIT = 4096
 
 
@@ -165,6 +167,17 @@ class Transducer:
         return self.count(m.head) + m.count + self.count(m.tail)
 
 
+def machine_of(path: str) -> Transducer:
+    """The machine of this worker process: workers outlive tasks, so what one task has compiled serves the next ones.
+
+    It is held in a module of its own, as the globals of functions that travel by value are made anew for each task.
+    """
+    kept = sys.modules.setdefault("_token_machines", ModuleType("_token_machines"))
+    if not hasattr(kept, path):
+        setattr(kept, path, Transducer(path))
+    return getattr(kept, path)
+
+
 MAP = "cut boolean, head string, count long, tail string"
 
 
@@ -184,7 +197,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT,
     rows = rows.select("doc_id", "n_bytes", "row", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part"))
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(path)
+        machine = machine_of(path)
         for batch in sliced(batches):
             out = []
             for alone, part in zip(batch.column(3), batch.column(5), strict=True):
@@ -195,7 +208,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT,
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *own], [*batch.schema.names[:5], "cut", "head", "count", "tail"])
 
     def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(path)
+        machine = machine_of(path)
         for batch in sliced(batches):
             found = [machine.total(machine.scan([Map(x["cut"], x["head"], x["count"], x["tail"]) for x in xs])) for xs in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
