@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 
 # Organisation types, and (required, recommended) properties by type.
 ORGANISATIONS = (
-    "Organization", "EducationalOrganization", "CollegeOrUniversity", "School", "HighSchool", "ElementarySchool",
-    "Corporation", "LocalBusiness", "GovernmentOrganization", "NGO", "ResearchOrganization", "NewsMediaOrganization",
+    "Organization", "EducationalOrganization", "CollegeOrUniversity", "School", "HighSchool", "MiddleSchool",
+    "ElementarySchool", "Preschool", "Corporation", "NGO", "GovernmentOrganization", "LocalBusiness",
 )
 REQUIREMENTS = {
     **{t: (("name",), ("url", "logo", "address", "contactPoint", "sameAs")) for t in ORGANISATIONS},

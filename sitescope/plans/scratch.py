@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset (tests)."""
+    """spark.checkpoint.dir, or a local folder where that is unset and the master is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sitescope.scratch.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
         found = "file://" + tempfile.mkdtemp(prefix="sitescope-")
         spark.conf.set("sitescope.scratch.dir", found)
     return found.rstrip("/")

@@ -1,7 +1,7 @@
 """Queries over the test tables, each with its SQL: QUERIES and SQL by name."""
 
-from . import crawl, issues, records, search, textual
+from . import crawl, issues, records, schema, search, textual
 
-PARTS = (crawl, textual, issues, search, records)
+PARTS = (crawl, textual, issues, search, records, schema)
 QUERIES = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in PARTS for k, v in p.SQL.items()}
