@@ -78,6 +78,6 @@ def render(title: str, sentences: list[str], sections: dict[str, DataFrame]) ->
     body = "".join(f"<p>{html.escape(s)}</p>" for s in sentences)
     for name, df in sections.items():
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        rows = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in df.limit(100).collect())
+        rows = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in df.collect())
         body += f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{rows}</table>"
     return page.substitute(title=html.escape(title), body=body)

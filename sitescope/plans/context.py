@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from .scratch import table
 from .settings import FAILED_FETCHES, Settings
 
 
@@ -94,6 +95,6 @@ def depths(root: str, edges: DataFrame, max_depth: int) -> DataFrame:
     seen = front = spark.createDataFrame([(root, 0)], "url string, depth int")
     for d in range(1, max_depth + 1):
         front = edges.join(front, F.col("source") == F.col("url")).select(F.col("target").alias("url")).distinct()
-        front = front.join(seen, "url", "left_anti").withColumn("depth", F.lit(d))
+        front = table(front.join(seen, "url", "left_anti").withColumn("depth", F.lit(d)), "depths")
         seen = seen.unionByName(front)
     return seen

@@ -11,11 +11,21 @@ from pyspark.sql import functions as F
 from ..plans.scratch import table
 
 
-def failures_in_window(events: DataFrame, key: str, at: str, seconds: int, limit: int) -> DataFrame:
-    """Adds the failures of the last ``seconds`` of an event's key, and whether it is blocked. For landed events."""
-    by = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    n = F.count("*").over(by)
-    return events.withColumn("failures", n).withColumn("blocked", n >= limit)
+def failures_in_window(events: DataFrame, key: str, at: str, seconds: int, limit: int, ok: str | None = None, tie: str | None = None) -> DataFrame:
+    """Adds the failures of the last ``seconds`` of an event's key, and whether it is blocked. For landed events.
+
+    With ``ok``, a success forgets the failures before it, as in the stream; events of one time are taken in the order ``tie``.
+    """
+    time = F.unix_micros(F.col(at).cast("timestamp"))
+    if ok is None:
+        by = Window.partitionBy(key).orderBy(time).rangeBetween(-seconds * 1_000_000, 0)
+        n = F.count("*").over(by)
+        return events.withColumn("failures", n).withColumn("blocked", n >= limit)
+    before = Window.partitionBy(key).orderBy(time, tie or ok).rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumn("__since", F.count_if(ok).over(before))
+    by = Window.partitionBy(key, "__since").orderBy(time).rangeBetween(-seconds * 1_000_000, 0)
+    n = F.when(F.col(ok), F.lit(0)).otherwise(F.count_if(~F.col(ok)).over(by))
+    return rows.withColumn("failures", n).withColumn("blocked", n >= limit).drop("__since")
 
 
 def failure_limiter(stream: DataFrame, seconds: int, limit: int) -> DataFrame:
