@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,24 +13,26 @@ from ..plans.scratch import table
 from .graph import connected_components
 from .rules import group_findings, json
 
-DISTANCE, BANDS, OVERLAP = 3, 4, 0.8
+DISTANCE, AGREE, OVERLAP = 3, 3, 0.8
 
 
 def near_classes(classes: DataFrame, distance: int = DISTANCE, bits: int = 64) -> DataFrame:
     """(x, y) of distinct fingerprints (h) x < y that differ in at most ``distance`` bits.
 
-    Such fingerprints agree in one of distance + 1 bands: they are joined on their bands, and a pair is kept only at the
-    first band that it shares, so that no distinct is needed.
+    Of distance + AGREE bands such fingerprints share AGREE at least: they are joined on each choice of that many, some 30
+    bits for a distance of 3. A pair is kept only at the first choice that it shares, so that no distinct is needed.
     """
-    bands, width = distance + 1, bits // (distance + 1)
-    part = lambda c, k: F.shiftrightunsigned(c, k * width).bitwiseAND((1 << width) - 1)
-    rows = classes.select("h", F.inline(F.array(*[F.struct(F.lit(k).alias("band"), part(F.col("h"), k).alias("v")) for k in range(bands)])))
-    pairs = rows.withColumnRenamed("h", "x").join(rows.withColumnRenamed("h", "y"), ["band", "v"]).where("x < y")
+    bands = distance + AGREE
+    cuts = [bits * k // bands for k in range(bands + 1)]
+    part = lambda c, k: F.shiftrightunsigned(c, cuts[k]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1)
+    choices = list(combinations(range(bands), AGREE))
+    keys = [F.struct(F.lit(i).alias("choice"), F.xxhash64(*[part(F.col("h"), k) for k in own]).alias("v")) for i, own in enumerate(choices)]
+    rows = table(classes.select("h", F.inline(F.array(*keys))), "near-keys")
+    pairs = rows.withColumnRenamed("h", "x").join(rows.withColumnRenamed("h", "y"), ["choice", "v"]).where("x < y")
     pairs = pairs.where(text.hamming(F.col("x"), F.col("y")) <= distance)
-    before = F.lit(False)
-    for k in range(bands):
-        before = before | ((F.col("band") > k) & (part(F.col("x"), k) == part(F.col("y"), k)))
-    return pairs.where(~before).select("x", "y")
+    shared = F.filter(F.array(*[F.when(part(F.col("x"), k) == part(F.col("y"), k), F.lit(k)) for k in range(bands)]), lambda k: k.isNotNull())
+    first = F.array(*[F.array(*[F.lit(k) for k in own]) for own in choices])
+    return pairs.where(F.slice(shared, 1, AGREE) == F.get(first, F.col("choice"))).select("x", "y")
 
 
 def near_pairs(hashes: DataFrame, key: str, value: str, distance: int = DISTANCE, bits: int = 64) -> DataFrame:

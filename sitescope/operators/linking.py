@@ -13,6 +13,7 @@ from ..plans.scratch import table
 # Phrases that name no topic; limits of suggestions.
 GENERIC = ("home", "home page", "welcome", "about", "about us", "contact", "contact us", "news", "events", "read more", "click here", "page not found")
 PER_TARGET, TOTAL, AROUND = 3, 500, 80
+PARTS = 64
 
 
 def linking_sources(links: DataFrame, pages: DataFrame, limit: int = 10) -> DataFrame:
@@ -51,12 +52,19 @@ def phrases(headings: Column, title: Column, suffix: Column) -> Column:
     return F.filter(own, lambda p, i: F.array_position(low, F.lower(p)) == i + 1)
 
 
+def word_pairs(words: Column) -> Column:
+    """Distinct hashes of neighbouring words."""
+    return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
+
+
 def suggest(pages: DataFrame, links: DataFrame, root_url: str, min_inlinks: int = 3) -> DataFrame:
     """(source_url, target_url, anchor_text, snippet, relevance): texts that name a page's topic and do not link to it.
 
-    Each distinct phrase is matched once, and only with texts that hold its rarest word. Its sources are ranked, and a target
-    asks for as many of the first ones as can be in its way (itself, sources that link to it already, those it has by an
-    earlier phrase) and three more: pages that share a phrase do not multiply with the texts that hold it.
+    Each distinct phrase is matched once, and only with texts that hold its rarest pair of neighbouring words: pairs are
+    joined by hash with ids alone, and texts only with what is left. Its sources are ranked, and a target asks for as many of
+    the first ones as can be in its way (itself, sources that link to it already, those it has by an earlier phrase) and three
+    more: pages that share a phrase do not multiply with the texts that hold it. Ranks are given within parts of a phrase
+    first, so that no task sorts all texts that hold a frequent one.
     """
     own = pages.where("indexable")
     suffix = text.common_title_suffix(own)
@@ -65,28 +73,32 @@ def suggest(pages: DataFrame, links: DataFrame, root_url: str, min_inlinks: int
     wanted = wanted.select(F.col("id").alias("target_id"), F.col("url").alias("target_url"), "important", F.posexplode(phrases(F.col("headings"), F.col("title"), F.col("suffix"))).alias("phrase_no", "phrase"))
     wanted = table(wanted.withColumn("phrase", F.lower("phrase")).withColumn("words", text.tokens(F.col("phrase"))), "suggest-phrases")
 
-    asked = wanted.select("phrase", "words").distinct()
-    known = asked.select(F.explode("words").alias("w")).distinct()
-    held = own.select(F.col("id").alias("source_id"), F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("w"))
-    use = held.join(known, "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
-    rare = table(asked.select("phrase", F.explode("words").alias("w")).join(use, "w").groupBy("phrase").agg(F.min_by("w", F.struct("n", "w")).alias("w")), "suggest-rare")
+    asked = wanted.select("phrase", F.explode(word_pairs(F.col("words"))).alias("g")).distinct()
+    held = own.select(F.col("id").alias("source_id"), F.explode(word_pairs(text.tokens(F.lower("text")))).alias("g"))
+    held = table(held.join(asked.select("g").distinct(), "g", "left_semi"), "suggest-pairs")
+    use = held.groupBy("g").agg(F.count("*").alias("n"))
+    rare = asked.join(use, "g", "left").groupBy("phrase").agg(F.min_by(F.struct("g", "n"), F.struct(F.coalesce("n", F.lit(0)), "g")).alias("r"))
+    rare = rare.where("r.n IS NOT NULL").select("phrase", "r.g")
     source = own.select(F.col("id").alias("source_id"), F.col("url").alias("source_url"), F.col("text").alias("t"), F.coalesce("depth", F.lit(99)).alias("d"), F.col("inlinks_count").alias("links_in"))
-    near = source.withColumn("w", F.explode(F.array_distinct(text.tokens(F.col("t"))))).join(rare, "w")
+    near = held.join(rare, "g").select("source_id", "phrase").join(source, "source_id")
     quoted = F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace("phrase", r"([.+*?^${}()|\[\]\\])", r"\\$1"), F.lit(r"(?!\w)"))
-    near = near.where(F.contains(F.lower("t"), F.col("phrase"))).withColumn("rx", quoted).where(F.expr("t RLIKE rx"))
-    found, start = F.expr("regexp_extract(t, rx, 0)"), F.expr("regexp_instr(t, rx)")
+    near = near.where(F.contains(F.lower("t"), F.col("phrase"))).withColumn("rx", quoted).withColumn("start", F.expr("regexp_instr(t, rx)")).where("start > 0")
+    found, start = F.expr("regexp_extract(t, rx, 0)"), F.col("start")
     left, right = F.greatest(start - AROUND, F.lit(1)), start + F.length(found) + AROUND - 1
     snippet = F.concat(F.when(left > 1, "…").otherwise(""), F.trim(F.substring(F.col("t"), left, right - left + 1)), F.when(right < F.length("t"), "…").otherwise(""))
-    order = Window.partitionBy("phrase").orderBy("d", F.desc("links_in"), "source_url")
-    near = near.select("phrase", "source_id", "source_url", "d", "links_in", found.alias("anchor_text"), snippet.alias("snippet"))
-    near = table(near.withColumn("r", F.row_number().over(order)), "suggest-sources")
+    near = table(near.select("phrase", "source_id", "source_url", "d", "links_in", found.alias("anchor_text"), snippet.alias("snippet")), "suggest-sources")
 
     linked = table(links.where("target_id IS NOT NULL").select("source_id", "target_id").distinct(), "suggest-links")
     passed = linked.join(wanted.select("target_id", "phrase_no", "phrase"), "target_id").join(near.select("phrase", "source_id"), ["phrase", "source_id"])
     passed = passed.groupBy("target_id", "phrase_no").agg(F.count("*").alias("passed"))
-    asks = wanted.join(passed, ["target_id", "phrase_no"], "left")
-    asks = asks.withColumn("r", F.explode(F.sequence(F.lit(1), 2 * PER_TARGET + F.coalesce(F.col("passed"), F.lit(0)).cast("int"))))
-    hits = asks.join(near, ["phrase", "r"]).where("source_id <> target_id").join(linked, ["source_id", "target_id"], "left_anti")
+    asks = wanted.join(passed, ["target_id", "phrase_no"], "left").withColumn("need", 2 * PER_TARGET + F.coalesce(F.col("passed"), F.lit(0)).cast("int"))
+    asks = table(asks, "suggest-asks")
+    order = (F.col("d"), F.desc("links_in"), F.col("source_url"))
+    ranked = near.join(asks.groupBy("phrase").agg(F.max("need").alias("most")), "phrase").withColumn("part", F.pmod(F.xxhash64("source_id"), F.lit(PARTS)))
+    for keys in (["phrase", "part"], ["phrase"]):
+        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("r <= most")
+    hits = asks.withColumn("r", F.explode(F.sequence(F.lit(1), "need"))).join(ranked.drop("part", "most"), ["phrase", "r"])
+    hits = hits.where("source_id <> target_id").join(linked, ["source_id", "target_id"], "left_anti")
     # a source counts once for a target, with its first phrase
     once = Window.partitionBy("target_id", "source_id").orderBy("phrase_no")
     best = Window.partitionBy("target_id").orderBy("phrase_no", "r")
