@@ -60,14 +60,15 @@ def title_suffix_candidates(title: Column) -> Column:
     return F.filter(F.array(*last), lambda x: x.isNotNull())
 
 
-def common_title_suffix(pages: DataFrame, title: str = "title") -> DataFrame:
-    """One row: the suffix that at least half of the titles (and two) share, or null. Ties: the smallest in code points."""
-    titles = pages.where(F.col(title) != "").select(F.col(title).alias("t"))
-    total = titles.agg(F.count("*").alias("n"))
-    hits = titles.select(F.explode(title_suffix_candidates(F.col("t"))).alias("suffix")).groupBy("suffix").agg(F.count("*").alias("hits"))
-    best = hits.agg(F.min(F.struct((-F.col("hits")).alias("h"), "suffix")).alias("b"))
+def common_title_suffix(pages: DataFrame, title: str = "title", keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each value of ``keys``): the suffix that at least half of the titles (and two) share, or null. Ties: the smallest in code points."""
+    titles = pages.where(F.col(title) != "").select(*keys, F.col(title).alias("t"))
+    total = titles.groupBy(*keys).agg(F.count("*").alias("n"))
+    hits = titles.select(*keys, F.explode(title_suffix_candidates(F.col("t"))).alias("suffix")).groupBy(*keys, "suffix").agg(F.count("*").alias("hits"))
+    best = hits.groupBy(*keys).agg(F.min(F.struct((-F.col("hits")).alias("h"), "suffix")).alias("b"))
     enough = (F.col("n") >= 2) & (-F.col("b.h") >= F.greatest(F.lit(2.0), F.col("n") / 2.0))
-    return best.join(F.broadcast(total), F.lit(True)).select(F.when(enough, F.col("b.suffix")).alias("suffix"))  # two tables of one row
+    both = total.join(best, list(keys)) if keys else best.join(F.broadcast(total), F.lit(True))  # without keys: two tables of one row
+    return both.select(*keys, F.when(enough, F.col("b.suffix")).alias("suffix"))
 
 
 def strip_suffix(title: Column, suffix: Column) -> Column:

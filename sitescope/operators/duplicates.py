@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..functions.urls import group_subject
+from ..functions import text, urls
 from ..plans.scratch import table
 from .graph import connected_components
-from .rules import group_findings, json
+from .rules import digests, group_findings, grouped, json
 
 DISTANCE, AGREE, OVERLAP = 3, 3, 0.8
 
 
-def near_classes(classes: DataFrame, distance: int = DISTANCE, bits: int = 64) -> DataFrame:
-    """(x, y) of distinct fingerprints (h) x < y that differ in at most ``distance`` bits.
+def near_classes(classes: DataFrame, distance: int = DISTANCE, bits: int = 64, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, x, y) of distinct fingerprints (h) x < y with equal ``keys`` that differ in at most ``distance`` bits.
 
     Of distance + AGREE bands such fingerprints share AGREE at least: they are joined on each choice of that many, some 30
     bits for a distance of 3. A pair is kept only at the first choice that it shares, so that no distinct is needed.
@@ -26,13 +25,13 @@ def near_classes(classes: DataFrame, distance: int = DISTANCE, bits: int = 64) -
     cuts = [bits * k // bands for k in range(bands + 1)]
     part = lambda c, k: F.shiftrightunsigned(c, cuts[k]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1)
     choices = list(combinations(range(bands), AGREE))
-    keys = [F.struct(F.lit(i).alias("choice"), F.xxhash64(*[part(F.col("h"), k) for k in own]).alias("v")) for i, own in enumerate(choices)]
-    rows = table(classes.select("h", F.inline(F.array(*keys))), "near-keys")
-    pairs = rows.withColumnRenamed("h", "x").join(rows.withColumnRenamed("h", "y"), ["choice", "v"]).where("x < y")
+    values = [F.struct(F.lit(i).alias("choice"), F.xxhash64(*[part(F.col("h"), k) for k in own]).alias("v")) for i, own in enumerate(choices)]
+    rows = table(classes.select(*keys, "h", F.inline(F.array(*values))), "near-keys")
+    pairs = rows.withColumnRenamed("h", "x").join(rows.withColumnRenamed("h", "y"), [*keys, "choice", "v"]).where("x < y")
     pairs = pairs.where(text.hamming(F.col("x"), F.col("y")) <= distance)
     shared = F.filter(F.array(*[F.when(part(F.col("x"), k) == part(F.col("y"), k), F.lit(k)) for k in range(bands)]), lambda k: k.isNotNull())
     first = F.array(*[F.array(*[F.lit(k) for k in own]) for own in choices])
-    return pairs.where(F.slice(shared, 1, AGREE) == F.get(first, F.col("choice"))).select("x", "y")
+    return pairs.where(F.slice(shared, 1, AGREE) == F.get(first, F.col("choice"))).select(*keys, "x", "y")
 
 
 def near_pairs(hashes: DataFrame, key: str, value: str, distance: int = DISTANCE, bits: int = 64) -> DataFrame:
@@ -49,82 +48,94 @@ def near_pairs(hashes: DataFrame, key: str, value: str, distance: int = DISTANCE
 
 
 def groups_of(members: DataFrame, edges: DataFrame, alone: DataFrame | None = None) -> DataFrame:
-    """(label, members) from (k, node) and edges between nodes: keys whose nodes are connected, sorted; label is the first.
+    """(label, k, n) of the rows (k, node) whose nodes are connected by ``edges``: the group's first key, a key, their number.
 
     Nodes stand for any number of keys; ``alone`` names nodes that are a group by themselves. Nodes are numbered by a hash.
+    A row is a member: no row holds a group.
     """
     number = F.xxhash64("node")
     found = connected_components(edges.select(F.xxhash64("x").alias("a"), F.xxhash64("y").alias("b")))
     if alone is not None:
         own = alone.select(number.alias("node")).distinct().join(found.select("node"), "node", "left_anti")
         found = found.unionByName(own.withColumn("label", F.col("node")))
-    found = table(found.withColumnRenamed("node", "number"), "groups")
-    out = members.withColumn("number", number).join(found, "number").groupBy("label").agg(F.array_sort(F.collect_list("k")).alias("members"))
-    return out.where(F.size("members") > 1).select(F.col("members")[0].alias("label"), "members")
+    found = table(found.select(F.col("node").alias("number"), F.col("label").alias("component")), "groups")
+    named = table(members.select("k", number.alias("number")).join(found, "number").select("component", "k"), "group-members")
+    sizes = table(named.groupBy("component").agg(F.min("k").alias("label"), F.count("*").alias("n")).where("n > 1"), "group-sizes")
+    return named.join(sizes, "component").select("label", "k", "n")
 
 
 def near_groups(hashes: DataFrame, key: str, value: str, distance: int = DISTANCE, bits: int = 64) -> DataFrame:
-    """(label, members) of keys with near fingerprints; keys with one fingerprint are one node."""
+    """(label, k, n) of keys with near fingerprints; keys with one fingerprint are one node."""
     rows = table(hashes.select(F.col(key).alias("k"), F.col(value).alias("node")).where("node IS NOT NULL"), "fingerprints")
     classes = rows.groupBy(F.col("node").alias("h")).agg(F.count("*").alias("n"))
     return groups_of(rows, near_classes(classes.select("h"), distance, bits), classes.where("n > 1").select(F.col("h").alias("node")))
 
 
-def near_duplicates(pages: DataFrame) -> DataFrame:
-    """(label, members, pairs) of indexable pages with nearly the same text, but not the same.
+def _key() -> Column:
+    """A page of a crawl."""
+    return F.struct("crawl_job_id", "url")
 
-    A node is a text (its hash), however many pages have it. Texts with one fingerprint are tied to the first of them; texts
-    of near fingerprints by these first ones. ``pairs`` shows up to twenty of the ties by their first pages.
+
+def near_duplicates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups (label, k, n) of indexable pages of a crawl with nearly the same text, but not the same, and (label, pairs).
+
+    A key is (crawl_job_id, url). A node is a text (its hash) in a crawl, however many pages have it. Texts with one
+    fingerprint are tied to the first of them; texts of near fingerprints by these first ones. ``pairs`` shows up to twenty
+    of the ties by their first pages.
     """
-    rows = table(pages.where("indexable").select(F.col("url").alias("k"), F.coalesce("content_hash", F.concat(F.lit("url:"), "url")).alias("node"), text.simhash("text").alias("h")).where("h IS NOT NULL"), "simhash")
-    texts = rows.groupBy("node", "h").agg(F.min("k").alias("url"))
-    first = table(texts.groupBy("h").agg(F.min("node").alias("x"), F.min_by("url", "node").alias("a")), "simhash-classes")
-    same = texts.join(first, "h").where("node <> x").select("x", F.col("node").alias("y"), "a", F.col("url").alias("b"), F.lit(0).alias("distance"))
-    near = near_classes(first.select("h")).join(first.select(F.col("h").alias("x"), F.col("x").alias("n1"), "a"), "x").join(first.select(F.col("h").alias("y"), F.col("x").alias("n2"), F.col("a").alias("b")), "y")
+    crawl = ("crawl_job_id",)
+    rows = pages.where("indexable").select(*crawl, _key().alias("k"), F.struct(*crawl, F.coalesce("content_hash", F.concat(F.lit("url:"), "url")).alias("hash")).alias("node"), text.simhash("text").alias("h"))
+    rows = table(rows.where("h IS NOT NULL"), "simhash")
+    texts = rows.groupBy(*crawl, "node", "h").agg(F.min("k").alias("k"))
+    first = table(texts.groupBy(*crawl, "h").agg(F.min("node").alias("x"), F.min_by("k", "node").alias("a")), "simhash-classes")
+    same = texts.join(first, [*crawl, "h"]).where("node <> x").select("x", F.col("node").alias("y"), "a", F.col("k").alias("b"), F.lit(0).alias("distance"))
+    side = lambda h, n, k: first.select(*crawl, F.col("h").alias(h), F.col("x").alias(n), F.col("a").alias(k))
+    near = near_classes(first.select(*crawl, "h"), keys=crawl).join(side("x", "n1", "a"), [*crawl, "x"]).join(side("y", "n2", "b"), [*crawl, "y"])
     near = near.where("n1 <> n2").select(F.col("n1").alias("x"), F.col("n2").alias("y"), "a", "b", text.hamming(F.col("x"), F.col("y")).alias("distance"))
     ties = table(same.unionByName(near), "near-ties")
-    found = groups_of(rows.select("k", "node"), ties.select("x", "y"))
-    shown = ties.select("a", "b", F.floor(100.0 * (64 - F.col("distance")) / 64 + 0.5).cast("int").alias("similarity"))
-    by = found.select("label", F.explode("members").alias("a")).join(shown, "a").groupBy("label").agg(F.slice(F.array_sort(F.collect_list(F.struct("a", "b", "similarity"))), 1, 20).alias("pairs"))
-    return found.join(by, "label")
+    found = table(groups_of(rows.select("k", "node"), ties.select("x", "y")), "near-groups")
+    shown = ties.select(F.col("a").alias("k"), F.col("a.url").alias("a"), F.col("b.url").alias("b"), F.floor(100.0 * (64 - F.col("distance")) / 64 + 0.5).cast("int").alias("similarity"))
+    shown = found.select("label", "k").distinct().join(shown, "k").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("a", "b", "similarity"))).where("r <= 20")
+    return found, shown.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("a", "b", "similarity"))).alias("pairs"))
 
 
-def topic_pairs(rows: DataFrame, least: float = OVERLAP) -> DataFrame:
-    """(a, b, overlap) of keys whose word sets have a Jaccard index of ``least`` or more, from (k, words).
+def topic_pairs(rows: DataFrame, least: float = OVERLAP, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, overlap) of k with equal ``keys`` whose word sets have a Jaccard index of ``least`` or more, from (keys, k, words).
 
     Sets that overlap so much share a word among their rarest ones (prefix filter): only these are joined.
     """
-    rows = rows.select("k", F.array_distinct("words").alias("words")).where(F.size("words") >= 2)
+    rows = rows.select(*keys, "k", F.array_distinct("words").alias("words")).where(F.size("words") >= 2)
     use = rows.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    each = rows.select("k", F.size("words").alias("size"), F.explode("words").alias("w")).join(use, "w")
-    ordered = each.groupBy("k", "size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
+    each = rows.select(*keys, "k", F.size("words").alias("size"), F.explode("words").alias("w")).join(use, "w")
+    ordered = each.groupBy(*keys, "k", "size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
     prefix = F.size("o") - F.ceil(F.lit(least) * F.size("o")).cast("int") + 1
-    keyed = table(ordered.select("k", "size", F.transform("o", lambda x: x["w"]).alias("words"), F.transform(F.slice("o", 1, prefix), lambda x: x["w"]).alias("first")), "topics")
-    left = keyed.select(F.col("k").alias("a"), F.col("words").alias("wa"), F.explode("first").alias("w"))
-    right = keyed.select(F.col("k").alias("b"), F.col("words").alias("wb"), F.explode("first").alias("w"))
-    hits = left.join(right, "w").where("a < b").where((F.size("wa") * least <= F.size("wb")) & (F.size("wb") * least <= F.size("wa")))
+    keyed = table(ordered.select(*keys, "k", "size", F.transform("o", lambda x: x["w"]).alias("words"), F.transform(F.slice("o", 1, prefix), lambda x: x["w"]).alias("first")), "topics")
+    left = keyed.select(*keys, F.col("k").alias("a"), F.col("words").alias("wa"), F.explode("first").alias("w"))
+    right = keyed.select(*keys, F.col("k").alias("b"), F.col("words").alias("wb"), F.explode("first").alias("w"))
+    hits = left.join(right, [*keys, "w"]).where("a < b").where((F.size("wa") * least <= F.size("wb")) & (F.size("wb") * least <= F.size("wa")))
     both = F.size(F.array_intersect("wa", "wb"))
     hits = hits.withColumn("overlap", both / (F.size("wa") + F.size("wb") - both)).where(F.col("overlap") >= least)
     return hits.select("a", "b", "overlap").distinct()
 
 
 def topic_words(pages: DataFrame) -> DataFrame:
-    """(url, words): tokens of the title without the site's name and of the main headings of indexable pages."""
+    """(k, hash, words): tokens of the title without the site's name and of the main headings of indexable pages."""
     own = pages.where("indexable")
-    suffix = text.common_title_suffix(own)
+    suffix = text.common_title_suffix(own, keys=("crawl_job_id",))
     heads = F.array_join(F.transform(F.filter("headings", lambda h: h["level"] == 1), lambda h: h["text"]), " ")
     words = F.array_distinct(text.tokens(F.concat_ws(" ", text.strip_suffix(F.col("title"), F.col("suffix")), heads)))
-    return own.join(F.broadcast(suffix), F.lit(True)).select(F.col("url").alias("k"), "content_hash", words.alias("words"))  # one row
+    return own.join(suffix, "crawl_job_id", "left").select(_key().alias("k"), F.coalesce("content_hash", F.lit("")).alias("hash"), words.alias("words"))
 
 
 def topic_overlaps(pages: DataFrame) -> DataFrame:
-    """(label, members) of pages about one topic whose texts differ.
+    """(label, k, n) of pages of a crawl about one topic whose texts differ; a key is (crawl_job_id, url).
 
-    A node is a set of words, however many pages have it; a pair of nodes counts unless all their pages have one text.
+    A node is a set of words in a crawl, however many pages have it; a pair of nodes counts unless all their pages have one text.
     """
-    rows = table(topic_words(pages).where(F.size("words") >= 2).select("k", F.coalesce("content_hash", F.lit("")).alias("hash"), F.array_join(F.array_sort("words"), " ").alias("node")), "topic-words")
+    crawl = F.col("k.crawl_job_id").alias("crawl_job_id")
+    rows = table(topic_words(pages).where(F.size("words") >= 2).select("k", "hash", F.struct(crawl, F.array_join(F.array_sort("words"), " ").alias("words")).alias("node")), "topic-words")
     nodes = table(rows.groupBy("node").agg(F.min("hash").alias("low"), F.max("hash").alias("high")), "topic-nodes")
-    pairs = topic_pairs(nodes.select(F.col("node").alias("k"), F.split("node", " ").alias("words")))
+    pairs = topic_pairs(nodes.select(F.col("node").alias("k"), F.split("node.words", " ").alias("words"), F.col("node.crawl_job_id").alias("crawl_job_id")), keys=("crawl_job_id",))
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("low").alias(f"{side}_low"), F.col("high").alias(f"{side}_high")), side)
     one = (F.col("a_low") == F.col("a_high")) & (F.col("b_low") == F.col("b_high")) & (F.col("a_low") == F.col("b_low"))
@@ -132,9 +143,12 @@ def topic_overlaps(pages: DataFrame) -> DataFrame:
 
 
 def findings(pages: DataFrame) -> DataFrame:
-    """Near-duplicate and topic findings, as rules of group scope."""
-    near = near_duplicates(pages).withColumn("urls", F.col("members"))
-    near = group_findings(near, "content.near_duplicate", F.left(F.sha2(F.array_join("urls", "\x1f"), 256), F.lit(16)), json(pairs=F.col("pairs")))
-    topic = topic_overlaps(pages).withColumn("urls", F.col("members"))
-    topic = group_findings(topic, "content.topic_overlap", group_subject(F.lit("topic"), F.array_join("urls", "\x1f")), json(pages=F.size("urls")))
-    return near.unionByName(topic)
+    """Near-duplicate and topic findings, as rules of group scope: the first addresses of each group, and the count of all."""
+    keys = ["crawl_job_id", "label"]
+    near, pairs = near_duplicates(pages)
+    parts = []
+    for found in (near, topic_overlaps(pages)):
+        rows = table(found.select("label", "k.crawl_job_id", "k.url"), "similar")
+        parts.append(grouped(rows, keys, least=2).join(digests(rows, keys), keys))
+    near = group_findings(parts[0].join(pairs, "label"), "content.near_duplicate", F.col("subject"), json(pairs=F.col("pairs")))
+    return near.unionByName(group_findings(parts[1], "content.topic_overlap", urls.group_subject(F.lit("topic"), F.col("subject")), json(pages=F.col("n"))))

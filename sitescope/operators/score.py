@@ -21,31 +21,31 @@ def severity_rank(severity: str = "severity") -> Column:
 
 
 def denominators(pages: DataFrame) -> DataFrame:
-    """One row: pages, and pages that can be analysed."""
-    return pages.agg(F.count("*").alias("pages"), F.count_if("analysable").alias("html"))
+    """A row for each crawl: pages, and pages that can be analysed."""
+    return pages.groupBy("crawl_job_id").agg(F.count("*").alias("pages"), F.count_if("analysable").alias("html"))
 
 
 def category_scores(findings: DataFrame, totals: DataFrame, weights: dict = SEVERITY_WEIGHTS) -> DataFrame:
-    """(category, pages_considered, penalty, score) of all categories; null score where no page can be judged.
+    """(crawl_job_id, category, pages_considered, penalty, score) of all categories of every crawl in ``totals``; null score where no page can be judged.
 
     A rule's penalty is rounded to four digits before the penalties of a category are added.
     """
     cats = findings.sparkSession.createDataFrame([(c, k) for k, c in enumerate(CATEGORIES)], "category string, category_order int")
-    cats = cats.join(F.broadcast(totals), F.lit(True)).select("category", "category_order", F.when(F.col("category") == "technical", F.col("pages")).otherwise(F.col("html")).alias("n"))
+    cats = totals.join(F.broadcast(cats), F.lit(True)).select("crawl_job_id", "category", "category_order", F.when(F.col("category") == "technical", F.col("pages")).otherwise(F.col("html")).alias("n"))
     share = F.when(F.col("scope") == "site", F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("affected_page_count") / F.col("n")))
-    rows = findings.join(F.broadcast(cats), "category").where("n > 0").withColumn("penalty", lookup(F.col("severity"), weights) * share)
-    rules = rows.groupBy("category", "rule_id").agg(half_up(F.least(F.lit(1.0), F.sum("penalty")), 4).alias("penalty"))
-    sums = rules.groupBy("category").agg(F.least(F.lit(1.0), F.sum("penalty")).alias("penalty"))
-    out = cats.join(sums, "category", "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
+    rows = findings.join(cats, ["crawl_job_id", "category"]).where("n > 0").withColumn("penalty", lookup(F.col("severity"), weights) * share)
+    rules = rows.groupBy("crawl_job_id", "category", "rule_id").agg(half_up(F.least(F.lit(1.0), F.sum("penalty")), 4).alias("penalty"))
+    sums = rules.groupBy("crawl_job_id", "category").agg(F.least(F.lit(1.0), F.sum("penalty")).alias("penalty"))
+    out = cats.join(sums, ["crawl_job_id", "category"], "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
     score = F.when(F.col("n") > 0, half_up(100.0 * (1.0 - F.col("penalty")), 1))
-    return out.select("category", F.col("n").alias("pages_considered"), "penalty", score.alias("score"))
+    return out.select("crawl_job_id", "category", F.col("n").alias("pages_considered"), "penalty", score.alias("score"))
 
 
 def overall(scores: DataFrame, weights: dict = CATEGORY_WEIGHTS) -> DataFrame:
-    """One row: the weighted mean of the categories that have a score."""
+    """A row for each crawl: the weighted mean of the categories that have a score."""
     w = lookup(F.col("category"), {k: float(v) for k, v in weights.items()})
     rows = scores.withColumn("w", w).where("score IS NOT NULL AND w > 0")
-    return rows.agg(F.when(F.sum("w") > 0, half_up(F.sum(F.col("score") * F.col("w")) / F.sum("w"), 1)).alias("overall"))
+    return rows.groupBy("crawl_job_id").agg(F.when(F.sum("w") > 0, half_up(F.sum(F.col("score") * F.col("w")) / F.sum("w"), 1)).alias("overall"))
 
 
 def priority(findings: DataFrame, total_pages: Column, important: Column, grouped: Column) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..plans.batches import map_rows
+
 # Organisation types, and (required, recommended) properties by type.
 ORGANISATIONS = (
     "Organization", "EducationalOrganization", "CollegeOrUniversity", "School", "HighSchool", "MiddleSchool",
@@ -67,22 +67,8 @@ def check(structured: dict | None) -> list[dict]:
 
 
 def check_pages(pages: DataFrame) -> DataFrame:
-    """(url, format, types, valid, errors, warnings) of pages with the struct structured_data."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{"url": u} | c for u, s in zip(b["url"], b["structured_data"], strict=True) for c in check(_plain(s))]
-            yield pd.DataFrame(rows, columns=["url", "format", "types", "valid", "errors", "warnings"])
-
-    return pages.select("url", "structured_data").mapInPandas(run, f"url string, {CHECK}")
-
-
-def _plain(value):
-    """Nested rows and arrays as dicts and lists."""
-    if hasattr(value, "asDict"):
-        value = value.asDict()
-    if isinstance(value, dict):
-        return {k: _plain(v) for k, v in value.items()}
-    if isinstance(value, (list, tuple)) or hasattr(value, "tolist") and not isinstance(value, (str, bytes)):
-        return [_plain(v) for v in (value.tolist() if hasattr(value, "tolist") else value)] if not isinstance(value, (bool, int, float)) and getattr(value, "ndim", 1) else value
-    return value
+    """(crawl_job_id where there is one, url, format, types, valid, errors, warnings) of pages with the struct structured_data."""
+    keys = [f for f in pages.schema if f.name in ("crawl_job_id", "url")]
+    names = [f.name for f in keys]
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys)
+    return map_rows(pages.select(*names, "structured_data"), lambda r: [{k: r[k] for k in names} | c for c in check(r["structured_data"])], f"{own}, {CHECK}")

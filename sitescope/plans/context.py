@@ -11,6 +11,9 @@ from ..functions import urls
 from .scratch import table
 from .settings import FAILED_FETCHES, Settings
 
+#: A side is broadcast only if it was counted and has at most so many rows.
+BROADCAST_ROWS = 50_000
+
 
 def analysable() -> Column:
     ok = F.col("fetch_status").isin("fetched", "not_modified") & F.col("status_code").between(200, 299)
@@ -49,7 +52,7 @@ def content_types(settings: Settings, url: str = "url") -> Column:
 
 @dataclass
 class Context:
-    """``pages`` and ``links`` of one crawl and ``job``, one row of crawl facts."""
+    """``pages`` and ``links`` of one or more crawls of a site, and ``job``, one row of facts for each crawl."""
 
     pages: DataFrame
     links: DataFrame
@@ -62,8 +65,10 @@ class Context:
         rows = rows.withColumn("indexable", F.col("analysable") & ~F.coalesce("is_noindex", F.lit(False)) & ~F.col("elsewhere"))
         return cls(rows, links, job, settings)
 
-    def one_job(self, *columns: Column) -> DataFrame:
-        return self.job.select(*columns).limit(1)
+    def beside_job(self, rows: DataFrame, *columns: Column) -> DataFrame:
+        """``rows`` with columns of their crawl's facts; these are broadcast only where they were counted and are few."""
+        facts = self.job.select(F.col("id").alias("crawl_job_id"), *columns)
+        return rows.join(F.broadcast(facts) if facts.count() <= BROADCAST_ROWS else facts, "crawl_job_id", "left")
 
 
 def page_limit_reached() -> Column:

@@ -158,7 +158,7 @@ def title_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shared(column: str, rule: str, severity: str) -> str:
     norm = rf"lower(trim(regexp_replace(coalesce({column}, ''), '\s+', ' ', 'g')))"
-    return f"SELECT '{rule}' AS rule_id, '{severity}' AS severity, count(DISTINCT url)::INT AS affected_page_count, string_agg(DISTINCT url, ' ' ORDER BY url) AS urls FROM ctx WHERE indexable AND {norm} <> '' GROUP BY {norm} HAVING count(DISTINCT url) > 1"
+    return f"SELECT '{rule}' AS rule_id, '{severity}' AS severity, count(DISTINCT url)::INT AS affected_page_count, array_to_string(list_sort(list_distinct(list(url)))[1:200], ' ') AS urls FROM ctx WHERE indexable AND {norm} <> '' GROUP BY {norm} HAVING count(DISTINCT url) > 1"
 
 
 def content_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ def content_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONTENT_DUPLICATES = rf"""WITH {SIM_CTX}, k AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || {HOST} || coalesce(nullif(regexp_replace(lower({PATH}), '/+$', ''), ''), '/') AS key FROM ctx)
-SELECT 'content.duplicate' AS rule_id, 'medium' AS severity, count(DISTINCT url)::INT AS affected_page_count, string_agg(DISTINCT url, ' ' ORDER BY url) AS urls FROM k WHERE indexable AND content_hash IS NOT NULL AND word_count > 0 GROUP BY content_hash HAVING count(DISTINCT url) > 1 AND count(DISTINCT key) > 1"""
+SELECT 'content.duplicate' AS rule_id, 'medium' AS severity, count(DISTINCT url)::INT AS affected_page_count, array_to_string(list_sort(list_distinct(list(url)))[1:200], ' ') AS urls FROM k WHERE indexable AND content_hash IS NOT NULL AND word_count > 0 GROUP BY content_hash HAVING count(DISTINCT url) > 1 AND count(DISTINCT key) > 1"""
 
 
 def canonical_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,8 @@ def sitemap_bad_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SITEMAP_BAD = f"""WITH {SIM_CTX}, b AS (SELECT DISTINCT url FROM ctx WHERE in_sitemap AND (coalesce(status_code >= 400, false) OR redirected OR (analysable AND is_noindex) OR (analysable AND elsewhere)))
-SELECT 'tech.sitemap_bad_urls' AS rule_id, substr(sha256(string_agg(url, chr(31) ORDER BY url)), 1, 16) AS subject, count(*)::INT AS affected_page_count, string_agg(url, ' ' ORDER BY url) AS urls FROM b"""
+p AS (SELECT substr(md5(url), 1, 3) AS part, sha256(string_agg(url, chr(31) ORDER BY url)) AS hash FROM b GROUP BY 1)
+SELECT 'tech.sitemap_bad_urls' AS rule_id, (SELECT substr(sha256(string_agg(hash, chr(31) ORDER BY part)), 1, 16) FROM p) AS subject, count(*)::INT AS affected_page_count, array_to_string(list_sort(list(url))[1:200], ' ') AS urls FROM b"""
 
 
 def broken_link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,12 +56,12 @@ NEAR = f"WITH {SHINGLES} SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.si
 def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = text.md5_simhash(read(spark, sf_dir, "documents"), "doc_id", "text")
     found = duplicates.near_groups(rows, "doc_id", "simhash", bits=60)
-    return found.select("label", F.size("members").alias("members"), F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("doc_ids"))
+    return found.select("label", F.col("k").alias("doc_id"), F.col("n").alias("members"))
 
 
 NEAR_GROUPS = f"""WITH RECURSIVE {SHINGLES}, p AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM h x JOIN h y ON x.doc_id <> y.doc_id WHERE bit_count(xor(x.simhash, y.simhash)) <= 3),
 r(node, seen) AS (SELECT DISTINCT a, a FROM p UNION SELECT p.b, r.seen FROM r JOIN p ON p.a = r.node), l AS (SELECT node, min(seen) AS label FROM r GROUP BY node)
-SELECT label, count(*)::INT AS members, string_agg(node::VARCHAR, ',' ORDER BY node) AS doc_ids FROM l GROUP BY label"""
+SELECT label, node AS doc_id, count(*) OVER (PARTITION BY label) AS members FROM l"""
 
 
 def simhash_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,12 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import host, normalise
+from ..plans.batches import arrow_schema, sliced
 
 # Limits of what is kept of a page.
 MAX_TEXT, MAX_IMAGES, MAX_LINKS, MAX_ANCHOR, MAX_HEADING, MAX_JSON_LD = 50_000, 500, 2_000, 300, 500, 50_000
@@ -174,14 +175,15 @@ def page_facts(html: str | None, url: str | None) -> dict:
 def parse_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Every column of ``pages`` but the HTML, with the facts of each page."""
     kept = [f for f in pages.schema if f.name != html]
+    names, types = [f.name for f in kept], arrow_schema(FACTS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            facts = pd.DataFrame([page_facts(h, u) for h, u in zip(b[html], b[url], strict=True)], index=b.index)
-            yield pd.concat([b.drop(columns=[html]), facts], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            facts = pa.RecordBatch.from_pylist([page_facts(h, u) for h, u in zip(b.column(html).to_pylist(), b.column(url).to_pylist(), strict=True)], schema=types)
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], *facts.columns], names=[*names, *types.names])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return pages.mapInPandas(run, f"{own}, {FACTS}")
+    return pages.mapInArrow(run, f"{own}, {FACTS}")
 
 
 # --- the same in expressions, for pages of plain structure --------------------------------------------------------------

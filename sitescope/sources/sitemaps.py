@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import gzip
 import io
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import host
+from ..plans.batches import map_rows
+from ..plans.scratch import table
 
 # Most addresses and bytes of a file, most files of a site.
 MAX_URLS, MAX_BYTES, MAX_FILES = 50_000, 50 * 1024 * 1024, 20
@@ -39,17 +39,17 @@ def parse(data: bytes) -> tuple[str, list[str]]:
 def parse_files(files: DataFrame) -> DataFrame:
     """(url, status, kind, error, urls) of rows (url, content binary); null content: not_found."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for url, content in zip(b["url"], b["content"], strict=True):
-                try:
-                    rows.append((url, "not_found", None, None, []) if content is None else (url, "ok", *[(k, None, u) for k, u in [parse(bytes(content))]][0]))
-                except (ValueError, OSError, EOFError) as e:
-                    rows.append((url, "error", None, str(e), []))
-            yield pd.DataFrame(rows, columns=["url", "status", "kind", "error", "urls"])
+    def each(row: dict) -> list[dict]:
+        out = {"url": row["url"], "status": "not_found", "kind": None, "error": None, "urls": []}
+        if row["content"] is None:
+            return [out]
+        try:
+            kind, found = parse(row["content"])
+        except (ValueError, OSError, EOFError) as e:
+            return [out | {"status": "error", "error": str(e)}]
+        return [out | {"status": "ok", "kind": kind, "urls": found}]
 
-    return files.select("url", "content").mapInPandas(run, "url string, status string, kind string, error string, urls array<string>")
+    return map_rows(files.select("url", "content"), each, "url string, status string, kind string, error string, urls array<string>")
 
 
 def expand(files: DataFrame, start: list[str], allowed_hosts: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +58,7 @@ def expand(files: DataFrame, start: list[str], allowed_hosts: list[str]) -> tupl
     The log has a row per file (url, status, url_count, error, kind); files out of scope or beyond the limit are skipped.
     """
     spark, seen, logs, queue = files.sparkSession, set(), [], list(dict.fromkeys(start))
-    found = parse_files(files).cache()
+    found = table(parse_files(files), "sitemaps")
     urls = spark.createDataFrame([], "url string")
     while queue:
         now = [u for u in queue if u not in seen][: MAX_FILES - len(seen)]

@@ -32,15 +32,18 @@ def test_classes_against_brute_force(spark):
     want = {}
     for i, _ in rows:
         want.setdefault(root(i), []).append(i)
-    got = {r["label"]: r["members"] for r in duplicates.near_groups(df, "k", "h", bits=60).collect()}
-    assert got == {k: v for k, v in want.items() if len(v) > 1}
+    got = {}
+    for r in duplicates.near_groups(df, "k", "h", bits=60).collect():
+        got.setdefault((r["label"], r["n"]), []).append(r["k"])
+    assert {k: sorted(v) for k, v in got.items()} == {(k, len(v)): v for k, v in want.items() if len(v) > 1}
 
 
 def test_topics_ignore_copies_of_one_text(spark):
     heads = [(1, "Evening courses")]
     rows = [("u1", "Evening Courses in the old town", "h1"), ("u2", "Evening courses in the old town", "h1"), ("u3", "Evening courses in the old town", "h2"), ("u4", "Something else entirely here", "h3")]
-    df = spark.createDataFrame([(u, t, h, heads if u != "u4" else [], True) for u, t, h in rows], "url string, title string, content_hash string, headings array<struct<level: int, text: string>>, indexable boolean")
-    assert [r["members"] for r in duplicates.topic_overlaps(df).collect()] == [["u1", "u2", "u3"]]
+    df = spark.createDataFrame([(c, u, t, h, heads if u != "u4" else [], True) for u, t, h in rows for c in ("c1", "c2")], "crawl_job_id string, url string, title string, content_hash string, headings array<struct<level: int, text: string>>, indexable boolean")
+    got = sorted((*r["label"], *r["k"], r["n"]) for r in duplicates.topic_overlaps(df).collect())
+    assert got == [(c, "u1", c, u, 3) for c in ("c1", "c2") for u in ("u1", "u2", "u3")]
     assert duplicates.topic_overlaps(df.where("url IN ('u1', 'u2')")).count() == 0
 
 
