@@ -55,9 +55,13 @@ def letters(n: Column, most: int = 6) -> Column:
     return out
 
 
-def references(issues: DataFrame, order: list) -> DataFrame:
-    """(issue_key, ref): short names in the order in which issues are first shown."""
-    return issues.withColumn("ref", F.concat(F.lit("issue-"), letters(F.row_number().over(Window.orderBy(*order)) - 1)))
+def references(issues: DataFrame, order: list, report: list | None = None) -> DataFrame:
+    """(issue_key, ref): short names in the order in which issues are first shown, for each ``report`` by itself.
+
+    A report shows at most three sections of issues, so a window over one report is small.
+    """
+    by = Window.partitionBy(*(report or [F.lit(1)])).orderBy(*order)
+    return issues.withColumn("ref", F.concat(F.lit("issue-"), letters(F.row_number().over(by) - 1)))
 
 
 def evidence_pairs(evidence: Column, limit: int = 8) -> Column:

@@ -71,11 +71,34 @@ def host_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
 HOST_TWINS = f"""SELECT {HOST} AS host, count(*) AS pages, CASE WHEN NOT contains(host, '.') OR regexp_full_match(host, '[0-9.]+') THEN NULL WHEN starts_with(host, 'www.') THEN substr(host, 5) ELSE 'www.' || host END AS twin FROM pages GROUP BY 1"""
 
 
+#: Addresses as pages write them: (reference, base, result), from host h, path p and page_id; null: no page.
+ADDRESSES = (
+    ("concat('HTTPS://', upper(h), p, '#top')", "NULL", "concat('https://', h, p)"),
+    ("concat('https://', h, ':443/a/./b/../c?x=1')", "NULL", "concat('https://', h, '/a/c?x=1')"),
+    ("concat('https://', h, ':8443/', page_id)", "NULL", "concat('https://', h, ':8443/', page_id)"),
+    ("concat('http://', h, ':443')", "NULL", "concat('http://', h, ':443/')"),
+    ("concat('MailTo:a@', h)", "NULL", "NULL"),
+    ("concat('../up/', page_id)", "concat('https://', h, '/x/y/z')", "concat('https://', h, '/x/up/', page_id)"),
+    ("concat(' ?page=', page_id, ' ')", "concat('https://', h, '/x/y?old=1')", "concat('https://', h, '/x/y?page=', page_id)"),
+    ("concat('https://user:pw@', h, '/')", "NULL", "NULL"),
+    ("concat('https://BÜCHER.example/', page_id)", "NULL", "concat('https://xn--bcher-kva.example/', page_id)"),
+    ("concat('//', h, './s')", "concat('http://', h, '/a')", "concat('http://', h, '/s')"),
+    ("concat('https://', h, '/', repeat('x', 2100))", "NULL", "NULL"),
+    ("url", "NULL", "regexp_replace(url, '#.*$', '')"),
+)
+
+
+def _address(k: int) -> str:
+    return "CASE page_id % " + str(len(ADDRESSES)) + " " + " ".join(f"WHEN {i} THEN {a[k]}" for i, a in enumerate(ADDRESSES)) + " END"
+
+
 def url_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", urls.normalise_url(F.col("url"), F.lit(None).cast("string")).alias("normalised"))
+    rows = read(spark, sf_dir, "pages").select("page_id", "url", urls.host(F.col("url")).alias("h"), urls.path(F.col("url")).alias("p"))
+    rows = rows.selectExpr("page_id", f"CAST({_address(0)} AS STRING) AS raw", f"CAST({_address(1)} AS STRING) AS base")
+    return rows.select("page_id", urls.normalise_url(F.col("raw"), F.col("base")).alias("normalised"))
 
 
-URL_NORMALISED = r"""SELECT page_id, regexp_replace(url, '#.*$', '') AS normalised FROM pages"""
+URL_NORMALISED = f"""WITH q AS (SELECT page_id, url, {HOST} AS h, CASE WHEN {PATH} = '' THEN '/' ELSE {PATH} END AS p FROM pages) SELECT page_id, {_address(2)} AS normalised FROM q"""
 
 
 def page_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +206,7 @@ def sitemap_bad_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.sitemap_bad_urls(sim_context(spark, sf_dir)).select("rule_id", "subject", "affected_page_count", F.array_join("affected_urls", " ").alias("urls"))
 
 
-SITEMAP_BAD = f"""WITH {SIM_CTX}, b AS (SELECT DISTINCT url FROM ctx WHERE in_sitemap AND (coalesce(status_code >= 400, false) OR redirected OR (analysable AND is_noindex) OR (analysable AND elsewhere)))
+SITEMAP_BAD = f"""WITH {SIM_CTX}, b AS (SELECT DISTINCT url FROM ctx WHERE in_sitemap AND (coalesce(status_code >= 400, false) OR redirected OR (analysable AND is_noindex) OR (analysable AND elsewhere))),
 p AS (SELECT substr(md5(url), 1, 3) AS part, sha256(string_agg(url, chr(31) ORDER BY url)) AS hash FROM b GROUP BY 1)
 SELECT 'tech.sitemap_bad_urls' AS rule_id, (SELECT substr(sha256(string_agg(hash, chr(31) ORDER BY part)), 1, 16) FROM p) AS subject, count(*)::INT AS affected_page_count, array_to_string(list_sort(list(url))[1:200], ' ') AS urls FROM b"""
 
@@ -273,23 +296,60 @@ TOPIC_OVERLAP = rf"""WITH w AS MATERIALIZED (SELECT page_id AS k, list_distinct(
 SELECT a.k AS a, b.k AS b, round(len(list_intersect(a.words, b.words))::DOUBLE / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))), 6) AS overlap FROM u a JOIN u b ON a.k < b.k WHERE len(list_intersect(a.words, b.words))::DOUBLE / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) >= 0.6"""
 
 
+#: Ends of titles in four groups: one name, two names that share them, two separators, none alike.
+ENDS = "CASE WHEN page_id % 4 = 0 THEN ' | Example Institute' WHEN page_id % 4 = 1 THEN (CASE WHEN page_id % 8 = 1 THEN ' | North' ELSE ' | South' END) WHEN page_id % 4 = 2 THEN ' - Guide | Site' ELSE concat(' :: ', page_id) END"
+
+
 def title_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "pages").select(F.concat(html.tag_text(F.col("html"), "title"), F.when(F.col("page_id") % 3 > 0, " | Example Institute").otherwise(" - Other")).alias("title"))
-    suffix = text.common_title_suffix(rows)
-    out = rows.join(F.broadcast(suffix), F.lit(True))
-    return out.groupBy("suffix").agg(F.count("*").alias("titles"), F.sum(F.length(text.strip_suffix(F.col("title"), F.col("suffix")))).alias("left_chars"))
+    rows = read(spark, sf_dir, "pages").select((F.col("page_id") % 4).alias("grp"), F.concat(html.tag_text(F.col("html"), "title"), F.expr(ENDS)).alias("title"))
+    out = rows.join(text.common_title_suffix(rows, keys=("grp",)), "grp", "left")
+    return out.groupBy("grp", "suffix").agg(F.count("*").alias("titles"), F.sum(F.length(text.strip_suffix(F.col("title"), F.col("suffix")))).alias("left_chars"))
 
 
-TITLE_SUFFIX = rf"""WITH t AS MATERIALIZED (SELECT {TAG.format("title")} || CASE WHEN page_id % 3 > 0 THEN ' | Example Institute' ELSE ' - Other' END AS title FROM pages)
-SELECT ' | Example Institute' AS suffix, count(*) AS titles, sum(length(CASE WHEN ends_with(title, ' | Example Institute') THEN trim(left(title, length(title) - 20)) ELSE trim(title) END))::BIGINT AS left_chars FROM t"""
+_LAST = ", ".join(f"CASE WHEN contains(title, '{s}') THEN '{s}' || list_last(string_split(title, '{s}')) END" for s in text.SEPARATORS)
+TITLE_SUFFIX = rf"""WITH t AS MATERIALIZED (SELECT page_id % 4 AS grp, {TAG.format("title")} || {ENDS} AS title FROM pages), c AS (SELECT grp, unnest(list_filter([{_LAST}], lambda x: x IS NOT NULL)) AS suffix FROM t),
+h AS (SELECT grp, suffix, count(*) AS hits FROM c GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY hits DESC, suffix) AS r FROM h), n AS (SELECT grp, count(*) AS n FROM t GROUP BY 1),
+s AS (SELECT n.grp, CASE WHEN n >= 2 AND hits >= greatest(2.0, n / 2.0) THEN suffix END AS suffix FROM n LEFT JOIN b ON n.grp = b.grp AND r = 1)
+SELECT t.grp, s.suffix, count(*) AS titles, sum(length(CASE WHEN s.suffix IS NOT NULL AND ends_with(trim(title), s.suffix) THEN trim(left(trim(title), length(trim(title)) - length(s.suffix))) ELSE trim(title) END))::BIGINT AS left_chars FROM t JOIN s ON t.grp = s.grp GROUP BY 1, 2"""
 
 
 def rule_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules of the simulated crawl, deduplicated by issue key, counted by rule."""
+    """All rules of the simulated crawl but those on texts and structured data, deduplicated by issue key, counted by rule."""
     rows = rules.run_rules(sim_context(spark, sf_dir))
     return rows.groupBy("category", "rule_id").agg(F.count("*").alias("findings"), F.sum("affected_page_count").alias("affected"))
 
 
+def _rule_union_sql() -> str:
+    """Findings (rule_id, subject, first address, affected); the first of a subject counts."""
+    value = r"lower(trim(regexp_replace(coalesce({}, ''), '\s+', ' ', 'g')))"
+    shared = lambda c, r: f"SELECT '{r}', {value.format(c)}, min(url), count(DISTINCT url) FROM ctx WHERE indexable AND {value.format(c)} <> '' GROUP BY 2 HAVING count(DISTINCT url) > 1"
+    key = "lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || " + HOST + f" || coalesce(nullif(regexp_replace(lower({PATH}), '/+$', ''), ''), '/')"
+    parts = [
+        *[f"SELECT rule_id, subject, url, 1 FROM ({p})" for p in _page_rules()],
+        f"SELECT 'tech.broken_internal_links', url, url, 1 FROM (SELECT DISTINCT s.url FROM links l JOIN sim t ON l.target_id = t.id JOIN sim s ON l.source_id = s.id WHERE l.is_internal AND (coalesce(t.status_code >= 400, false) OR t.fetch_status IN ('error', 'too_large', 'blocked_destination')))",
+        "SELECT r, 'site', '', (SELECT count(*) FROM ctx) FROM (VALUES ('tech.sitemap_missing'), ('tech.sitemap_errors'), ('tech.robots_missing')) v(r)",
+        "SELECT 'tech.sitemap_bad_urls', 'all', '', n FROM (SELECT count(DISTINCT url) AS n FROM ctx WHERE in_sitemap AND (coalesce(status_code >= 400, false) OR redirected OR (analysable AND is_noindex) OR (analysable AND elsewhere))) WHERE n > 0",
+        "SELECT 'tech.http_not_https', 'http', '', n FROM (SELECT count(DISTINCT url) AS n FROM ctx WHERE starts_with(url, 'http://') AND status_code IS NOT NULL) WHERE n > 0",
+        f"SELECT 'tech.canonical_target_problem', url, url, 1 FROM ({CANONICAL_TARGETS})",
+        f"SELECT 'tech.duplicate_url_variants', key, min(url), count(DISTINCT url) FROM (SELECT *, {key} AS key FROM ctx WHERE indexable) GROUP BY key, content_hash HAVING count(DISTINCT url) > 1",
+        shared("title", "onpage.title_duplicate"),
+        shared("meta_description", "onpage.meta_description_duplicate"),
+        f"SELECT 'content.duplicate', content_hash, min(url), count(DISTINCT url) FROM (SELECT *, {key} AS key FROM ctx WHERE indexable AND word_count > 0) GROUP BY content_hash HAVING count(DISTINCT url) > 1 AND count(DISTINCT key) > 1",
+        "SELECT DISTINCT 'links.nofollow_internal', c.url, c.url, 1 FROM ctx c JOIN links l ON l.source_id = c.id WHERE c.analysable AND l.is_internal AND l.nofollow",
+    ]
+    names = ", ".join(f"('{r.id}', '{r.category}')" for r in rules.RULES.values())
+    return f"""WITH {SIM_CTX}, {LINKS}, f(rule_id, subject, url, n) AS ({" UNION ALL ".join(parts)}), k AS (SELECT rule_id, subject, arg_min(n, url) AS n FROM f GROUP BY 1, 2), c(rule_id, category) AS (VALUES {names})
+SELECT category, rule_id, count(*) AS findings, sum(n)::BIGINT AS affected FROM k JOIN c USING (rule_id) GROUP BY 1, 2"""
+
+
+def similar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate and topic findings over the pages' own texts; a test holds both rules against plain cases."""
+    own = read(spark, sf_dir, "pages").select("page_id", html.visible_text(F.col("html")).alias("text"))
+    pages = sim_context(spark, sf_dir).pages.join(own, "page_id")
+    rows = duplicates.findings(pages)
+    return rows.groupBy("rule_id").agg(F.count("*").alias("findings"), F.sum("affected_page_count").alias("affected"))
+
+
 def category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx = sim_context(spark, sf_dir)
     found = rules.first_of_key(rules.with_metadata(rules.page_findings(ctx)))
@@ -379,6 +439,7 @@ QUERIES = {
     "topic_overlap": topic_overlap,
     "title_suffix": title_suffix,
     "rule_union_dedup": rule_union,
+    "sim_similar_pages": similar_pages,
     "category_scores": category_scores,
     "priority_rank": priorities,
     "crawl_compare": crawl_compare,
@@ -409,6 +470,7 @@ SQL = {
     "bfs_depth": BFS,
     "topic_overlap": TOPIC_OVERLAP,
     "title_suffix": TITLE_SUFFIX,
+    "rule_union_dedup": _rule_union_sql(),
     "category_scores": _category_scores_sql(),
     "priority_rank": _priorities_sql(),
     "crawl_compare": f"WITH {COMPARE} SELECT change, url, before, after FROM c",

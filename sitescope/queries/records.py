@@ -113,12 +113,15 @@ def refs_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = reports.action_plan(sim_issues(spark, sf_dir), 100)
     refs = reports.references(plan, [F.col("section"), F.col("rank")])
     texts = plan.select(F.concat("section", "rank").alias("id"), F.concat(F.lit("See "), F.col("issue_key"), F.lit(", then i0.")).alias("text"))
-    return records.with_refs(texts, refs).withColumn("text", F.regexp_replace("text", "issue-[a-z]+", "REF"))
+    return records.with_refs(texts, refs)
 
 
 REF_TEXTS = f"""WITH {ISSUES}, o AS (SELECT * FROM issues WHERE status = 'open' AND severity <> 'informational'), a AS (SELECT issue_key FROM o WHERE severity IN ('critical', 'high') ORDER BY priority DESC, issue_key LIMIT 100),
 b AS (SELECT issue_key FROM o WHERE effort = 'low' AND issue_key NOT IN (SELECT issue_key FROM a) ORDER BY priority DESC, issue_key LIMIT 100), c AS (SELECT issue_key FROM o WHERE issue_key NOT IN (SELECT issue_key FROM a) AND issue_key NOT IN (SELECT issue_key FROM b) ORDER BY priority DESC, issue_key LIMIT 100),
-u AS (SELECT 'fix_first' AS s, (SELECT count(*) FROM a) AS n UNION ALL SELECT 'quick_wins', (SELECT count(*) FROM b) UNION ALL SELECT 'plan_next', (SELECT count(*) FROM c)) SELECT s || unnest(range(1, n + 1)) AS id, 'See REF, then i0.' AS text FROM u"""
+u AS (SELECT 'fix_first' AS s, 0 AS k, issue_key FROM a UNION ALL SELECT 'quick_wins', 2, issue_key FROM b UNION ALL SELECT 'plan_next', 1, issue_key FROM c), p AS (SELECT u.*, priority FROM u JOIN issues USING (issue_key)),
+r AS (SELECT s, issue_key, row_number() OVER (PARTITION BY s ORDER BY priority DESC, issue_key) AS rank, row_number() OVER (ORDER BY k, priority DESC, issue_key) AS n FROM p),
+l AS (SELECT *, 'issue-' || CASE WHEN n > 26 THEN chr((96 + (n - 1) // 26)::INT) ELSE '' END || chr((97 + (n - 1) % 26)::INT) AS ref FROM r)
+SELECT s || rank AS id, 'See ' || ref || ', then ' || coalesce((SELECT ref FROM l WHERE issue_key = 'i0'), 'i0') || '.' AS text FROM l"""
 
 
 def issue_triage(spark: SparkSession, sf_dir: str) -> DataFrame:

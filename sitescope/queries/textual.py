@@ -120,14 +120,24 @@ def grounding_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def protected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("The fee is $"), (F.col("doc_id") % 90).cast("string"), F.lit(" until 5 May, 20% off in 2026")).alias("a"), F.concat(F.lit("The fees are $"), (F.col("doc_id") % 60).cast("string"), F.lit(" until 5 May, "), (F.col("doc_id") % 30).cast("string"), F.lit("% off in 2026")).alias("b"))
+    doc = F.col("doc_id")
+    a = F.concat(F.col("text"), F.lit(" The fee is $"), (doc % 90).cast("string"), F.lit(" until 5 May 2026, 20% off; CGPA 3, marks by 12/"), (doc % 12 + 1).cast("string"), F.lit("/2025"))
+    b = F.concat(F.replace("text", F.lit("e"), F.lit("7")), F.when(doc % 3 == 0, " Tuition fees are PKR 5,000").otherwise(" The fee is $50"), F.lit(" until May 5, "), (doc % 30).cast("string"), F.lit(" percent off by 2026-01-0"), (doc % 9 + 1).cast("string"), F.when(doc % 4 == 0, "; ranked, not unranked, on merit.").otherwise("; feesible"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", a.alias("a"), b.alias("b"))
     p = answers.protected(F.col("a"), F.col("b"))
     return rows.select("doc_id", F.array_join(p["added"], "; ").alias("added"), F.array_join(p["removed"], "; ").alias("removed"), F.array_join(p["mentions"], "; ").alias("mentions"))
 
 
-PROTECTED = """WITH d AS (SELECT doc_id, doc_id % 90 AS x, doc_id % 60 AS y, doc_id % 30 AS z FROM documents)
-SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN x <> y THEN '$' || y END, CASE WHEN z <> 20 THEN z || '%' END], lambda v: v IS NOT NULL)), '; ') AS added,
-array_to_string(list_sort(list_filter([CASE WHEN x <> y THEN '$' || x END, CASE WHEN z <> 20 THEN '20%' END], lambda v: v IS NOT NULL)), '; ') AS removed, 'fees' AS mentions FROM d"""
+def _facts(text: str) -> str:
+    found = ", ".join("regexp_extract_all({}, '(?i){}')".format(text, p) for p in answers.FACTS)
+    return f"list_sort(list_distinct(list_transform(flatten([{found}]), lambda x: lower(trim(x)))))"
+
+
+_WORDS = ", ".join(rf"CASE WHEN regexp_matches(b, '(?i)\b{w}\b') THEN '{w}' END" for w in sorted(answers.FACT_WORDS))
+PROTECTED = f"""WITH d AS (SELECT doc_id, text || ' The fee is $' || (doc_id % 90) || ' until 5 May 2026, 20% off; CGPA 3, marks by 12/' || (doc_id % 12 + 1) || '/2025' AS a,
+replace(text, 'e', '7') || CASE WHEN doc_id % 3 = 0 THEN ' Tuition fees are PKR 5,000' ELSE ' The fee is $50' END || ' until May 5, ' || (doc_id % 30) || ' percent off by 2026-01-0' || (doc_id % 9 + 1) || CASE WHEN doc_id % 4 = 0 THEN '; ranked, not unranked, on merit.' ELSE '; feesible' END AS b FROM documents),
+f AS MATERIALIZED (SELECT doc_id, {_facts("a")} AS x, {_facts("b")} AS y, list_filter([{_WORDS}], lambda w: w IS NOT NULL) AS words FROM d)
+SELECT doc_id, array_to_string(list_filter(y, lambda v: NOT list_contains(x, v)), '; ') AS added, array_to_string(list_filter(x, lambda v: NOT list_contains(y, v)), '; ') AS removed, array_to_string(words, '; ') AS mentions FROM f"""
 
 
 def terminology(spark: SparkSession, sf_dir: str) -> DataFrame:

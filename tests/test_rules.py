@@ -163,6 +163,28 @@ def test_scores(spark):
     assert scores(spark, none)[0]["on_page"] is None
 
 
+def test_crawls_are_judged_apart(spark):
+    """Two crawls in one job find what each finds alone: pages that only differ by crawl are no duplicates of each other."""
+    bad = site(about={"title": None, "in_sitemap": True, "is_noindex": True}, courses={"content_hash": "hash/"})
+    two = [*[p | {"crawl_job_id": "a", "id": f"a{p['id']}"} for p in site()], *[p | {"crawl_job_id": "b", "id": f"b{p['id']}"} for p in bad]]
+    links = [("b/", "b/about", ROOT + "about", True, True)]
+    ctx = context(spark, two, links, {"id": "a"})
+    ctx.job = ctx.job.unionByName(ctx.job.withColumns({"id": F.lit("b"), "robots_status": F.lit("not_found")}))
+    rows = rules.run_rules(ctx, structured.check_pages(ctx.pages), duplicates.findings(ctx.pages))
+    got = sorted((r["crawl_job_id"], r["rule_id"]) for r in rows.collect())
+    alone = {r["rule_id"] for r in rules.run_rules(context(spark, [p | {"id": f"b{p['id']}"} for p in bad], links, {"robots_status": "not_found"})).collect()}
+    assert got == [("b", r) for r in sorted(alone)] and {"tech.sitemap_bad_urls", "content.duplicate", "links.nofollow_internal", "tech.robots_missing"} <= alone
+    by = score.category_scores(rows, score.denominators(ctx.pages))
+    total = {r["crawl_job_id"]: r["overall"] for r in score.overall(by).collect()}
+    assert total["a"] == 100.0 > total["b"]
+
+
+def test_groups_list_their_first_addresses(spark):
+    pages = [page(f"/p{i:03}", content_hash="one") for i in range(230)]
+    r = rules.same_content(context(spark, pages)).first()
+    assert r["affected_page_count"] == 230 and r["affected_urls"] == [ROOT + f"p{i:03}" for i in range(200)]
+
+
 def test_priority_prefers_severity(spark):
     rows = spark.createDataFrame([("page", 1, "critical", "high", "high"), ("page", 1, "low", "high", "high")], "scope string, affected_page_count int, severity string, effort string, confidence string")
     a, b = (r["priority"] for r in score.priority(rows, F.lit(100), F.col("severity") == "low", F.lit(False)).collect())
