@@ -14,7 +14,8 @@ def key_of(line):
     return key if len(key) >= 20 else None
 
 
-def brute(rows):
+def brute_texts(rows):
+    """(doc_id, all lines, kept lines)."""
     held = defaultdict(set)
     for i, t in rows:
         for x in (t or "").split("\n"):
@@ -25,8 +26,12 @@ def brute(rows):
     for i, t in rows:
         all_ = (t or "").split("\n")
         kept = [x for x in all_ if i is None or key_of(x) not in lost or lost[key_of(x)] == i]
-        out.append((i, len(all_), len(all_) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    return sorted(out, key=str)
+        out.append((i, all_, kept))
+    return out
+
+
+def brute(rows):
+    return sorted(((i, len(all_), len(all_) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()) for i, all_, kept in brute_texts(rows)), key=str)
 
 
 def test_odd_documents(odd, none):

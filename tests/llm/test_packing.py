@@ -12,11 +12,14 @@ from ..conftest import DATA
 
 
 def check(docs, seq_len=2048):
+    return verify(packing.pack(docs, seq_len=seq_len).collect(), docs.collect(), seq_len)
+
+
+def verify(rows, texts, seq_len=2048):
+    """Every piece of every text is there, with its ids, and sequences are gapless and not overfull; (sequences, ids)."""
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(packing.default_vocabulary())
-    rows = packing.pack(docs, seq_len=seq_len).collect()
-    texts = docs.collect()
     want = Counter()
     for r in texts:
         ids = np.array(library.encode(r["text"] or "", add_special_tokens=False).ids + [0], "<u4")
