@@ -146,19 +146,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id and score: each query's k nearest among ``vectors`` (vec_id, embedding), itself apart.
 
-    An empty table or no queries give no rows. Repeated rows of a vec_id are candidates of their own, but one query.
-    Vectors must have one dimension.
+    An empty table or no queries give no rows. Repeated rows of a vec_id are candidates of their own, but one query: the
+    smallest of their vectors, by component, asks. Vectors have the length that most have (the shorter of equally many);
+    others take no part. Null, zero and non-finite vectors take none either; other columns are not read, whatever their names.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
-    norm = rows.agg(F.max(F.sqrt(F.aggregate(F.transform("x", lambda v: v * v), F.lit(0.0), lambda a, v: a + v))), F.count("*")).first()
-    if norm[0] is None:
+    length = F.sqrt(F.aggregate(F.transform("x", lambda v: v * v), F.lit(0.0), lambda a, v: a + v))
+    sizes = rows.groupBy(F.size("x").alias("d")).agg(F.max(length).alias("norm"), F.count("*").alias("n"))
+    most = sizes.orderBy(F.desc("n"), "d").first()
+    if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").collect()  # SAMPLE vectors at most
-    coder = fit(np.array([r["x"] for r in sample]), float(norm[0]) * (1 + 1e-9), k=k)
+    rows = rows.where(F.size("x") == most["d"])
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(SAMPLE).select("x").collect()  # SAMPLE vectors at most
+    coder = fit(np.array([r["x"] for r in sample]), float(most["norm"]) * (1 + 1e-9), k=k)
 
     folder = scratch_path(spark, "ann-queries")
-    asked = usable(queries).dropDuplicates(["vec_id"])
+    asked = usable(queries).where(F.size("x") == most["d"]).groupBy("vec_id").agg(F.min("x").alias("x"))
     asked.write.option("maxRecordsPerFile", QUERY_ROWS).parquet(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +196,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if held:
             yield from answer(held)
 
-    shards = max(1, -(-norm[1] // SHARD_ROWS))
+    shards = max(1, -(-most["n"] // SHARD_ROWS))
     best = rows.repartition(int(shards)).mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = best.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sitescope.llm import ann
 
@@ -48,6 +49,22 @@ def test_ties_go_to_smaller_ids(spark):
     assert got == list(range(20))
 
 
+def test_repeated_ids_and_other_lengths(spark):
+    """The smallest vector of a repeated id asks, in every run; vectors of another length and clashing columns change nothing."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(50)]
+    twin = (20, [x - 1.0 for x in rows[20][1]])
+    other = [(60, [1.0] * 7), (40, [9.0] * 9), (61, [1.0])]
+    df = spark.createDataFrame([(*r, {"x": 1}, 5) for r in [*rows, twin, *other]], "vec_id long, embedding array<double>, x map<string, int>, rank int")
+    runs = [sorted(map(tuple, ann.nearest(d, d.where("vec_id % 20 = 0"), k=60).collect())) for d in (df, df.repartition(7).orderBy("rank", F.desc("vec_id")))]
+    assert runs[0] == runs[1] and {r[0] for r in runs[0]} == {0, 20, 40}
+    asks = {0: rows[0][1], 20: min(rows[20][1], twin[1]), 40: rows[40][1]}
+    for q, v in asks.items():
+        want = sorted((-float(np.dot(v, x)), i) for i, x in [*rows, twin] if i != q)
+        got = [r for r in runs[0] if r[0] == q]
+        assert [r[2] for r in got] == [i for _, i in want] and np.allclose([r[3] for r in got], [-s for s, _ in want])
+
+
 def test_index_returns_every_code_within_the_radius():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 32))
