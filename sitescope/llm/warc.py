@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table
+from .common import scratch_path, sliced, table
 from .files import new_name, open_store
 
 DATE = "2024-01-01T00:00:00Z"
 BLOCK_LINES = 512
+#: Captures in an index shard, and bytes of records that one task reads back.
+SHARD_CAPTURES, FETCH_BYTES = 1_000_000, 128 << 20
 #: Payloads that more than one in so many pages has are fewer than that: their decisions are broadcast.
 HOT = 1000
 #: Ranges of one file that are nearer than this are read at once.
@@ -148,7 +150,7 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
     A shard is two files: blocks, each a zlib stream of ``block_lines`` sorted lines, and the directory, one line for each
     block with its first key, offset and length.
     """
-    n = shards or max(1, captures.sparkSession.sparkContext.defaultParallelism)
+    n = shards or max(captures.sparkSession.sparkContext.defaultParallelism, -(-captures.count() // SHARD_CAPTURES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(folder)
@@ -233,13 +235,16 @@ def lookup(index: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
     return keys.mapInArrow(run, "file string, at long, size long")
 
 
-def fetch(places: DataFrame, folder: str, kind: str = "bigint", payloads: bool = False) -> DataFrame:
-    """Reads and checks the records at (file, at, size), each file from front to back, near ranges in one read."""
+def fetch(places: DataFrame, folder: str, kind: str = "bigint", payloads: bool = False, size: int = 0) -> DataFrame:
+    """Reads and checks the records at (file, at, size), each file from front to back, near ranges in one read.
+
+    ``size``: bytes of all records; a task reads FETCH_BYTES of them or less, and holds few records at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(folder)
         name, source = None, None
-        for b in batches:
+        for b in sliced(batches):
             files, at, size = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy()
             rows, i = [], 0
             while i < len(files):
@@ -262,8 +267,8 @@ def fetch(places: DataFrame, folder: str, kind: str = "bigint", payloads: bool =
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * payloads
-    n = places.sparkSession.sparkContext.defaultParallelism
-    rows = places.repartitionByRange(max(1, n), "file", "at").sortWithinPartitions("file", "at").mapInArrow(run, schema)
+    n = max(places.sparkSession.sparkContext.defaultParallelism, -(-size // FETCH_BYTES))
+    rows = places.repartitionByRange(n, "file", "at").sortWithinPartitions("file", "at").mapInArrow(run, schema)
     number = lambda c: F.when(F.col(c) != "None", F.col(c)).cast(kind).alias(c)
     return rows.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"), *(["payload"] if payloads else []))
 
@@ -278,4 +283,5 @@ def archive_report(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     captures = write_archives(pages, folder, min_bytes)
     index = build_index(captures, folder)
     found = lookup(index, folder, captures.select("key", "page_id"))
-    return fetch(found, folder, pages.schema["page_id"].dataType.simpleString())
+    size = captures.agg(F.sum("size")).first()[0] or 0
+    return fetch(found, folder, pages.schema["page_id"].dataType.simpleString(), size=size)
