@@ -12,4 +12,4 @@ def test_against_sql(spark, duck, name):
 
 
 def test_names():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES}
