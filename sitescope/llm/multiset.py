@@ -5,17 +5,17 @@ one). Its vector has LIMBS numbers of 60 bits:
 
 * one that counts its pieces, modulo 2^60;
 * two from an MD5 of the whole paragraph, modulo 2^60 each (120 bits);
-* thirty that hold 120 counters of fifteen bits, four in a number. A piece is a word with the word before it in the paragraph;
-  of 120 bits of its MD5 every set one adds one to its counter, modulo 2^15.
+* thirty-two that hold 128 counters of fifteen bits, four in a number. A piece is a word with the word before it in the
+  paragraph; it adds one, modulo 2^15, to the counter that seven bits of its MD5 name.
 
 The fingerprint of a text is the sum of the vectors of its paragraphs: it does not depend on their order, and paragraphs are
 inserted by ``plus`` and deleted by ``minus`` without the rest of the text. Texts of the same paragraphs, each as often, have
-equal fingerprints; others differ in the 120 bits (by chance equal with 2^-120). Counters with the half of the pieces taken off are
-sums of random signs, so their products estimate how many pieces two texts share (twice the product over the sum of squares,
-cut to 0..1; standard error about 0.09). A piece that occurs more than 16,000 times may wrap its counters: the estimate of such
-a text is off, the equality is not.
+equal fingerprints; others differ in the 120 bits (by chance equal with 2^-120). With their mean taken off, counters are those of
+a count sketch: their products estimate how many pieces two texts share (twice the product over the sum of squares, cut to
+0..1; standard error about 0.09). A piece that occurs some 16,000 times may wrap its counter: the estimate of such a text is
+off, the equality is not.
 
-Special cases: null texts are empty ones; very long texts are summed whole, in slices that no counter leaves; equal texts and
+Special cases: null texts are empty ones; very long texts are summed whole; equal texts and
 repeated rows have equal fingerprints; an empty table gives an empty one; other columns may have any names. The order of
 documents is by descending doc_id, nulls last, then by the MD5 of the text; rows equal in both are interchangeable.
 """
@@ -29,11 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-HEADS, COUNTERS, BITS = 3, 30, 15
-LIMBS = HEADS + COUNTERS
-#: Pieces that are added before a counter is reduced.
-SLICE = 1 << 14
-_FIELDS = [BITS * k for k in range(4)]
+HEADS, BINS, BITS, FIELDS = 3, 128, 15, 4
+LIMBS = HEADS + BINS // FIELDS
+_FIELDS = [BITS * k for k in range(FIELDS)]
 _ONES = sum(1 << f for f in _FIELDS)
 _ALL, _TOP = (1 << 60) - 1, 1 << 59
 _TOPS = _ONES << (BITS - 1)
@@ -92,13 +90,14 @@ def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, _long(0), lambda a, x: _added(a, x, _TOP))
 
 
-def _counted(numbers: Column) -> Column:
-    """Fifteen numbers of four counters each from sixty bits of every piece."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)), F.lit(SLICE))
-    slices = F.transform(starts, lambda at: F.slice(numbers, at, SLICE))
-    ones = lambda x, s: F.call_function("shiftright", x, s).bitwiseAND(_long(_ONES))
-    own = lambda part, s: F.aggregate(part, _long(0), lambda a, x: a + ones(x, s))
-    return let(slices, lambda parts: F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda s: F.aggregate(parts, _long(0), lambda a, part: _added(a, own(part, s), _TOPS))))
+def _counted(hashes: Column) -> Column:
+    """The counters of pieces, four in a number: each piece is one character, and characters are counted in the whole."""
+    digits = F.transform(hashes, lambda h: F.concat(F.translate(F.substring(h, 1, 1), "89abcdef", "01234567"), F.substring(h, 2, 1)))
+    marks = F.decode(F.unhex(F.array_join(digits, "")), "US-ASCII")
+    count = lambda marks, b: F.octet_length(marks) - F.octet_length(F.replace(marks, F.char(b), F.lit("")))
+    counts = let(marks, lambda m: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: (count(m, b) % 2**BITS).cast("long")))
+    packed = lambda c: F.transform(F.sequence(F.lit(1), F.lit(BINS), F.lit(FIELDS)), lambda at: sum((F.element_at(c, at + k) * (1 << f) for k, f in enumerate(_FIELDS)), _long(0)))
+    return let(counts, packed)
 
 
 def fingerprint(text: Column) -> Column:
@@ -108,8 +107,7 @@ def fingerprint(text: Column) -> Column:
         whole = F.transform(paragraphs, lambda p: F.md5(p))
         hashes = F.transform(_pieces(paragraphs), lambda p: F.md5(p))
         sums = lambda found: F.array(*[_total(_halves(found, at)) for at in (1, 16)])
-        counted = lambda found: F.concat(*[let(_halves(found, at), _counted) for at in (1, 16)])
-        return let(hashes, lambda found: F.concat(F.array(F.size(found).cast("long")), let(whole, sums), counted(found)))
+        return let(hashes, lambda found: F.concat(F.array(F.size(found).cast("long")), let(whole, sums), _counted(found)))
 
     return let(F.split(text, "\n"), of)
 
@@ -119,18 +117,18 @@ def written(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lpad(F.lower(F.hex(x)), 15, "0")), "")
 
 
-def _signed(fp: Column) -> Column:
-    """Twice each counter less the number of pieces, as the number nearest zero of those equal modulo 2^16."""
-    fields = F.array(*[F.lit(f) for f in _FIELDS])
-    parts = F.flatten(F.transform(F.slice(fp, HEADS + 1, COUNTERS), lambda x: F.transform(fields, lambda f: F.call_function("shiftright", x, f).bitwiseAND(_long(2**BITS - 1)))))
-    return F.transform(parts, lambda c: F.pmod(2 * c - F.element_at(fp, 1) % (2 << BITS) + (1 << BITS), _long(2 << BITS)) - (1 << BITS))
+def _centred(fp: Column) -> Column:
+    """BINS times each counter, less the number of pieces: of the numbers equal modulo BINS * 2^15 that nearest zero."""
+    fields, top = F.array(*[F.lit(f) for f in _FIELDS]), BINS << BITS
+    parts = F.flatten(F.transform(F.slice(fp, HEADS + 1, BINS // FIELDS), lambda x: F.transform(fields, lambda f: F.call_function("shiftright", x, f).bitwiseAND(_long(2**BITS - 1)))))
+    return F.transform(parts, lambda c: F.pmod(c * BINS - F.element_at(fp, 1) % top + top // 2, _long(top)) - top // 2)
 
 
 def likeness(x: Column, y: Column) -> Column:
     """The estimated part of pieces that two fingerprints share, 0 to 1; 1 for equal ones."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), _long(0), lambda s, v: s + v)
     part = lambda a, b: let(dot(a, a) + dot(b, b), lambda both: F.when(both > 0, 2 * dot(a, b) / both).otherwise(0.0))
-    estimate = let(_signed(x), lambda a: let(_signed(y), lambda b: part(a, b)))
+    estimate = let(_centred(x), lambda a: let(_centred(y), lambda b: part(a, b)))
     return F.when(x == y, F.lit(1.0)).otherwise(F.least(F.greatest(estimate, F.lit(0.0)), F.lit(1.0)))
 
 

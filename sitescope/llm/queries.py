@@ -231,10 +231,9 @@ FROM f LEFT JOIN g ga ON ga.up = f.a LEFT JOIN g gb ON gb.up = f.b
 def multiset_sql() -> str:
     """The fingerprints in SQL: pieces as rows, one sum for each counter; edited texts from the beginning."""
     number = lambda md5, at: f"('0x' || substr({md5}, {at}, 15))::BIGINT"
-    bits = [(half, s) for half in ("a", "b") for s in range(60)]
-    counted = ", ".join(f"sum(({half} >> {s}) & 1)::BIGINT % 32768 AS {half}{s}" for half, s in bits)
-    limbs = [" + ".join(f"({half}{s + 15 * k}::BIGINT << {15 * k})" for k in range(4)) for half in ("a", "b") for s in range(15)]
-    signed = [f"(2 * {half}{s + 15 * k} - m % 65536 + 98304) % 65536 - 32768" for half in ("a", "b") for s in range(15) for k in range(4)]
+    counted = ", ".join(f"(count(*) FILTER (b = {s}))::BIGINT % 32768 AS c{s}" for s in range(128))
+    limbs = [" + ".join(f"(c{s + k}::BIGINT << {15 * k})" for k in range(4)) for s in range(0, 128, 4)]
+    signed = [f"(128 * c{s} - m % 4194304 + 6291456) % 4194304 - 2097152" for s in range(128)]
     return rf"""
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(coalesce(text, ''))) AS r FROM documents),
 nx AS MATERIALIZED (SELECT d.*, length(d.t)::BIGINT AS n, coalesce(o.r, f.r) AS nr, coalesce(o.t, f.t) AS nt FROM d LEFT JOIN d o ON o.r = d.r + 1 LEFT JOIN d f ON f.r = 1 AND o.r IS NULL),
@@ -242,10 +241,11 @@ e AS MATERIALIZED (SELECT *, substr(t, 1, n - n // 2) || substr(nt, 1, n // 2) A
 x AS (SELECT r, 0 AS k, t FROM d UNION ALL SELECT r, 1, e FROM e),
 p AS MATERIALIZED (SELECT r, k, unnest(string_split(t, chr(10))) AS p FROM x),
 w AS MATERIALIZED (SELECT r, k, sum({number('md5(p)', 1)})::HUGEINT % 1152921504606846976 AS p1, sum({number('md5(p)', 16)})::HUGEINT % 1152921504606846976 AS p2 FROM p GROUP BY r, k),
-ws AS (SELECT r, k, regexp_extract_all(p, '[^ 	-]+') AS ws FROM p),
+ws AS (SELECT r, k, regexp_extract_all(p, '[^ 	-
+]+') AS ws FROM p),
 g AS (SELECT r, k, md5(unnest(list_transform(ws, lambda w, i: (CASE WHEN i > 1 THEN ws[i - 1] ELSE '' END) || ' ' || w))) AS h FROM ws),
-c AS MATERIALIZED (SELECT r, k, count(*)::BIGINT AS m, {counted} FROM (SELECT r, k, {number('h', 1)} AS a, {number('h', 16)} AS b FROM g) GROUP BY r, k),
-z AS (SELECT w.r, w.k, p1, p2, coalesce(m, 0) AS m, {', '.join(f'coalesce({h}{s}, 0)::BIGINT AS {h}{s}' for h, s in bits)} FROM w LEFT JOIN c ON w.r = c.r AND w.k = c.k),
+c AS MATERIALIZED (SELECT r, k, count(*)::BIGINT AS m, {counted} FROM (SELECT r, k, ('0x' || substr(h, 1, 2))::BIGINT % 128 AS b FROM g) GROUP BY r, k),
+z AS (SELECT w.r, w.k, p1, p2, coalesce(m, 0) AS m, {', '.join(f'coalesce(c{s}, 0)::BIGINT AS c{s}' for s in range(128))} FROM w LEFT JOIN c ON w.r = c.r AND w.k = c.k),
 fp AS MATERIALIZED (SELECT r, k, [m, p1::BIGINT, p2::BIGINT, {', '.join(limbs)}] AS fp, [{', '.join(signed)}] AS s FROM z),
 lim AS MATERIALIZED (SELECT e.doc_id, e.n, e.e, a.fp AS fa, b.fp AS fb, c.fp AS fc, a.s AS sa, b.s AS sb, c.s AS sc
     FROM e JOIN fp a ON a.r = e.r AND a.k = 0 JOIN fp b ON b.r = e.r AND b.k = 1 JOIN fp c ON c.r = e.nr AND c.k = 0),

@@ -20,11 +20,9 @@ def plain(text):
         for a, b in zip(["", *words], words, strict=False):
             h = hashlib.md5(f"{a} {b}".encode()).hexdigest()
             fp[0] += 1
-            for k, half in enumerate((int(h[:15], 16), int(h[15:30], 16))):
-                for bit in range(60):
-                    at, shift = 3 + 15 * k + bit % 15, bit // 15 * 15
-                    count = (fp[at] >> shift) % 2**15
-                    fp[at] += (((count + (half >> bit) % 2) % 2**15) - count) << shift
+            at, shift = divmod(int(h[:2], 16) % 128, 4)
+            count = (fp[3 + at] >> 15 * shift) % 2**15
+            fp[3 + at] += ((count + 1) % 2**15 - count) << 15 * shift
     return "".join(f"{v:015x}" for v in fp)
 
 
