@@ -26,13 +26,7 @@ TAG = r"trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<{0}[^>]*>
 PAGE_EXTRACT = rf"""SELECT page_id, {TAG.format("title")} AS title, regexp_extract(html, '(?i)<html[^>]*\slang="([^"]*)"', 1) AS lang, {TAG.format("h1")} AS h1, len(regexp_extract_all(html, '(?i)<h1[\s>]'))::INT AS h1_count,
 len(regexp_extract_all(html, '(?i)<a[^>]*\shref="([^"]*)"', 1))::INT AS n_links,
 sha256(lower(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|template|svg|head)[\s>].*?</(script|style|noscript|template|svg|head)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')))) AS content_hash,
-len(regexp_extract_all(html, '(?i)href\s*=\s*["'']?#[/!]'))::INT AS hash_routes FROM pages"""
-
-
-def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All facts of every page by the HTML parser; titles, main headings and link counts are held against SQL elsewhere."""
-    rows = html.parse_pages(read(spark, sf_dir, "pages"))
-    return rows.select("page_id", "title", "lang", "h1_count", "word_count", "content_hash", F.size("links").alias("n_links"), F.size("headings").alias("n_headings"), "canonical_count", "images_missing_alt")
+len(regexp_extract_all(html, '(?i)href\s*=\s*["'']#!?/[^"''\s]'))::INT AS hash_routes FROM pages"""
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,7 +408,6 @@ SELECT k.change, count(r.url) AS total, coalesce(string_agg(r.url, ' ' ORDER BY
 
 QUERIES = {
     "page_extract": page_extract,
-    "page_facts": page_facts,
     "page_links_explode": page_links,
     "url_variants": url_variants,
     "url_structure": url_structure,

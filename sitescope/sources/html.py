@@ -14,8 +14,19 @@ from pyspark.sql import functions as F
 from ..functions.urls import host, normalise
 from ..plans.batches import arrow_schema, sliced
 
-# Limits of what is kept of a page.
-MAX_TEXT, MAX_IMAGES, MAX_LINKS, MAX_ANCHOR, MAX_HEADING, MAX_JSON_LD = 50_000, 500, 2_000, 300, 500, 50_000
+# Limits of what is kept of a page, elements whose text is no content, and what is said of a block.
+MAX_TEXT, MAX_IMAGES, MAX_LINKS, MAX_ANCHOR, MAX_JSON_LD, MAX_ADDRESS = 50_000, 500, 2_000, 300, 50_000, 2_048
+MAX_CLEAN, MAX_TITLE, MAX_ABOUT, MAX_ROBOTS, MAX_LANG = 500, 1_000, 2_000, 300, 35
+SILENT = ("script", "style", "noscript", "template", "svg", "iframe")
+INVALID_JSON, LARGE_BLOCK = "Invalid JSON at line {line}: {text}", "Block larger than 50 KB; content not stored"
+# Fixed values of HTML: elements without content, those of a head, those that format text, those whose content is no markup.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param")
+IN_HEAD = ("html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template")
+FORMATTING = ("a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u")
+RAW = ("iframe", "noembed", "noframes", "xmp", "textarea", "title")
+#: A link to a page that exists only behind the number sign, as the source has it.
+HASH_ROUTE = r"""(?i)href\s*=\s*["']#!?/[^"'\s]"""
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 FACTS = """
 title string, title_count int, meta_description string, meta_description_count int, meta_robots string,
@@ -29,7 +40,7 @@ text string, word_count int, content_hash string, hash_route_links int
 """
 
 
-def _clean(text: str | None, limit: int | None = None) -> str:
+def _clean(text: str | None, limit: int = MAX_CLEAN) -> str:
     return re.sub(r"\s+", " ", text or "").strip()[:limit]
 
 
@@ -45,130 +56,182 @@ def json_types(node) -> list[str]:
 
 
 class _Page(HTMLParser):
-    """Collects facts in one pass. Text inside script, style, noscript, template, svg and iframe is no content."""
+    """Collects facts in one pass, with as much of the tree as they need: the open elements, and whether the body has begun.
 
-    SILENT = ("script", "style", "noscript", "template", "svg", "iframe")
+    A body begins with its tag, with a tag that no head holds, or with text outside the head's elements. Text of the body is
+    that of its text nodes, each apart. What a template holds is not in the page.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.titles: list[list[str]] = []
         self.meta: dict[str, list[str]] = {}
         self.canonicals: list[str] = []
-        self.hreflang: list[dict] = []
+        self.hreflang: list[tuple[str, str]] = []
         self.headings: list[tuple[int, list[str]]] = []
-        self.images: list[dict] = []
+        self.images: list[tuple[str, str | None, bool]] = []
         self.links: list[dict] = []
         self.blocks: list[list[str]] = []
         self.text: list[str] = []
         self.micro, self.micro_types = 0, set()
         self.lang = self.base = None
+        self._body = False
         self._open: list[str] = []
-        self._sink: list[str] | None = None
+        self._node: list[str] = []
+        self._sinks: dict[str, list[str]] = {}  # title, script and heading that are open
         self._anchor: dict | None = None
-        self._heading: list[str] | None = None
+
+    def _flush(self) -> None:
+        text = "".join(self._node)
+        self._node = []
+        if not text:
+            return
+        for sink in self._sinks.values():
+            sink.append(text)
+        if self._anchor is not None:
+            self._anchor["text"].append(text)
+        if self._body and not any(t in SILENT for t in self._open):
+            self.text.append(text)
+
+    def _close(self, tag: str) -> None:
+        self._sinks.pop("heading" if tag in HEADINGS else tag, None)
+        if tag == "a":
+            self._anchor = None
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID and "svg" in self._open:
+            self.handle_endtag(tag)
 
     def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
+        if self._open and self._open[-1] in RAW:
+            return
+        self._flush()
+        if "template" in self._open:
+            self._open += [tag] * (tag not in VOID)
+            return
+        if tag not in IN_HEAD:
+            self._body = True
+        a = dict(reversed(attrs))  # the first of repeated attributes
+        self._facts(tag, a)
+        if tag in HEADINGS and self._open and self._open[-1] in HEADINGS:
+            self._open.pop()
+        if tag == "a":
+            self._anchor = None
+            if "a" in self._open:
+                self._open.remove("a")
+            if a.get("href") is not None or "href" in a:
+                self._anchor = {"href": a["href"] or "", "text": [], "image": None, "nofollow": "nofollow" in (a.get("rel") or "").lower().split()}
+                self.links.append(self._anchor)
+        elif tag in HEADINGS:
+            self._sinks["heading"] = found = []
+            self.headings.append((int(tag[1]), found))
+        elif tag == "title" and not self._body and set(self._open) <= {"html", "head"}:
+            self._sinks["title"] = found = []
+            self.titles.append(found)
+        elif tag == "script" and (a.get("type") or "").split(";")[0].strip().lower() == "application/ld+json":
+            self._sinks["script"] = found = []
+            self.blocks.append(found)
+        if tag not in VOID:
+            self._open.append(tag)
+
+    def _facts(self, tag: str, a: dict) -> None:
         if "itemscope" in a:
             self.micro += 1
-            self.micro_types.update(a.get("itemtype", "").split())
+            self.micro_types.update((a.get("itemtype") or "").split())
         if tag == "html":
             self.lang = self.lang or a.get("lang")
-        elif tag == "base" and self.base is None:
-            self.base = a.get("href")
-        elif tag == "title" and "svg" not in self._open:
-            self.titles.append([])
-            self._sink = self.titles[-1]
-        elif tag == "meta":
-            self.meta.setdefault(a.get("name", "").lower(), []).append(a.get("content", ""))
-        elif tag == "link":
-            rel = a.get("rel", "").lower().split()
+        elif tag == "base" and "href" in a and self.base is None:
+            self.base = a["href"] or ""
+        elif tag == "meta" and "name" in a:
+            self.meta.setdefault((a["name"] or "").strip().lower(), []).append(a.get("content") or "")
+        elif tag == "link" and "rel" in a and "href" in a:
+            rel = (a["rel"] or "").lower().split()
             if "canonical" in rel:
-                self.canonicals.append(a.get("href", ""))
-            if "alternate" in rel and "hreflang" in a:
-                self.hreflang.append({"hreflang": a["hreflang"], "href": a.get("href", "")})
-        elif re.fullmatch("h[1-6]", tag):
-            self._heading = []
-            self.headings.append((int(tag[1]), self._heading))
+                self.canonicals.append(a["href"] or "")
+            elif "alternate" in rel and a.get("hreflang"):
+                self.hreflang.append((a["hreflang"], a["href"] or ""))
         elif tag == "img":
-            self.images.append({"src": a.get("src", ""), "alt": a.get("alt"), "has_alt": "alt" in a})
+            self.images.append((a.get("src") or "", a.get("alt"), "alt" in a))
             if self._anchor is not None and "alt" in a and self._anchor["image"] is None:
-                self._anchor["image"] = a["alt"]
-        elif tag == "a" and "href" in a:
-            self._anchor = {"href": a["href"], "text": [], "image": None, "nofollow": "nofollow" in a.get("rel", "").lower().split()}
-            self.links.append(self._anchor)
-        elif tag == "script" and a.get("type", "").split(";")[0].strip().lower() == "application/ld+json":
-            self.blocks.append([])
-            self._sink = self.blocks[-1]
-        if tag in self.SILENT:
-            self._open.append(tag)
+                self._anchor["image"] = a["alt"] or ""
 
     def handle_endtag(self, tag):
-        if tag in self._open:
-            self._open.remove(tag)
-        if tag in ("title", "script"):
-            self._sink = None
-        elif tag == "a":
-            self._anchor = None
-        elif re.fullmatch("h[1-6]", tag):
-            self._heading = None
-        if tag in ("p", "div", "li", "td", "th", "tr", "br", "section", "article", "ul", "ol", "table") or re.fullmatch("h[1-6]", tag):
-            self.text.append(" ")
+        if self._open and self._open[-1] in RAW and tag != self._open[-1]:
+            return
+        if tag in HEADINGS:
+            tag = next((t for t in reversed(self._open) if t in HEADINGS), tag)
+        if tag not in self._open:
+            return
+        self._flush()
+        at = len(self._open) - 1 - self._open[::-1].index(tag)
+        gone = [tag] if tag in FORMATTING else self._open[at:]
+        del self._open[at : at + len(gone)]
+        for t in gone:
+            self._close(t)
+
+    def handle_comment(self, data):
+        self._flush()
 
     def handle_data(self, data):
-        if self._sink is not None:
-            self._sink.append(data)
-        if self._open or (self._sink is not None):
+        if "template" in self._open:
             return
-        self.text.append(data)
-        if self._anchor is not None:
-            self._anchor["text"].append(data)
-        if self._heading is not None:
-            self._heading.append(data)
+        if not self._body and data.strip() and set(self._open) <= {"html", "head"}:
+            self._body = True
+        self._node.append(data)
+
+    def close(self):
+        super().close()
+        self._flush()
 
 
 def _block(raw: str) -> dict:
     try:
         data = json.loads(raw)
     except json.JSONDecodeError as e:
-        return {"valid": False, "error": f"Invalid JSON at line {e.lineno}: {e.msg}", "types": [], "data": None}
+        return {"valid": False, "error": INVALID_JSON.format(line=e.lineno, text=e.msg), "types": [], "data": None}
     small = len(raw) <= MAX_JSON_LD
-    return {"valid": True, "error": None if small else "Block larger than 50 KB; content not stored", "types": sorted(set(json_types(data))), "data": raw if small else None}
+    return {"valid": True, "error": None if small else LARGE_BLOCK, "types": sorted(set(json_types(data))), "data": raw if small else None}
 
 
 def page_facts(html: str | None, url: str | None) -> dict:
-    """The facts of one page; links and canonical addresses are resolved against the base address and normalised."""
+    """The facts of one page. Addresses are resolved against the base address and normalised; where that fails links are left
+    out, and canonical addresses, alternates and sources of images stay as written. A null page has no facts, as an empty one."""
     import hashlib
 
     p = _Page()
-    p.feed(html or "")
+    p.feed(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", html or ""))  # a tag that the end cuts off is none
     p.close()
-    base = (normalise(p.base, url) if p.base else None) or url
-    text = _clean("".join(p.text))
-    links = [{"url": u, "anchor_text": _clean("".join(x["text"]), MAX_ANCHOR) or _clean(x["image"], MAX_ANCHOR), "nofollow": x["nofollow"]} for x in p.links if (u := normalise(x["href"], base))]
-    titles = [_clean("".join(t)) for t in p.titles]
-    about, canonical = p.meta.get("description", []), [c for c in p.canonicals if c]
+    base = (normalise(p.base, url) if p.base is not None else None) or url
+    address = lambda raw: normalise(raw, base) or raw.strip()
+    text = re.sub(r"\s+", " ", " ".join(p.text)).strip()
+    links: dict[tuple[str, bool], str] = {}
+    for x in p.links:
+        to = normalise(x["href"], base)
+        if to is not None and len(links) < MAX_LINKS:
+            links.setdefault((to, x["nofollow"]), _clean("".join(x["text"]), MAX_ANCHOR) or _clean(x["image"], MAX_ANCHOR))
+    about = [_clean(x, MAX_ABOUT) for x in p.meta.get("description", [])]
     return {
-        "title": titles[0] if titles else None,
-        "title_count": len(titles),
-        "meta_description": _clean(about[0]) if about else None,
+        "title": _clean("".join(p.titles[0]), MAX_TITLE) if p.titles else None,
+        "title_count": len(p.titles),
+        "meta_description": about[0] if about else None,
         "meta_description_count": len(about),
-        "meta_robots": ", ".join(p.meta["robots"]) if "robots" in p.meta else None,
-        "canonical_url": normalise(canonical[0], base) if canonical else None,
+        "meta_robots": ", ".join(_clean(x, MAX_ROBOTS) for x in p.meta.get("robots", [])) or None,
+        "canonical_url": address(p.canonicals[0])[:MAX_ADDRESS] if p.canonicals else None,
         "canonical_count": len(p.canonicals),
-        "lang": p.lang,
-        "hreflang": p.hreflang,
-        "headings": [{"level": n, "text": _clean("".join(t), MAX_HEADING)} for n, t in p.headings],
+        "lang": _clean(p.lang, MAX_LANG) if p.lang else None,
+        "hreflang": [{"hreflang": _clean(x, MAX_LANG), "href": address(to)} for x, to in p.hreflang],
+        "headings": [{"level": n, "text": _clean("".join(t))} for n, t in p.headings],
         "h1_count": sum(n == 1 for n, _ in p.headings),
-        "images": p.images[:MAX_IMAGES],
+        "images": [{"src": address(src)[:MAX_ADDRESS], "alt": _clean(alt) if has else None, "has_alt": has} for src, alt, has in p.images[:MAX_IMAGES]],
         "image_count": len(p.images),
-        "images_missing_alt": sum(not x["has_alt"] for x in p.images),
-        "links": links[:MAX_LINKS],
+        "images_missing_alt": sum(not has for _, _, has in p.images),
+        "links": [{"url": to, "anchor_text": anchor, "nofollow": nofollow} for (to, nofollow), anchor in links.items()],
         "structured_data": {"json_ld": [_block("".join(b)) for b in p.blocks], "microdata": {"count": p.micro, "types": sorted(p.micro_types)}},
         "text": text[:MAX_TEXT],
         "word_count": len(re.findall(r"\w+", text)),
         "content_hash": hashlib.sha256(text.lower().encode()).hexdigest() if text else None,
-        "hash_route_links": len(re.findall(r"""href\s*=\s*["']?#[/!]""", html or "", re.I)),
+        "hash_route_links": len(re.findall(HASH_ROUTE, html or "")),
     }
 
 
@@ -221,7 +284,7 @@ def is_noindex(value: Column) -> Column:
 
 
 def hash_route_links(html: Column) -> Column:
-    return F.regexp_count(html, F.lit(r"""(?i)href\s*=\s*["']?#[/!]"""))
+    return F.regexp_count(html, F.lit(HASH_ROUTE))
 
 
 def split_links(pages: DataFrame, allowed_hosts: list[str]) -> DataFrame:

@@ -17,6 +17,7 @@ PAGE = """<!doctype html><html lang="en-GB"><head><title> Fees &amp; dates </tit
 def test_page_facts():
     f = html.page_facts(PAGE, "https://example.org/admissions/")
     assert (f["title"], f["title_count"], f["lang"]) == ("Fees & dates", 2, "en-GB")
+    assert f["hreflang"] == [{"hreflang": "de", "href": "https://example.org/de"}]
     assert (f["meta_description"], f["meta_robots"], f["canonical_url"]) == ("About fees", "NOINDEX, follow", "https://example.org/fees")
     assert [(h["level"], h["text"]) for h in f["headings"]] == [(1, "Fees"), (3, "When")]
     assert (f["image_count"], f["images_missing_alt"]) == (2, 1)
@@ -92,6 +93,37 @@ def test_robots(spark):
     assert [r["value"] for r in rules.where("kind = 'sitemap'").collect()] == ["https://example.org/s.xml"]
 
 
+def test_robots_with_thousands_of_rules(spark):
+    """Decisions by prefixes are those of matching every rule."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    part = lambda: "".join(rng.choices("ab/.", k=rng.randrange(1, 6)))
+    lines, own = ["User-agent: *"], []
+    for _ in range(3000):
+        pattern = "/" + part() + rng.choice(["", "", "*" + part(), "$", "*" + part() + "$", "*", "$" + part()])
+        kind = rng.choice(["Allow", "Disallow"])
+        lines.append(f"{kind}: {pattern}")
+        own.append((kind == "Allow", pattern))
+    paths = ["/" + part() + part() for _ in range(300)] + ["/robots.txt", "/zz"]
+
+    def allowed(path):
+        best = None
+        for ok, pattern in own:
+            end = pattern.endswith("$")
+            rx = ".*".join(map(re.escape, (pattern[:-1] if end else pattern).split("*"))) + ("$" if end else "")
+            if re.match(rx, path):
+                best = max(best or (-1, False), (len(pattern), ok))
+        return path == "/robots.txt" or best is None or best[1]
+
+    rules = robots.parse_rules(spark.createDataFrame([("h", "\n".join(lines))], "host string, body string"))
+    asked = spark.createDataFrame([("h", p) for p in paths] + [("other", "/a")], "host string, path string")
+    got = {(r["host"], r["path"]): r["allowed"] for r in robots.decide(asked, rules).collect()}
+    assert got.pop(("other", "/a")) and got == {("h", p): allowed(p) for p in paths}
+    assert 0 < sum(got.values()) < len(got)
+
+
 def test_sitemaps(spark):
     one = b'<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://example.org/a </loc></url><url><loc>https://away.org/b</loc></url></urlset>'
     index = b"<sitemapindex><sitemap><loc>https://example.org/1.xml</loc></sitemap><sitemap><loc>https://example.org/none.xml</loc></sitemap></sitemapindex>"
