@@ -20,7 +20,7 @@ def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PLAIN = "replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_PLAIN = "replace(" * 7 + "{}" + "".join(f", '&{name};', '{c}')" for name, c in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("#x27", "''"), ("lt", "<"), ("gt", ">"), ("amp", "&")))
 PAGE_FACTS = rf"""WITH p AS (SELECT page_id, regexp_replace(html, '<[a-zA-Z/!][^>]*$', '') AS html FROM pages),
 b AS (SELECT page_id, html, 'Partner ' || trim(regexp_replace({_PLAIN.format("regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<[a-zA-Z/!][^>]*>', ' ', 'g')")}, '\s+', ' ', 'g')) AS body,
     regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM p)
