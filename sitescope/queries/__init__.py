@@ -1,7 +1,7 @@
 """Queries over the test tables, each with its SQL: QUERIES and SQL by name."""
 
-from . import crawl, issues, listings, records, scans, schema, search, textual
+from . import crawl, ingest, issues, listings, records, scans, schema, search, textual
 
-PARTS = (crawl, scans, textual, issues, search, records, schema, listings)
+PARTS = (crawl, scans, ingest, textual, issues, search, records, schema, listings)
 QUERIES = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in PARTS for k, v in p.SQL.items()}
