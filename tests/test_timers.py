@@ -16,19 +16,22 @@ def at(seconds):
 
 @pytest.fixture
 def run(spark, tmp_path):
-    """Feeds parts as batches to a stream, one after another, and returns all it put out."""
+    """Feeds parts as batches to a stream, one after another, and returns all it put out.
+
+    A stream whose state lives by the clock never runs out of batches: it is run once for each part.
+    """
     conf = timers.STATE_STORE | {"spark.sql.shuffle.partitions": "1"}
     old = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
 
-    def go(name, schema, parts, plan):
+    def go(name, schema, parts, plan, trigger="availableNow"):
         src = str(tmp_path / f"{name}-src")
         out = []
         for part in parts:
             spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
             stream = plan(spark.readStream.schema(schema).parquet(src))
-            q = stream.writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start()
+            q = stream.writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(**{trigger: True}).start()
             q.awaitTermination(120)
         return out
 
@@ -69,7 +72,7 @@ def test_gaps(spark, run):
 def test_failures(spark, run):
     schema = "key string, ts timestamp, ok boolean"
     parts = [[("a", at(0), False), ("a", at(10), False), ("b", at(0), False)], [("a", at(20), False), ("b", at(5), True)], [("a", at(25), True), ("a", at(30), False), ("b", at(400), False)]]
-    got = sorted((r["key"], r["ts"], r["failures"], r["blocked"]) for r in run("failures", schema, parts, lambda s: timers.failures(s, 300, 3)))
+    got = sorted((r["key"], r["ts"], r["failures"], r["blocked"]) for r in run("failures", schema, parts, lambda s: timers.failures(s, 300, 3), "once"))
     landed = limits.failures_in_window(spark.createDataFrame([r for p in parts for r in p], schema), "key", "ts", 300, 3, "ok")
     assert got == sorted((r["key"], r["ts"], r["failures"], r["blocked"]) for r in landed.collect())
     assert [r[3] for r in got].count(True) == 1
