@@ -10,6 +10,9 @@ Most texts are passed over exactly (Cauchy-Schwarz): the template terms that a u
 the template's length. A template's *anchors* are its rarest terms; a unit that reaches the threshold holds at least so many of
 them that the rest of the template with the heaviest of these is long enough: one or two for a notice, dozens for a file.
 
+Versions decide: a unit that lacks a number of a notice has not that notice, however near it is (GPL 2 is not GPL 3). Whole
+texts of neighbouring versions are templates all, and the nearest one names the text.
+
 Files without a licence of their own take that of the nearest ancestor directory that holds a licence file, ``unknown`` where
 that file is not recognised: directories, not files, are joined with their ancestors' paths.
 """
@@ -31,8 +34,8 @@ THRESHOLD = 0.75
 #: Part of a template's squared length that its anchors hold.
 ANCHORED = 0.8
 UNKNOWN = "unknown"
-#: Where a system keeps whole licence texts; those that are not there are not looked for.
-FOLDER = "/usr/share/common-licenses"
+#: Whole licence texts that come with this package, so that every machine has the same; another folder may be named.
+FOLDER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "texts")
 
 # Usual licence notices by SPDX identifier.
 TEMPLATES = (
@@ -91,24 +94,27 @@ FILES = (
 KEPT = {
     "Apache-2.0": "Apache-2.0",
     "Artistic": "Artistic-1.0-Perl",
+    "BSD": "BSD-3-Clause",
     "CC0-1.0": "CC0-1.0",
+    "GFDL-1.2": "GFDL-1.2",
     "GFDL-1.3": "GFDL-1.3",
+    "GPL-1": "GPL-1.0",
     "GPL-2": "GPL-2.0",
     "GPL-3": "GPL-3.0",
+    "LGPL-2": "LGPL-2.0",
     "LGPL-2.1": "LGPL-2.1",
     "LGPL-3": "LGPL-3.0",
+    "MPL-1.1": "MPL-1.1",
     "MPL-2.0": "MPL-2.0",
 }
 
 
 def whole_texts(folder: str = FOLDER) -> tuple[tuple[str, str], ...]:
-    """(identifier, text) of the short licences and of the long ones that ``folder`` has."""
+    """(identifier, text) of the short licences and of the long ones. A text that ``folder`` lacks is an error, not a gap."""
     found = []
     for file, name in KEPT.items():
-        path = os.path.join(folder, file)
-        if os.path.isfile(path):
-            with open(path, encoding="utf-8", errors="replace") as f:
-                found.append((name, f.read()))
+        with open(os.path.join(folder, f"{file}.txt"), encoding="utf-8", errors="replace") as f:
+            found.append((name, f.read()))
     return FILES + tuple(found)
 
 
@@ -175,8 +181,13 @@ def _literal(found: dict[str, float]) -> Column:
     return F.create_map(*[x for t, w in sorted(found.items()) for x in (F.lit(t), F.lit(w))])
 
 
-def _hit(units: Column, kind: Kind, idf: dict[str, float], other: float) -> Column:
-    """The best (score, -template) of units, arrays of sorted terms; null without units."""
+def numbers(counts: Counter) -> list[str]:
+    """The numbers that a notice states: those of its version."""
+    return sorted(t for t in counts if t.isdigit())
+
+
+def _hit(units: Column, kind: Kind, idf: dict[str, float], other: float, versions: bool) -> Column:
+    """The best (score, -template) of units, arrays of sorted terms; null without units. ``versions``: numbers are a must."""
     weigh = _literal(idf)
     vectors = [vector(c, idf) for c in kind.counts]
     lengths = [sqrt(sum(w * w for w in v.values())) for v in vectors]
@@ -192,8 +203,16 @@ def _hit(units: Column, kind: Kind, idf: dict[str, float], other: float) -> Colu
     def total(xs: Column, each) -> Column:
         return F.aggregate(xs, F.lit(0.0), lambda a, x: a + each(x))
 
+    def dot(xs: Column, k: int) -> Column:
+        found = total(xs, lambda x: F.coalesce(F.try_element_at(times[k], x["term"]) * x["w"], F.lit(0.0)))
+        must = numbers(kind.counts[k]) if versions else []
+        if not must:
+            return found
+        own = F.array_intersect(F.transform(xs, lambda x: x["term"]), F.array(*map(F.lit, must)))
+        return F.when(F.size(own) == len(must), found).otherwise(0.0)
+
     def cosines(xs: Column) -> Column:
-        dots = [F.struct(total(xs, lambda x, m=m: F.coalesce(F.try_element_at(m, x["term"]) * x["w"], F.lit(0.0))).alias("dot"), F.lit(-k).alias("k")) for k, m in enumerate(times)]
+        dots = [F.struct(dot(xs, k).alias("dot"), F.lit(-k).alias("k")) for k in range(len(times))]
         return F.transform(F.array(total(xs, lambda x: x["w"] * x["w"])), lambda q: F.array_max(F.transform(F.array(*dots), lambda d: F.struct(F.round(d["dot"] / F.sqrt(q), 6).alias("score"), d["k"].alias("k")))))[0]
 
     return F.array_max(F.transform(F.transform(units, weighed), cosines))
@@ -228,8 +247,8 @@ def best(docs: DataFrame, threshold: float = THRESHOLD, folder: str = FOLDER) ->
         F.when(holds(F.col("all"), asked[0]), F.transform(units, lambda ws: F.array_sort(ws))).alias("units"),
         F.when(holds(F.col("all"), asked[1]), F.array(F.array_sort("all"))).alias("whole"),
     )
-    one = _hit(F.col("units"), notices, idf[0], other)
-    two = _hit(F.col("whole"), files, idf[1], other)
+    one = _hit(F.col("units"), notices, idf[0], other, True)
+    two = _hit(F.col("whole"), files, idf[1], other, False)
     # files have the higher numbers, and go first
     rows = rows.select("doc", one.alias("one"), two.alias("two"))
     rows = rows.withColumn("file", F.coalesce(F.col("two.score") >= F.coalesce(F.col("one.score"), F.lit(0.0)), F.lit(False)))

@@ -210,13 +210,13 @@ n AS (SELECT count(*) AS n FROM doc),
 held AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS term FROM doc),
 idf AS MATERIALIZED (SELECT kind, v.term, ln((1 + (SELECT n FROM n))::DOUBLE / (1 + df)::DOUBLE) + 1 AS idf FROM (SELECT DISTINCT kind, term FROM tpl) v
     JOIN (SELECT v.term, count(held.doc_id) AS df FROM (SELECT DISTINCT term FROM tpl) v LEFT JOIN held ON held.term = v.term GROUP BY v.term) d ON v.term = d.term),
-len AS (SELECT tpl.kind, k, any_value(name) AS name, sqrt(sum(c * c * idf * idf)) AS len FROM tpl JOIN idf ON tpl.kind = idf.kind AND tpl.term = idf.term GROUP BY tpl.kind, k),
+len AS (SELECT tpl.kind, k, any_value(name) AS name, sqrt(sum(c * c * idf * idf)) AS len, count(*) FILTER (tpl.kind = 0 AND regexp_full_match(tpl.term, '[0-9]+')) AS must FROM tpl JOIN idf ON tpl.kind = idf.kind AND tpl.term = idf.term GROUP BY tpl.kind, k),
 u AS MATERIALIZED (SELECT *, row_number() OVER () AS uid FROM (
     SELECT doc_id, 0 AS kind, unnest(list_distinct(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\\n[ \\t\\r]*\\n'), [t]))) AS u FROM doc UNION ALL SELECT doc_id, 1, t FROM doc)),
 x AS MATERIALIZED (SELECT uid, any_value(kind) AS kind, term, 1 + ln(count(*)) AS c FROM (SELECT uid, kind, unnest(regexp_extract_all(lower(u), '[a-z0-9]+')) AS term FROM u) GROUP BY uid, term),
 q AS (SELECT uid, sqrt(sum(power(c * coalesce(idf, ln(1 + (SELECT n FROM n)::DOUBLE) + 1), 2))) AS len FROM x LEFT JOIN idf ON x.kind = idf.kind AND x.term = idf.term GROUP BY uid),
-dot AS (SELECT x.uid, x.kind, tpl.k, sum(x.c * tpl.c * idf * idf) AS dot FROM x JOIN tpl ON x.kind = tpl.kind AND x.term = tpl.term JOIN idf ON x.kind = idf.kind AND x.term = idf.term GROUP BY x.uid, x.kind, tpl.k),
-s AS (SELECT u.doc_id, dot.kind, dot.k, len.name, round(dot / q.len / len.len, 6) AS score FROM dot JOIN q ON dot.uid = q.uid JOIN len ON dot.kind = len.kind AND dot.k = len.k JOIN u ON dot.uid = u.uid),
+dot AS (SELECT x.uid, x.kind, tpl.k, sum(x.c * tpl.c * idf * idf) AS dot, count(*) FILTER (x.kind = 0 AND regexp_full_match(x.term, '[0-9]+')) AS held FROM x JOIN tpl ON x.kind = tpl.kind AND x.term = tpl.term JOIN idf ON x.kind = idf.kind AND x.term = idf.term GROUP BY x.uid, x.kind, tpl.k),
+s AS (SELECT u.doc_id, dot.kind, dot.k, len.name, round(dot / q.len / len.len, 6) AS score FROM dot JOIN q ON dot.uid = q.uid JOIN len ON dot.kind = len.kind AND dot.k = len.k JOIN u ON dot.uid = u.uid WHERE held = must),
 own AS MATERIALIZED (SELECT doc_id, arg_max(name, (score, kind, -k)) AS own_license, max(score) AS own_score FROM s WHERE score >= {lc.THRESHOLD} GROUP BY doc_id),
 f AS MATERIALIZED (SELECT d.doc_id, own_license, own_score, (d.doc_id // 1000)::VARCHAR AS a, (d.doc_id // 1000)::VARCHAR || '/' || (d.doc_id // 100)::VARCHAR AS b,
     CASE WHEN d.doc_id % 1000 = 0 THEN (d.doc_id // 1000)::VARCHAR || '/LICENSE' WHEN d.doc_id % 100 = 0 THEN (d.doc_id // 1000)::VARCHAR || '/' || (d.doc_id // 100)::VARCHAR || '/LICENSE'

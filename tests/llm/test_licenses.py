@@ -49,5 +49,40 @@ def test_whole_files(spark):
     assert {k: v for k, v in got.items() if v} == {k: name for k, (name, _) in enumerate(found)}
 
 
-def test_without_folder(spark):
-    assert [name for name, _ in licenses.whole_texts("/nowhere")] == ["MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense"]
+def test_every_text_has_its_own_name(spark):
+    """Each version's whole text as it stands, next to its neighbours; a folder without them is an error."""
+    import pytest
+
+    found = licenses.whole_texts()
+    assert len(found) == len(licenses.FILES) + len(licenses.KEPT)
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(found)], "doc_id long, text string")
+    assert {r["doc"]["doc_id"]: r["own_license"] for r in licenses.best(docs).collect()} == {k: name for k, (name, _) in enumerate(found)}
+    with pytest.raises(OSError):
+        licenses.whole_texts("/nowhere")
+
+
+def test_other_licences_get_no_name(spark):
+    """Notices of other versions, which differ by a number alone, and of other licences."""
+    rows = [
+        "Licensed under the Apache License, Version 1.1.",
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.",
+        "Licensed under CC BY-NC 2.5.",
+        "This work is licensed under the GNU General Public License, version 1.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 9 of the License, or (at your option) any later version.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.",
+        "Licensed under the Academic Free License version 3.0",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Licensed under the EUPL, Version 1.2 or later",
+        "This is licensed under the Common Public License 1.0 as published by IBM.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r["own_license"] for r in licenses.best(docs).collect()} == {None}
+
+
+def test_equal_scores(spark):
+    """Of a notice and a whole text that score alike the text names the document; of equal notices the first."""
+    unlicense = dict(licenses.FILES)["Unlicense"]
+    rows = [(1, unlicense), (2, "Released under the MIT License.\nLicensed under CC BY-NC 4.0."), (3, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.")]
+    got = {r["doc"]["doc_id"]: r["own_license"] for r in licenses.best(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "Unlicense", 2: "CC-BY-NC-4.0", 3: "CC-BY-NC-4.0"}
