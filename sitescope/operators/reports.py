@@ -64,9 +64,36 @@ def references(issues: DataFrame, order: list, report: list | None = None) -> Da
     return issues.withColumn("ref", F.concat(F.lit("issue-"), letters(F.row_number().over(by) - 1)))
 
 
-def evidence_pairs(evidence: Column, limit: int = 8) -> Column:
-    """The first (label, value) pairs of a map of evidence."""
-    return F.slice(F.transform(F.map_entries(evidence), lambda e: F.struct(F.initcap(F.replace(e["key"], F.lit("_"), F.lit(" "))).alias("label"), F.left(e["value"], F.lit(300)).alias("value"))), 1, limit)
+# How words of labels are written, and how much of a value is shown.
+ACRONYMS = {"url": "URL", "urls": "URLs", "http": "HTTP", "https": "HTTPS", "h1": "H1", "id": "ID", "ms": "ms"}
+SHOWN, TEXT, PAIRS = 10, 300, 8
+
+
+def label(key: Column) -> Column:
+    """A key as a label: its words, the first with a capital, abbreviations as they are written."""
+    word = lambda w: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ACRONYMS.items() for x in kv]), w), w)
+    first = lambda w: F.when(w.isin(*ACRONYMS), word(w)).otherwise(F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2))))
+    return F.array_join(F.transform(F.split(F.lower(key), "_"), lambda w, i: F.when(i == 0, first(w)).otherwise(word(w))), " ")
+
+
+def _shown(value: Column, depth: int) -> Column:
+    """A variant as text: lists with at most SHOWN entries, maps with PAIRS, yes and no, long texts with an ellipsis."""
+    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    cut = F.when(F.length(text) > TEXT, F.concat(F.left(text, F.lit(TEXT - 1)), F.lit("…"))).otherwise(text)
+    plain = F.when(kind.isNull() | (kind == "VOID"), "none").when(kind == "BOOLEAN", F.when(F.try_variant_get(value, "$", "boolean"), "yes").otherwise("no")).otherwise(cut)
+    if not depth:
+        return plain
+    items, fields = F.try_variant_get(value, "$", "array<variant>"), F.map_entries(F.try_variant_get(value, "$", "map<string, variant>"))
+    more = F.when(F.size(items) > SHOWN, F.concat(F.lit(" (and "), (F.size(items) - SHOWN).cast("string"), F.lit(" more)"))).otherwise("")
+    listed = F.concat(F.array_join(F.transform(F.slice(items, 1, SHOWN), lambda x: _shown(x, depth - 1)), ", "), more)
+    named = F.array_join(F.transform(F.slice(fields, 1, PAIRS), lambda e: F.concat(F.replace(e["key"], F.lit("_"), F.lit(" ")), F.lit(": "), _shown(e["value"], depth - 1))), "; ")
+    return F.when(F.startswith(kind, F.lit("ARRAY")), listed).when(F.startswith(kind, F.lit("OBJECT")), named).otherwise(plain)
+
+
+def evidence_pairs(evidence: Column, limit: int = PAIRS, depth: int = 3) -> Column:
+    """The first (label, value) pairs of evidence, a JSON object, in its order; values nest ``depth`` deep at most."""
+    pairs = F.map_entries(F.from_json(evidence, "map<string, variant>"))
+    return F.transform(F.slice(pairs, 1, limit), lambda e: F.struct(label(e["key"]).alias("label"), _shown(e["value"], depth).alias("value")))
 
 
 def summary_sentences(score: Column, before: Column, critical: Column, open_: Column) -> Column:

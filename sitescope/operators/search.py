@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import click_rate, weighted_position
+from ..functions.urls import normalise_url
 
 # Bounds of the opportunity list.
 MIN_IMPRESSIONS, LIMIT, TOP_3, FIRST_PAGE = 100, 10, 3.05, 10.05
@@ -58,11 +59,16 @@ def opportunities(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def attach_pages(found: DataFrame, pages: DataFrame, issues: DataFrame) -> DataFrame:
-    """Adds each page's crawl id and its number of open title and description issues."""
-    named = issues.where("status = 'open'").where(F.startswith("rule_id", F.lit("onpage.title")) | F.startswith("rule_id", F.lit("onpage.meta_description")))
-    counts = named.select("issue_key", F.explode(F.array_distinct("affected_urls")).alias("url")).groupBy("url").agg(F.count("*").alias("metadata_issues"))
-    out = found.join(pages.select(F.col("url").alias("page"), F.col("id").alias("page_id")), "page", "left")
-    return out.join(counts.withColumnRenamed("url", "page"), "page", "left").fillna({"metadata_issues": 0})
+    """Adds the page of the crawl at each row's (normalised) address, and that page's open title and description issues.
+
+    Rows whose page the crawl does not have get no columns of it, and no issues.
+    """
+    named = issues.where("status = 'open'").where(F.startswith("rule_id", F.lit("onpage.title_")) | F.startswith("rule_id", F.lit("onpage.meta_description_")))
+    counts = named.select(F.explode(F.array_distinct("affected_urls")).alias("__url")).groupBy("__url").agg(F.count("*").alias("metadata_issues"))
+    known = pages.select(F.col("url").alias("__url"), F.col("crawl_job_id").alias("crawl_id"), F.col("id").alias("page_id"), "title", "meta_description")
+    known = known.join(counts, "__url", "left")
+    out = found.withColumn("__url", normalise_url(F.col("page"), F.lit(None).cast("string"))).join(known, "__url", "left")
+    return out.drop("__url").fillna({"metadata_issues": 0})
 
 
 def page_performance(rows: DataFrame, queries: DataFrame, page: str, limit: int = 10) -> tuple[DataFrame, DataFrame]:

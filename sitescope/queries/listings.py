@@ -62,14 +62,29 @@ def answer_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREVIEW_SQL = "SELECT conv_id, turn, CASE WHEN length(text) > 60 THEN left(text, 57) || '...' ELSE text END AS preview FROM conversations"
 
 
+#: Evidence of customers: (key, JSON value, label, text that is shown), from k and name. Keys beyond the eighth are left out.
+EVIDENCE = (
+    ("market_segment", "concat('\"', name, '\"')", "Market segment", "name"),
+    ("final_url", "'null'", "Final URL", "'none'"),
+    ("HTTP_status", "CAST(k % 500 AS STRING)", "HTTP status", "CAST(k % 500 AS VARCHAR)"),
+    ("is_noindex", "CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END", "Is noindex", "CASE WHEN k % 2 = 0 THEN 'yes' ELSE 'no' END"),
+    ("ms_h1", "concat('[', k, ',\"x\",false]')", "ms H1", "concat(k, ', x, no')"),
+    ("urls", "concat('[', array_join(transform(sequence(1, 12), i -> concat('\"u', i, '\"')), ','), ']')", "URLs", "'u1, u2, u3, u4, u5, u6, u7, u8, u9, u10 (and 2 more)'"),
+    ("by_page", "concat('{\"a_b\":[1,', k, '],\"c\":{\"d_e\":null}}')", "By page", "concat('a b: 1, ', k, '; c: d e: none')"),
+    ("long_text", "concat('\"', repeat('é', CAST(299 + k % 3 AS INT)), '\"')", "Long text", "CASE WHEN k % 3 = 2 THEN repeat('é', 299) || '…' ELSE repeat('é', (299 + k % 3)::INT) END"),
+    ("left_out", "'1'", None, None),
+)
+
+
 def evidence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two pairs of each customer's evidence, with labels to show."""
-    evidence = F.create_map(F.lit("market_segment"), "c_mktsegment", F.lit("name"), "c_name", F.lit("left_out"), "c_name")
-    rows = read(spark, sf_dir, "customer").select("c_custkey", F.posexplode(reports.evidence_pairs(evidence, 2)).alias("k", "pair"))
+    """Each customer's evidence as it is shown: numbers, texts, booleans, nothing, lists, maps within lists within maps."""
+    made = ", ',', ".join(f"'\"{key}\":', {value}" for key, value, _, _ in EVIDENCE)
+    rows = read(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_mktsegment AS name").selectExpr("k AS c_custkey", f"concat('{{', {made}, '}}') AS evidence")
+    rows = rows.select("c_custkey", F.posexplode(reports.evidence_pairs(F.col("evidence"))).alias("k", "pair"))
     return rows.select("c_custkey", "k", "pair.label", "pair.value")
 
 
-EVIDENCE_SQL = "SELECT c_custkey, 0 AS k, 'Market Segment' AS label, c_mktsegment AS value FROM customer UNION ALL SELECT c_custkey, 1, 'Name', c_name FROM customer"
+EVIDENCE_SQL = "WITH c AS (SELECT c_custkey, c_custkey AS k, c_mktsegment AS name FROM customer) " + " UNION ALL ".join(f"SELECT c_custkey, {n}::INT AS k, '{label}' AS label, {shown} AS value FROM c" for n, (_, _, label, shown) in enumerate(EVIDENCE) if label)
 
 
 def failures_after_success(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,16 +91,20 @@ GROUPS_SQL = """SELECT page_id, CASE WHEN page_id % 4 < 2 THEN 'news' WHEN page_
 
 
 def opportunity_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search pages with their crawled page and its open issues of title and description."""
+    """Search pages, as the engine writes them, with their crawled page and its open issues of title and description."""
     address = lambda c: F.concat(F.lit("https://example.org/"), c.cast("string"))
-    found = read(spark, sf_dir, "customer").select(address(F.col("c_custkey") % 60).alias("page")).distinct()
-    pages = read(spark, sf_dir, "nation").select(address(F.col("n_nationkey")).alias("url"), F.col("n_nationkey").alias("id"))
+    key = F.col("c_custkey") % 60
+    written = F.when(key % 3 == 0, F.concat(F.lit("HTTPS://Example.org:443/x/../"), key.cast("string"), F.lit("#top"))).otherwise(address(key))
+    found = read(spark, sf_dir, "customer").select(written.alias("page")).distinct()
+    key = F.col("n_nationkey")
+    pages = read(spark, sf_dir, "nation").select(address(key).alias("url"), key.alias("id"), F.lit("c1").alias("crawl_job_id"), F.col("n_name").alias("title"), F.when(key % 2 == 0, F.lower("n_name")).alias("meta_description"))
     return search.attach_pages(found, pages, sim_issues(spark, sf_dir))
 
 
-OPPORTUNITY_SQL = f"""WITH {ISSUES}, f AS (SELECT DISTINCT concat('https://example.org/', c_custkey % 60) AS page FROM customer),
-m AS (SELECT primary_url AS page, count(*) AS n FROM issues WHERE status = 'open' AND (rule_id LIKE 'onpage.title%' OR rule_id LIKE 'onpage.meta_description%') GROUP BY 1)
-SELECT f.page, n_nationkey AS page_id, coalesce(n, 0)::BIGINT AS metadata_issues FROM f LEFT JOIN nation ON f.page = concat('https://example.org/', n_nationkey) LEFT JOIN m ON f.page = m.page"""
+OPPORTUNITY_SQL = f"""WITH {ISSUES}, f AS (SELECT DISTINCT c_custkey % 60 AS k FROM customer),
+m AS (SELECT primary_url AS url, count(*) AS n FROM issues WHERE status = 'open' AND (starts_with(rule_id, 'onpage.title_') OR starts_with(rule_id, 'onpage.meta_description_')) GROUP BY 1)
+SELECT CASE WHEN k % 3 = 0 THEN 'HTTPS://Example.org:443/x/../' || k || '#top' ELSE 'https://example.org/' || k END AS page, CASE WHEN n_nationkey IS NOT NULL THEN 'c1' END AS crawl_id, n_nationkey AS page_id, n_name AS title,
+CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) END AS meta_description, CASE WHEN n_nationkey IS NULL THEN 0 ELSE coalesce(n, 0) END::BIGINT AS metadata_issues FROM f LEFT JOIN nation ON k = n_nationkey LEFT JOIN m ON m.url = 'https://example.org/' || n_nationkey"""
 
 
 def score_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
