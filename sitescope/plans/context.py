@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -103,3 +103,24 @@ def depths(root: str, edges: DataFrame, max_depth: int) -> DataFrame:
         front = table(front.join(seen, "url", "left_anti").withColumn("depth", F.lit(d)), "depths")
         seen = seen.unionByName(front)
     return seen
+
+
+def frontier(links: DataFrame, roots: DataFrame, listed: DataFrame, max_depth: int, max_pages: int) -> DataFrame:
+    """(site, url, depth, via, place, crawled): what a crawl of every site reaches, for all sites at once.
+
+    ``links`` are (site, source, target), ``roots`` (site, url), ``listed`` (site, url) the addresses of sitemaps. A level of all
+    sites is one join; pages that no link reaches within ``max_depth`` have no depth and are recorded, not followed. A site's
+    first ``max_pages`` by depth and address are crawled, those of sitemaps last.
+    """
+    seen = front = table(roots.select("site", "url").distinct().withColumn("depth", F.lit(0)), "frontier")
+    edges = links.select("site", F.col("source").alias("url"), "target").distinct()
+    for d in range(1, max_depth + 1):
+        reached = edges.join(front.select("site", "url"), ["site", "url"]).select("site", F.col("target").alias("url")).distinct()
+        front = table(reached.join(seen, ["site", "url"], "left_anti").withColumn("depth", F.lit(d)), "frontier")
+        if not front.head(1):
+            break
+        seen = seen.unionByName(front)
+    alone = listed.select("site", "url").distinct().join(seen, ["site", "url"], "left_anti").withColumn("depth", F.lit(None).cast("int"))
+    rows = seen.unionByName(alone).withColumn("via", F.when(F.col("depth") == 0, "root").when(F.col("depth") > 0, "link").otherwise("sitemap"))
+    by = Window.partitionBy("site").orderBy(F.col("depth").asc_nulls_last(), "url")
+    return rows.withColumn("place", F.row_number().over(by)).withColumn("crawled", F.col("place") <= max_pages)

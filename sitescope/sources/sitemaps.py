@@ -5,7 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import host
@@ -52,22 +52,46 @@ def parse_files(files: DataFrame) -> DataFrame:
     return map_rows(files.select("url", "content"), each, "url string, status string, kind string, error string, urls array<string>")
 
 
-def expand(files: DataFrame, start: list[str], allowed_hosts: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(log, urls): follows sitemap indexes from ``start`` through the landed ``files``; at most MAX_FILES files of a site.
+def expand_sites(files: DataFrame, starts: DataFrame, hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(log, urls) of all sites at once: follows sitemap indexes from ``starts`` (site, url) through the landed ``files``.
 
-    The log has a row per file (url, status, url_count, error, kind); files out of scope or beyond the limit are skipped.
+    Every level of all sites is one step over tables; there are at most MAX_FILES levels, as each site has at most so many
+    files, taken in the order in which they are named. The log has a row per file (site, url, status, url_count, error, kind);
+    files beyond the limit are skipped. ``urls`` (site, url) are the addresses of page lists on the site's ``hosts`` (site, host).
     """
-    spark, seen, logs, queue = files.sparkSession, set(), [], list(dict.fromkeys(start))
     found = table(parse_files(files), "sitemaps")
-    urls = spark.createDataFrame([], "url string")
-    while queue:
-        now = [u for u in queue if u not in seen][: MAX_FILES - len(seen)]
-        logs += [(u, "skipped", 0, None, None) for u in queue if u not in seen and u not in now]
-        seen.update(now)
-        rows = {r["url"]: r for r in found.where(F.col("url").isin(now)).select("url", "status", "kind", "error", F.size("urls").alias("n"), F.when(F.col("kind") == "sitemapindex", F.col("urls")).alias("next")).collect()} if now else {}
-        logs += [(u, rows[u]["status"], rows[u]["n"], rows[u]["error"], rows[u]["kind"]) if u in rows else (u, "not_found", 0, None, None) for u in now]
-        pages = found.where(F.col("url").isin(now) & (F.col("kind") == "urlset")).select(F.explode("urls").alias("url"))
-        urls = urls.unionByName(pages)
-        queue = [u for u in dict.fromkeys(x for r in rows.values() for x in r["next"] or ()) if u not in seen]
-    log = spark.createDataFrame(logs, "url string, status string, url_count int, error string, kind string")
-    return log, urls.where(host(F.col("url")).isin(allowed_hosts)).distinct()
+    facts = found.select("url", "status", "kind", "error", F.size("urls").alias("url_count"))
+    first = starts.groupBy("site", "url").agg(F.min(F.array(F.lit(0))).alias("at"))
+    queue, seen, logs = table(first, "sitemap-queue"), None, []
+    while queue.head(1):
+        # places below a site's limit, less what it has taken already
+        place = F.row_number().over(Window.partitionBy("site").orderBy("at", "url"))
+        if seen is not None:
+            queue = queue.join(seen.groupBy("site").agg(F.count("*").alias("before")), "site", "left")
+            place = place + F.coalesce("before", F.lit(0))
+        queue = table(queue.withColumn("taken", place <= MAX_FILES), "sitemap-places")
+        now = queue.where("taken").select("site", "url", "at")
+        rows = now.join(facts, "url", "left").withColumn("status", F.coalesce("status", F.lit("not_found"))).fillna({"url_count": 0})
+        skipped = queue.where("NOT taken").select("site", "url", F.lit("skipped").alias("status"), F.lit(0).alias("url_count"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("kind"))
+        logs.append(rows.select("site", "url", "status", "url_count", "error", "kind").unionByName(skipped))
+        seen = table(now.select("site", "url") if seen is None else seen.unionByName(now.select("site", "url")), "sitemap-seen")
+        named = now.join(found.where("kind = 'sitemapindex'"), "url").select("site", "at", F.posexplode("urls").alias("n", "url"))
+        named = named.groupBy("site", "url").agg(F.min(F.concat("at", F.array("n"))).alias("at"))
+        queue = table(named.join(seen, ["site", "url"], "left_anti"), "sitemap-queue")
+    if not logs:
+        empty = "site string, url string, status string, url_count int, error string, kind string"
+        return starts.sparkSession.createDataFrame([], empty), starts.select("site", "url").limit(0)
+    log = logs[0]
+    for more in logs[1:]:
+        log = log.unionByName(more)
+    pages = seen.join(found.where("kind = 'urlset'"), "url").select("site", F.explode("urls").alias("url"))
+    inside = pages.withColumn("host", host(F.col("url"))).join(hosts, ["site", "host"], "left_semi")
+    return log, inside.select("site", "url").distinct()
+
+
+def expand(files: DataFrame, start: list[str], allowed_hosts: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``expand_sites`` for one site: (log, urls) without the site."""
+    spark = files.sparkSession
+    starts = spark.createDataFrame([("", u) for u in start], "site string, url string")
+    log, urls = expand_sites(files, starts, spark.createDataFrame([("", h) for h in allowed_hosts], "site string, host string"))
+    return log.drop("site"), urls.drop("site")
