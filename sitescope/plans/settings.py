@@ -46,15 +46,3 @@ class Settings:
     max_depth: int = 3
     severity_weights: dict = field(default_factory=lambda: dict(SEVERITY_WEIGHTS))
     category_weights: dict = field(default_factory=lambda: dict(CATEGORY_WEIGHTS))
-
-
-def over_caps(values: dict[str, int], caps: dict[str, int]) -> list[dict]:
-    """The settings that are above their cap."""
-    return [{"setting": k, "value": v, "limit": caps[k]} for k, v in values.items() if k in caps and v > caps[k]]
-
-
-def crawl_hosts(root_host: str, extra: tuple[str, ...] = ()) -> list[str]:
-    """The hosts that belong to a crawl: the root, further ones, and the root with or without ``www.``."""
-    plain = "." in root_host and not root_host.replace(".", "").isdigit() and ":" not in root_host
-    twin = {root_host[4:] if root_host.startswith("www.") else f"www.{root_host}"} if plain else set()
-    return sorted({root_host, *extra} | twin)

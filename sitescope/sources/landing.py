@@ -81,11 +81,3 @@ def carried_over(new: DataFrame, previous: DataFrame, columns: list[str]) -> Dat
     same = F.col("status_code") == 304
     out = out.withColumns({c: F.when(same, F.col(f"old_{c}")).otherwise(F.col(c)) for c in columns})
     return out.drop("old_url", *[f"old_{c}" for c in columns])
-
-
-def redirect_rows(fetched: DataFrame) -> DataFrame:
-    """A redirected fetch is two pages: the address asked for, with its first hop's status, and where it ended."""
-    moved = F.size("redirect_chain") > 0
-    first = F.struct(F.col("url").alias("url"), F.col("redirect_chain")[0]["status_code"].alias("status_code"), F.col("redirect_chain")[0]["elapsed_ms"].alias("response_time_ms"), F.lit(None).cast("string").alias("content_type"))
-    last = F.struct(F.coalesce("final_url", "url").alias("url"), F.col("status_code"), F.col("response_time_ms"), F.col("content_type"))
-    return fetched.select(F.inline(F.when(moved, F.array(first, last)).otherwise(F.array(last))))
