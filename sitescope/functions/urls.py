@@ -119,6 +119,7 @@ def problems(url: Column, limit: int = 115) -> Column:
     """What makes a URL hard to read or share, in a fixed order."""
     raw = path(url)
     plain = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+    # The texts of the evidence, which stored findings are compared by.
     found = [
         F.when(F.length(url) > limit, F.concat(F.lit(f"longer than {limit} characters ("), F.length(url).cast("string"), F.lit(")"))),
         F.when(plain != F.lower(plain), F.lit("contains upper-case letters")),

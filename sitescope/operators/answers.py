@@ -84,10 +84,14 @@ def page_named(question: Column) -> Column:
     return F.when(found != "", F.regexp_replace(found, "[.,;:!?]+$", ""))
 
 
+# The sentence that opens such an answer, and the warning for a term; stored answers are compared by them.
+NO_DATA, USES = "This platform has no data on ", "Uses '{bad}'; the approved term is '{good}'"
+
+
 def admit(answer: Column, missing: Column, within: int = 250) -> Column:
     """Opens an answer with what there is no data on, unless its first part says so."""
     says = F.left(answer, F.lit(within)).rlike("(?i)" + ADMITS)
-    return F.when((F.size(missing) == 0) | says, answer).otherwise(F.concat(F.lit("This platform has no data on "), F.array_join(missing, "; "), F.lit(". "), answer))
+    return F.when((F.size(missing) == 0) | says, answer).otherwise(F.concat(F.lit(NO_DATA), F.array_join(missing, "; "), F.lit(". "), answer))
 
 
 def plain_number(number: Column) -> Column:
@@ -122,7 +126,7 @@ def whole_word(word: str) -> str:
 
 def terms_used(text: Column, terms: dict[str, str]) -> Column:
     """Warnings for terms to avoid, given with the term to use."""
-    hits = [F.when(text.rlike(whole_word(bad)), F.lit(f"Uses '{bad}'; the approved term is '{good}'")) for bad, good in terms.items()]
+    hits = [F.when(text.rlike(whole_word(bad)), F.lit(USES.format(bad=bad, good=good))) for bad, good in terms.items()]
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 

@@ -41,7 +41,7 @@ def node_types(node: dict) -> list[str]:
 
 
 def check(structured: dict | None) -> list[dict]:
-    """One result for each JSON-LD block, and one for all microdata."""
+    """One result for each JSON-LD block, and one for all microdata. The messages are fixed values of stored evidence."""
     out = []
     for b in (structured or {}).get("json_ld") or []:
         types, errors, warnings = list(b["types"] or []), [], []
