@@ -52,57 +52,79 @@ def phrases(headings: Column, title: Column, suffix: Column) -> Column:
     return F.filter(own, lambda p, i: F.array_position(low, F.lower(p)) == i + 1)
 
 
-def word_pairs(words: Column) -> Column:
-    """Distinct hashes of neighbouring words."""
-    return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
+def word_pairs(words: Column, *within: Column) -> Column:
+    """Distinct hashes of neighbouring words, and of what they are ``within``."""
+    return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b, *within)))
 
 
 def suggest(pages: DataFrame, links: DataFrame, root_url: str, min_inlinks: int = 3) -> DataFrame:
-    """(source_url, target_url, anchor_text, snippet, relevance): texts that name a page's topic and do not link to it.
-
-    Each distinct phrase is matched once, and only with texts that hold its rarest pair of neighbouring words: pairs are
-    joined by hash with ids alone, and texts only with what is left. Its sources are ranked, and a target asks for as many of
-    the first ones as can be in its way (itself, sources that link to it already, those it has by an earlier phrase) and three
-    more: pages that share a phrase do not multiply with the texts that hold it. Ranks are given within parts of a phrase
-    first, so that no task sorts all texts that hold a frequent one.
+    """(crawl_job_id, source_id, target_id, source_url, target_url, anchor_text, snippet, reason, relevance): texts that name
+    a page's topic and do not link to it; at most 500 of a crawl, the most relevant first (then by address).
+
+    Pages belong to crawls, which are matched apart in one job; ids of pages are unique over all crawls. Pages without the
+    column ``crawl_job_id`` are one crawl. Each distinct phrase of a crawl is matched once, and only with texts that hold its
+    rarest pair of neighbouring words. Pairs are joined by a hash (with the crawl in it) and ids alone; a text's own copies
+    of a pair fall together first, and only pairs that are in some phrase are kept. A source meets all its phrases in one row
+    and is read with them once. Sources of a phrase are ranked, and a target asks for as many of the first ones as can be in
+    its way (itself, sources that link to it already, those it has by an earlier phrase) and three more: pages that share a
+    phrase do not multiply with the texts that hold it. Ranks are given within parts of a phrase (and of a crawl) first, so
+    that no task sorts all texts that hold a frequent one.
     """
-    own = pages.where("indexable")
-    suffix = text.common_title_suffix(own)
-    wanted = own.where((F.col("url") != root_url) & ((F.col("inlinks_count") <= 1) | F.coalesce("is_orphan", F.lit(False)) | (F.col("important") & (F.col("inlinks_count") < min_inlinks))))
-    wanted = wanted.join(F.broadcast(suffix), F.lit(True))  # one row
-    wanted = wanted.select(F.col("id").alias("target_id"), F.col("url").alias("target_url"), "important", F.posexplode(phrases(F.col("headings"), F.col("title"), F.col("suffix"))).alias("phrase_no", "phrase"))
+    own = (pages if "crawl_job_id" in pages.columns else pages.withColumn("crawl_job_id", F.lit(""))).where("indexable")
+    crawl = F.coalesce(F.col("crawl_job_id").cast("string"), F.lit(""))
+    suffix = text.common_title_suffix(own, keys=("crawl_job_id",)).select(crawl.alias("crawl"), "suffix")
+    wanted = own.withColumn("crawl", crawl).where((F.col("url") != root_url) & ((F.col("inlinks_count") <= 1) | F.coalesce("is_orphan", F.lit(False)) | (F.col("important") & (F.col("inlinks_count") < min_inlinks))))
+    wanted = wanted.join(suffix, "crawl", "left")
+    wanted = wanted.select("crawl", F.col("id").alias("target_id"), F.col("url").alias("target_url"), "important", F.col("inlinks_count").alias("target_links"), F.posexplode(phrases(F.col("headings"), F.col("title"), F.col("suffix"))).alias("phrase_no", "phrase"))
     wanted = table(wanted.withColumn("phrase", F.lower("phrase")).withColumn("words", text.tokens(F.col("phrase"))), "suggest-phrases")
 
-    asked = wanted.select("phrase", F.explode(word_pairs(F.col("words"))).alias("g")).distinct()
-    held = own.select(F.col("id").alias("source_id"), F.explode(word_pairs(text.tokens(F.lower("text")))).alias("g"))
+    asked = wanted.select("crawl", "phrase", F.explode(word_pairs(F.col("words"), F.col("crawl"))).alias("g")).distinct()
+    held = own.select(F.col("id").alias("source_id"), crawl.alias("crawl"), text.tokens(F.lower("text")).alias("words"))
+    held = held.select("source_id", F.explode(word_pairs(F.col("words"), F.col("crawl"))).alias("g"))
     held = table(held.join(asked.select("g").distinct(), "g", "left_semi"), "suggest-pairs")
     use = held.groupBy("g").agg(F.count("*").alias("n"))
-    rare = asked.join(use, "g", "left").groupBy("phrase").agg(F.min_by(F.struct("g", "n"), F.struct(F.coalesce("n", F.lit(0)), "g")).alias("r"))
+    rare = asked.join(use, "g", "left").groupBy("crawl", "phrase").agg(F.min_by(F.struct("g", "n"), F.struct(F.coalesce("n", F.lit(0)), "g")).alias("r"))
     rare = rare.where("r.n IS NOT NULL").select("phrase", "r.g")
-    source = own.select(F.col("id").alias("source_id"), F.col("url").alias("source_url"), F.col("text").alias("t"), F.coalesce("depth", F.lit(99)).alias("d"), F.col("inlinks_count").alias("links_in"))
-    near = held.join(rare, "g").select("source_id", "phrase").join(source, "source_id")
+    near = held.join(rare, "g").groupBy("source_id").agg(F.collect_set("phrase").alias("named"))
+    source = own.select(F.col("id").alias("source_id"), crawl.alias("crawl"), F.col("url").alias("source_url"), F.col("text").alias("t"), F.coalesce("depth", F.lit(99)).alias("d"), F.col("inlinks_count").alias("links_in"))
+    near = source.join(near, "source_id").withColumn("low", F.lower("t"))
+    near = near.withColumn("phrase", F.explode(F.filter("named", lambda p: F.contains(F.col("low"), p)))).drop("low", "named")
+    # A literal matches as many code points as it has, whatever their case: what is before the first match tells its place.
     quoted = F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace("phrase", r"([.+*?^${}()|\[\]\\])", r"\\$1"), F.lit(r"(?!\w)"))
-    near = near.where(F.contains(F.lower("t"), F.col("phrase"))).withColumn("rx", quoted).withColumn("start", F.expr("regexp_instr(t, rx)")).where("start > 0")
-    found, start = F.expr("regexp_extract(t, rx, 0)"), F.col("start")
-    left, right = F.greatest(start - AROUND, F.lit(1)), start + F.length(found) + AROUND - 1
+    near = near.withColumn("parts", F.split("t", quoted, 2)).where(F.size("parts") == 2).withColumn("start", F.length(F.col("parts")[0]) + 1)
+    near = near.withColumn("end", F.col("start") + F.length("phrase") - 1).withColumn("found", F.substring(F.col("t"), F.col("start"), F.length("phrase")))
+    left, right = F.greatest(F.col("start") - AROUND, F.lit(1)), F.col("end") + AROUND
     snippet = F.concat(F.when(left > 1, "…").otherwise(""), F.trim(F.substring(F.col("t"), left, right - left + 1)), F.when(right < F.length("t"), "…").otherwise(""))
-    near = table(near.select("phrase", "source_id", "source_url", "d", "links_in", found.alias("anchor_text"), snippet.alias("snippet")), "suggest-sources")
+    near = table(near.select("crawl", "phrase", "source_id", "source_url", "d", "links_in", F.col("found").alias("anchor_text"), snippet.alias("snippet")), "suggest-sources")
 
+    one = ["crawl", "phrase"]
     linked = table(links.where("target_id IS NOT NULL").select("source_id", "target_id").distinct(), "suggest-links")
-    passed = linked.join(wanted.select("target_id", "phrase_no", "phrase"), "target_id").join(near.select("phrase", "source_id"), ["phrase", "source_id"])
+    passed = linked.join(wanted.select("target_id", "phrase_no", *one), "target_id").join(near.select(*one, "source_id"), [*one, "source_id"])
     passed = passed.groupBy("target_id", "phrase_no").agg(F.count("*").alias("passed"))
     asks = wanted.join(passed, ["target_id", "phrase_no"], "left").withColumn("need", 2 * PER_TARGET + F.coalesce(F.col("passed"), F.lit(0)).cast("int"))
     asks = table(asks, "suggest-asks")
     order = (F.col("d"), F.desc("links_in"), F.col("source_url"))
-    ranked = near.join(asks.groupBy("phrase").agg(F.max("need").alias("most")), "phrase").withColumn("part", F.pmod(F.xxhash64("source_id"), F.lit(PARTS)))
-    for keys in (["phrase", "part"], ["phrase"]):
+    ranked = near.join(asks.groupBy(*one).agg(F.max("need").alias("most")), one).withColumn("part", F.pmod(F.xxhash64("source_id"), F.lit(PARTS)))
+    for keys in ([*one, "part"], one):
         ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("r <= most")
-    hits = asks.withColumn("r", F.explode(F.sequence(F.lit(1), "need"))).join(ranked.drop("part", "most"), ["phrase", "r"])
+    hits = asks.withColumn("r", F.explode(F.sequence(F.lit(1), "need"))).join(ranked.drop("part", "most"), [*one, "r"])
     hits = hits.where("source_id <> target_id").join(linked, ["source_id", "target_id"], "left_anti")
     # a source counts once for a target, with its first phrase
     once = Window.partitionBy("target_id", "source_id").orderBy("phrase_no")
     best = Window.partitionBy("target_id").orderBy("phrase_no", "r")
     hits = hits.withColumn("k", F.row_number().over(once)).where("k = 1").withColumn("k", F.row_number().over(best)).where(F.col("k") <= PER_TARGET)
     relevance = half_up(F.least(F.lit(1.0), F.size("words") / 6.0) * 0.8 + F.when(F.col("important"), 0.2).otherwise(0.0), 2)
-    out = hits.select("source_url", "target_url", "anchor_text", "snippet", relevance.alias("relevance"))
-    return out.orderBy(F.desc("relevance"), "target_url", "source_url").limit(TOTAL)
+    reason = F.concat(F.lit("“"), F.col("anchor_text"), F.lit("” in this text is what "), F.col("target_url"), F.lit(" is about, without a link to it; pages that link there: "), F.coalesce(F.col("target_links"), F.lit(0)).cast("string"), F.lit("."))
+    out = hits.select(F.col("crawl").alias("crawl_job_id"), "source_id", "target_id", "source_url", "target_url", "anchor_text", "snippet", reason.alias("reason"), relevance.alias("relevance"), F.pmod(F.xxhash64("target_id"), F.lit(PARTS)).alias("part"))
+    first = (F.desc("relevance"), F.col("target_url"), F.col("source_url"))
+    for keys in (["crawl_job_id", "part"], ["crawl_job_id"]):
+        out = out.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*first))).where(F.col("r") <= TOTAL)
+    return out.drop("part", "r").orderBy(*first)
+
+
+def listing(suggestions: DataFrame, pages: DataFrame) -> DataFrame:
+    """Suggestions with the titles of both pages and the place in the list of their crawl: most relevant first, then by the
+    address of the target (then of the source)."""
+    titled = lambda side: pages.select(F.col("id").alias(f"{side}_id"), F.col("title").alias(f"{side}_title"))
+    by = Window.partitionBy("crawl_job_id").orderBy(F.desc("relevance"), "target_url", "source_url")  # at most 500 rows
+    return suggestions.join(titled("source"), "source_id").join(titled("target"), "target_id").withColumn("place", F.row_number().over(by))

@@ -68,14 +68,17 @@ def simhash_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", text.simhash("text").alias("simhash"))
 
 
-def link_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages: each is about its first five words, which copies and other texts repeat."""
-    words = F.split(F.col("text"), r"\s+")
+def _pages_of_texts(spark: SparkSession, sf_dir: str, crawl: str, headed: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as pages: each is about its first five words, which copies and other texts repeat; where ``headed``, also
+    about its next four. Each links to the page after it."""
+    words = F.split(F.col("text"), r"\s+", 10)
+    head = F.struct(F.lit(1).alias("level"), F.array_join(F.slice(words, 6, 4), " ").alias("text"))
     rows = read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
+        F.expr(crawl).alias("crawl_job_id"),
         F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("url"),
         F.array_join(F.slice(words, 1, 5), " ").alias("title"),
-        F.array().cast("array<struct<level: int, text: string>>").alias("headings"),
+        F.when(F.expr(headed), F.array(head)).otherwise(F.array().cast("array<struct<level: int, text: string>>")).alias("headings"),
         F.col("text"),
         (F.col("doc_id") % 4).cast("int").alias("inlinks_count"),
         (F.col("doc_id") % 6).cast("int").alias("depth"),
@@ -83,10 +86,47 @@ def link_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 23 == 0).alias("important"),
         F.lit(True).alias("indexable"),
     )
-    links = rows.select(F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"))
+    return rows, rows.select(F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"))
+
+
+def link_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of one crawl that name what another page is about."""
+    rows, links = _pages_of_texts(spark, sf_dir, "'c'", "false")
     return linking.suggest(rows, links, "https://example.org/0").select("source_url", "target_url", "anchor_text", "relevance")
 
 
+def link_suggestions_of_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three crawls, one with half of the pages, in one job: the list of each with titles and snippets."""
+    rows, links = _pages_of_texts(spark, sf_dir, "CASE WHEN doc_id % 2 = 0 THEN 'c0' ELSE concat('c', doc_id % 3) END", "doc_id % 5 < 2")
+    out = linking.listing(linking.suggest(rows, links, "https://example.org/0"), rows)
+    return out.select("crawl_job_id", "place", "source_url", "target_url", "source_title", "target_title", "anchor_text", "snippet", "relevance")
+
+
+def _suggestions(crawl: str, headed: str, columns: str) -> str:
+    """Every phrase against every text of its crawl, by its letters and then by its borders."""
+    words = r"regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')"
+    return rf"""WITH p AS MATERIALIZED (SELECT doc_id AS id, {crawl} AS c, 'https://example.org/' || doc_id AS url, text AS t, lower(text) AS low, array_to_string({words}[1:5], ' ') AS title,
+    CASE WHEN {headed} THEN array_to_string({words}[6:9], ' ') END AS head, doc_id % 4 AS n, doc_id % 6 AS d, doc_id % 23 = 0 AS important FROM documents WHERE text IS NOT NULL),
+a AS (SELECT id, c, url, important, n, unnest([{{'no': 0, 'p': head}}, {{'no': 1, 'p': title}}], recursive := true) FROM p WHERE doc_id_is_target),
+b AS MATERIALIZED (SELECT id, c, url, important, n, min(no) AS no, p FROM (SELECT id, c, url, important, n, no, lower(trim(regexp_replace(p, '\s+', ' ', 'g'))) AS p FROM a WHERE p IS NOT NULL) WHERE length(p) >= 8 AND len(regexp_extract_all(p, '[\p{{L}}\p{{N}}_]+')) >= 2 GROUP BY ALL),
+f AS MATERIALIZED (SELECT DISTINCT c, p FROM b),
+h AS MATERIALIZED (SELECT f.c, f.p, p.id AS sid, string_split(p.low, f.p) AS parts FROM f JOIN p ON p.c = f.c AND contains(p.low, f.p)),
+i AS (SELECT c, p, sid, parts, list_filter(range(1, len(parts)), lambda i: NOT regexp_matches(CASE WHEN parts[i] <> '' THEN right(parts[i], 1) WHEN i > 1 THEN right(p, 1) ELSE '' END || CASE WHEN parts[i + 1] <> '' THEN left(parts[i + 1], 1) WHEN i + 1 < len(parts) THEN left(p, 1) ELSE '' END, '[\p{{L}}\p{{N}}_]'))[1] AS i FROM h),
+g AS (SELECT c, p, sid, list_sum(list_transform(parts[1:i], lambda x: length(x)))::BIGINT + (i - 1) * length(p) + 1 AS s, s + length(p) - 1 AS e FROM i WHERE i IS NOT NULL),
+k AS (SELECT b.c, b.url, b.no, b.p, b.important, g.sid, g.s, g.e, p.url AS surl, p.d, p.n AS sn, p.t, row_number() OVER (PARTITION BY b.id, g.sid ORDER BY b.no) AS k FROM b JOIN g ON b.c = g.c AND b.p = g.p JOIN p ON p.id = g.sid WHERE g.sid <> b.id AND b.id <> g.sid + 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY no, d, sn DESC, surl) AS r FROM k WHERE k = 1),
+v AS (SELECT *, floor((least(1.0, len(regexp_extract_all(p, '[\p{{L}}\p{{N}}_]+')) / 6.0)::DOUBLE * 0.8::DOUBLE + CASE WHEN important THEN 0.2 ELSE 0 END::DOUBLE) * 100 + 0.5) / 100 AS relevance FROM r WHERE r <= 3),
+o AS (SELECT c AS crawl_job_id, surl AS source_url, url AS target_url, t[s:e] AS anchor_text, CASE WHEN s - 80 > 1 THEN '…' ELSE '' END || trim(t[greatest(s - 80, 1):e + 80]) || CASE WHEN e + 80 < length(t) THEN '…' ELSE '' END AS snippet, relevance,
+    row_number() OVER (PARTITION BY c ORDER BY relevance DESC, url, surl) AS place FROM v)
+SELECT {columns} FROM o {{titles}} WHERE place <= 500""".replace("doc_id_is_target", "url <> 'https://example.org/0' AND (n <= 1 OR important AND n < 3)")
+
+
+SUGGESTIONS = _suggestions("'c'", "false", "source_url, target_url, anchor_text, relevance").replace("{titles}", "")
+SUGGESTIONS_OF_CRAWLS = _suggestions(
+    "CASE WHEN doc_id % 2 = 0 THEN 'c0' ELSE 'c' || (doc_id % 3) END", "doc_id % 5 < 2", "crawl_job_id, place::INT AS place, source_url, target_url, x.title AS source_title, y.title AS target_title, anchor_text, snippet, relevance"
+).replace("{titles}", "JOIN p x ON x.url = source_url JOIN p y ON y.url = target_url")
+
+
 def topic_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("text")
     rows = questions(read(spark, sf_dir, "conversations"))
@@ -216,6 +256,7 @@ QUERIES = {
     "near_duplicate_groups": near_duplicate_groups,
     "simhash_blake2b": simhash_blake2b,
     "link_suggestions": link_suggestions,
+    "link_suggestions_of_crawls": link_suggestions_of_crawls,
     "topic_classify": topic_classify,
     "grounding_numbers": grounding_numbers,
     "protected_facts": protected_facts,
@@ -233,6 +274,8 @@ SQL = {
     "simhash_md5": f"WITH {SHINGLES} SELECT doc_id, simhash FROM h",
     "near_duplicate_pairs": NEAR,
     "near_duplicate_groups": NEAR_GROUPS,
+    "link_suggestions": SUGGESTIONS,
+    "link_suggestions_of_crawls": SUGGESTIONS_OF_CRAWLS,
     "topic_classify": CLASSIFY,
     "protected_facts": PROTECTED,
     "terminology_hits": TERMS,

@@ -65,3 +65,47 @@ def test_suggestions_of_a_shared_phrase(spark):
 def test_components(spark):
     edges = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["label"] for r in connected_components(edges).collect()} == {0}
+
+
+def test_suggestions_of_crawls_against_brute_force(spark):
+    """Crawls apart, two phrases a page, punctuation and letters beyond the first plane before and around a match."""
+    import re
+
+    rng = random.Random(7)
+    words = ["alpha", "Beta", "(gamma)", "dél", "ÉPS", "zeta.x", "😀", "et", "a+b"]
+    schema = "crawl_job_id string, id long, url string, title string, headings array<struct<level: int, text: string>>, text string, inlinks_count int, depth int, is_orphan boolean, important boolean, indexable boolean"
+    rows, links = [], set()
+    for i in range(90):
+        say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+        head = [(1, say(3)), (2, "no main heading here"), (1, say(2))] if i % 3 else []
+        body = None if i == 4 else "" if i == 5 else say(rng.choice([5, 30, 200])) + rng.choice([" alpha  Beta x", "", "!"])
+        rows.append((None if i % 3 == 2 else f"c{i % 2}", i, f"https://e.org/{i}", rng.choice([None, "", say(4), "Home page"]), head, body, rng.randrange(4), rng.choice([None, 0, 1, 2]), rng.choice([None, True, False]), rng.random() < 0.2, i % 11 != 3))
+        links |= {(rng.randrange(90), i) for _ in range(2)}
+    got = linking.suggest(spark.createDataFrame(rows, schema), spark.createDataFrame(sorted(links), "source_id long, target_id long"), "https://e.org/0").collect()
+    want = []
+    for crawl in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == crawl and r[10]]
+        titles = [r[3] for r in own if r[3]]
+        assert not any(s in t for t in titles for s in (" | ", " - ", " – ", " — "))  # no suffix to strip
+        for t in own:
+            if t[1] == 0 or not (t[6] <= 1 or t[8] or (t[9] and t[6] < 3)):
+                continue
+            phrases, seen, used = [], set(), []
+            for p in [h[1] for h in t[4] if h[0] == 1] + [t[3] or ""]:
+                if len(re.findall(r"\w+", p)) >= 2 and len(p) >= 8 and p.lower() not in linking.GENERIC and p.lower() not in seen:
+                    phrases.append(p), seen.add(p.lower())
+            for p in phrases:
+                for s in sorted((r for r in own if r[5]), key=lambda r: (99 if r[7] is None else r[7], -r[6], r[2])):
+                    m = re.search(r"(?<!\w)" + re.escape(p) + r"(?!\w)", s[5], re.I)
+                    if m and len(used) < 3 and s[1] != t[1] and (s[1], t[1]) not in links and s[1] not in used:
+                        used.append(s[1])
+                        a, b = max(0, m.start() - 80), min(len(s[5]), m.end() + 80)
+                        snippet = ("…" if a else "") + s[5][a:b].strip(" ") + ("…" if b < len(s[5]) else "")
+                        want.append((crawl or "", s[1], t[1], m.group(0), snippet, int((min(1, len(re.findall(r"\w+", p)) / 6) * 0.8 + 0.2 * t[9]) * 100 + 0.5) / 100))
+    assert len(want) > 40 and len({w[0] for w in want}) == 3
+    assert sorted((r["crawl_job_id"], r["source_id"], r["target_id"], r["anchor_text"], r["snippet"], r["relevance"]) for r in got) == sorted(want)
+
+
+def test_suggestions_of_nothing(spark):
+    pages = spark.createDataFrame([], "id long, url string, title string, text string, inlinks_count int, depth int, indexable boolean, headings array<struct<level: int, text: string>>, is_orphan boolean, important boolean")
+    assert linking.suggest(pages, spark.createDataFrame([], "source_id long, target_id long"), "x").count() == 0
