@@ -45,11 +45,13 @@ def hash_unit(*cols: Column, seed: str = "") -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left", spread: str | None = None) -> DataFrame:
+def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left", spread: str | None = None, salts: int = SALTS) -> DataFrame:
     """Join with a table of one row per key, null-safe, without moving a hot key to one task.
 
     The small side is counted first. Up to BROADCAST_ROWS rows it is broadcast; beyond, every key of it is copied
     SALTS times and the rows of ``df`` are dealt over the copies by a hash of ``spread`` (all columns by default).
+    The copies are merged: Spark judges them by the file they were read from, and would broadcast millions of them.
+    Where ``df`` has few rows of a key (``salts`` is 1), the keys are not copied.
     """
     right = small.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in small.columns if c not in keys])
     on = None
@@ -58,10 +60,12 @@ def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "lef
         on = same if on is None else on & same
     if small.count() <= BROADCAST_ROWS:
         joined = df.join(F.broadcast(right), on, how)
+    elif salts == 1:
+        joined = df.join(right.hint("merge"), on, how)
     else:
-        salt = F.pmod(F.xxhash64(*([F.col(spread)] if spread else [F.col(c) for c in df.columns])), F.lit(SALTS))
-        right = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = df.withColumn("__salt", salt).join(right, on & (F.col("__salt") == F.col("__copy")), how).drop("__salt", "__copy")
+        salt = F.pmod(F.xxhash64(*([F.col(spread)] if spread else [F.col(c) for c in df.columns])), F.lit(salts))
+        right = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = df.withColumn("__salt", salt).join(right.hint("merge"), on & (F.col("__salt") == F.col("__copy")), how).drop("__salt", "__copy")
     return joined.drop(*[f"__{k}" for k in keys])
 
 

@@ -167,7 +167,7 @@ def components(rows: DataFrame) -> DataFrame:
     found = table(clusters(classes), "near-clusters")
     named = found.join(classes.select("cls", "row"), F.col("node") == F.col("cls")).select("row", "cls", "label")
     texts = rows.select("row", F.encode(F.coalesce("doc.text", F.lit("")), "UTF-8").alias("t"))
-    near = links(join_small(texts, table(named, "near-nodes"), ["row"], "inner", spread="row"))
+    near = links(join_small(texts, table(named, "near-nodes"), ["row"], "inner", salts=1))
     labels = table(connected_components(table(near, "near-links")).withColumnRenamed("node", "cls"), "near-labels")
     return join_small(own.select("row", "cls"), labels, ["cls"], spread="row").select("row", F.coalesce("label", "cls").alias("label"))
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from sitescope.llm import near, simhash
+from sitescope.llm import common, near, simhash
 
 from ..conftest import DATA
 
@@ -119,3 +119,14 @@ def test_null_and_repeated_ids(spark, first):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = [(None, text(1)), (None, text(2)), (1, text(3)), (1, text(4)), (0, text(5)), (3, text(6))]
     assert sorted(map(tuple, first(docs).collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("salts", [1, 64])
+def test_copied_keys_are_not_broadcast(spark, tmp_path, monkeypatch, salts):
+    """Spark knows the file of a small table, not the copies that are made of it: those are merged."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)
+    spark.range(20).selectExpr("IF(id = 0, NULL, id) AS k", "id AS v").write.parquet(f"{tmp_path}/small")
+    rows = spark.range(100).selectExpr("id", "IF(id % 25 = 0, NULL, id % 25) AS k")
+    out = common.join_small(rows, spark.read.parquet(f"{tmp_path}/small"), ["k"], spread="id", salts=salts)
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["id"], r["v"]) for r in out.collect()) == [(i, i % 25 if i % 25 < 20 else None) for i in range(100)]
