@@ -66,10 +66,10 @@ def written(reports: DataFrame, analyses: DataFrame, recommendations: DataFrame)
     newest ten accepted recommendations of its project.
 
     Reports with ``include_ai`` false have neither. The newest summary counts even if its output is null, and then there is
-    none. Ties go to the larger id.
+    none. Ties go to the larger id; of summaries that repeat an id and a time, the largest output (then model) counts.
     """
     done = analyses.where("kind = 'management_summary' AND status = 'completed'")
-    newest = done.groupBy(*PROJECT, "crawl_job_id").agg(F.max_by(F.struct("output", "model", F.col("finished_at").alias("generated_at")), F.struct("finished_at", "id")).alias("s"))
+    newest = done.groupBy(*PROJECT, "crawl_job_id").agg(F.max_by(F.struct("output", "model", F.col("finished_at").alias("generated_at")), F.struct("finished_at", "id", "output", "model")).alias("s"))
     newest = newest.select(*PROJECT, "crawl_job_id", F.when(F.col("s.output").isNotNull(), F.col("s")).alias("summary"))
     taken = first_rows(recommendations.where("status = 'accepted'"), PROJECT, [F.desc("created_at"), F.desc("id")], SECTION, "id")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct("title", "body", "steps", "page_url").alias("r")))), lambda x: x["r"])

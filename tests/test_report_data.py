@@ -38,6 +38,16 @@ def test_written(spark):
     assert got == {"r1": (True, "new", newest), "r2": (True, None, newest), "r3": (False, None, []), "r4": (False, None, [])}
 
 
+def test_written_of_repeated_ids(spark):
+    """Which of two summaries with one id and one time counts does not depend on their order."""
+    asks = spark.createDataFrame([("r1", 1, 1, 5, True)], "report_id string, organisation_id int, project_id int, crawl_job_id int, include_ai boolean")
+    advice = spark.createDataFrame([], "organisation_id int, project_id int, id int, status string, created_at timestamp, title string, body string, steps array<string>, page_url string")
+    done = [(1, 1, 5, 1, "management_summary", "completed", x, "m", day(1)) for x in ("a", "b", None)]
+    for rows in (done, done[::-1], done[1:] + done[:1]):
+        rows = spark.createDataFrame(rows, "organisation_id int, project_id int, crawl_job_id int, id int, kind string, status string, output string, model string, finished_at timestamp").coalesce(1)
+        assert [r["summary"]["output"] for r in report_data.written(asks, rows, advice).collect()] == ["b"]
+
+
 def test_empty(spark):
     issues = spark.createDataFrame([], "organisation_id int, project_id int, issue_key string, priority double, status string, severity string, category string")
     assert report_data.counts(issues).count() == 0 and report_data.first_issues(issues).count() == 0
