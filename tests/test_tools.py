@@ -88,3 +88,15 @@ def test_duplicate_groups_list_all_addresses(spark):
     want = {h: [f"u{i:03}" for i in range(h == "h1", 450, 2) if i != 7] for h in ("h0", "h1")}
     found = lambda **a: {r["content_hash"]: r["urls"] for r in history.duplicate_groups(rows, **a).collect()}
     assert found() == want and found(stored=200) == {h: x[:200] for h, x in want.items()}
+
+
+def test_protected_words_in_one_pass(spark):
+    """Words beside each other, in any case, as parts of others, and their fixed starts."""
+    cases = [("Tuition FEES, fee-fee; feesible unranked", ["fee", "fees", "tuition"]), ("feeſ and elıgİble", ["eligible", "fees"]), ("admission requirements entry requirement last date", ["admission requirements", "entry requirement", "last date"]), ("é_fee stipend\u00e9 Refund", ["refund"]), ("", []), (None, [])]
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string")
+    old = F.filter(F.array(*[F.when(F.col("t").rlike(answers.whole_word(w)), F.lit(w)) for w in sorted(answers.FACT_WORDS)]), lambda x: x.isNotNull())
+    got = [tuple(r) for r in rows.select("k", answers.protected(F.lit(""), F.col("t"))["mentions"], old).orderBy("k").collect()]
+    assert got == [(k, w, w) for k, (_, w) in enumerate(cases)]
+    assert len(answers.FACT_STARTS) == len(answers.FACTS)
+    one = spark.range(1).select(answers.facts(F.lit("RS 5,000 Usd3 £7 12.5 Per Cent 1/2/25 2026-01-02 5TH May June 3 1999 2001x CGPA Mark")).alias("f")).first()["f"]
+    assert one == sorted(["rs 5,000", "usd3", "£7", "12.5 per cent", "1/2/25", "2026-01-02", "5th may", "june 3", "2026", "1999", "cgpa", "mark"])
