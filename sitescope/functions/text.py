@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-TOKEN = r"[\p{L}\p{N}_]+"
+TOKEN, NOT_TOKEN = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
+#: Shingles whose bits are counted at a time.
+SHINGLES = 1 << 16
 # What parts a title from the site's name.
 SEPARATORS = (" | ", " - ", " – ", " — ", " :: ", " » ")
 
@@ -103,23 +107,40 @@ def simhash(texts: pd.Series) -> pd.Series:
 
 
 def md5_simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, simhash) with the first 60 bits of MD5 in place of BLAKE2b, in built-in functions alone.
+    """(key, simhash) with the first 60 bits of MD5 in place of BLAKE2b.
 
-    Three counters of 20 bits share a number, so that 20 sums count all bits; shingles are numbered off into parts that no
-    counter can outgrow. Sums are made where a document is read: one row for each part is shuffled. Documents under 15
-    words are left out.
+    Words are cut and lower-cased by Spark and stand one space apart, so that a shingle is a slice of the text; bits are
+    counted where a document is read, SHINGLES of it at a time, and nothing is shuffled. Documents under 15 words are left
+    out; rows that repeat a key are documents of their own.
     """
-    lane = (1 << 40) | (1 << 20) | 1
-    rows = docs.select(key, tokens(F.col(text)).alias("w")).where(F.size("w") >= 15)
-    rows = rows.select(key, F.posexplode(shingles(F.col("w"))).alias("at", "s"))
-    rows = rows.select(key, F.shiftright("at", 19).alias("part"), F.conv(F.substring(F.md5("s"), 1, 15), 16, 10).cast("bigint").alias("v"))
-    parts = rows.groupBy(key, "part").agg(F.count("*").alias("n"), *[F.sum(F.shiftright("v", b).bitwiseAND(lane)).alias(f"c{b}") for b in range(20)])
-    ones = {b + 20 * k: F.shiftright(f"c{b}", 20 * k).bitwiseAND((1 << 20) - 1) for b in range(20) for k in range(3)}
-    sums = parts.groupBy(key).agg(F.sum("n").alias("n"), *[F.sum(c).alias(f"b{b}") for b, c in ones.items()])
-    out = F.lit(0).cast("bigint")
-    for b in range(60):
-        out = out + F.when(2 * F.col(f"b{b}") > F.col("n"), F.lit(1 << b)).otherwise(F.lit(0)).cast("bigint")
-    return sums.select(key, out.alias("simhash"))
+    low = F.trim(F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), NOT_TOKEN, " ")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def one(data: bytes) -> int | None:
+            gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+            n = len(gaps) - 1
+            if n < 13:
+                return None
+            starts = np.r_[0, gaps[: n - 1] + 1].tolist()
+            ends = [*gaps[2:].tolist(), len(data)]
+            ones = np.zeros(64, np.int64)
+            for at in range(0, n, SHINGLES):
+                own = zip(starts[at : at + SHINGLES], ends[at : at + SHINGLES], strict=True)
+                found = b"".join([hashlib.md5(data[s:e], usedforsecurity=False).digest()[:8] for s, e in own])
+                ones += np.unpackbits(np.frombuffer(found, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big") >> 4
+
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                rows = b.slice(at, 512)
+                found = pa.array([one(t.as_py()) for t in rows.column(1)], pa.int64())
+                kept = found.is_valid()
+                yield pa.RecordBatch.from_arrays([rows.column(0).filter(kept), found.filter(kept)], [key, "simhash"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.encode(low, "UTF-8").alias("t")).mapInArrow(run, f"`{key}` {kind}, simhash long")
 
 
 def hamming(a: Column, b: Column) -> Column:

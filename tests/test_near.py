@@ -1,5 +1,6 @@
 """Groups of near copies and suggestions against plain Python."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -109,3 +110,17 @@ def test_suggestions_of_crawls_against_brute_force(spark):
 def test_suggestions_of_nothing(spark):
     pages = spark.createDataFrame([], "id long, url string, title string, text string, inlinks_count int, depth int, indexable boolean, headings array<struct<level: int, text: string>>, is_orphan boolean, important boolean")
     assert linking.suggest(pages, spark.createDataFrame([], "source_id long, target_id long"), "x").count() == 0
+
+
+def test_fingerprints_are_not_shuffled(spark):
+    """Bits are counted where a text is read; more shingles than are counted at a time, few words, no text."""
+    words = [f"w{k % 97}" for k in range(300)]
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, "--".join(words).upper()), (3, " ".join(words[:14])), (4, None), (5, " ".join(words[:15]) + "!")], "k int, t string")
+    out = text.md5_simhash(rows, "k", "t")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+    def want(w):
+        found = [int(hashlib.md5(" ".join(w[i : i + 3]).encode()).hexdigest()[:15], 16) for i in range(len(w) - 2)]
+        return sum(1 << b for b in range(60) if 2 * sum(v >> b & 1 for v in found) > len(found))
+
+    assert dict(map(tuple, out.collect())) == {1: want(words), 2: want(words), 5: want(words[:15])}
