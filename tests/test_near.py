@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from sitescope.functions import text
 from sitescope.operators import duplicates, linking
 from sitescope.operators.graph import connected_components
 
