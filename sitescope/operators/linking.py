@@ -52,9 +52,11 @@ def phrases(headings: Column, title: Column, suffix: Column) -> Column:
     return F.filter(own, lambda p, i: F.array_position(low, F.lower(p)) == i + 1)
 
 
-def word_pairs(words: Column, *within: Column) -> Column:
-    """Distinct hashes of neighbouring words, and of what they are ``within``."""
-    return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b, *within)))
+def word_runs(words: Column, size: int, *within: Column) -> Column:
+    """Distinct hashes of ``size`` neighbouring words, and of what they are ``within``."""
+    starts = F.sequence(F.lit(1), F.size(words) - (size - 1))
+    found = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(size)], *within))
+    return F.array_distinct(F.when(F.size(words) >= size, found).otherwise(F.array().cast("array<bigint>")))
 
 
 def suggest(pages: DataFrame, links: DataFrame, root_url: str, min_inlinks: int = 3) -> DataFrame:
@@ -63,8 +65,8 @@ def suggest(pages: DataFrame, links: DataFrame, root_url: str, min_inlinks: int
 
     Pages belong to crawls, which are matched apart in one job; ids of pages are unique over all crawls. Pages without the
     column ``crawl_job_id`` are one crawl. Each distinct phrase of a crawl is matched once, and only with texts that hold its
-    rarest pair of neighbouring words. Pairs are joined by a hash (with the crawl in it) and ids alone; a text's own copies
-    of a pair fall together first, and only pairs that are in some phrase are kept. A source meets all its phrases in one row
+    rarest three neighbouring words (two, where a phrase has no more). These are joined by a hash (with the crawl in it) and
+    ids alone; a text's own copies of them fall together first, and only those that are in some phrase are kept. A source meets all its phrases in one row
     and is read with them once. Sources of a phrase are ranked, and a target asks for as many of the first ones as can be in
     its way (itself, sources that link to it already, those it has by an earlier phrase) and three more: pages that share a
     phrase do not multiply with the texts that hold it. Ranks are given within parts of a phrase (and of a crawl) first, so
@@ -78,10 +80,11 @@ def suggest(pages: DataFrame, links: DataFrame, root_url: str, min_inlinks: int
     wanted = wanted.select("crawl", F.col("id").alias("target_id"), F.col("url").alias("target_url"), "important", F.col("inlinks_count").alias("target_links"), F.posexplode(phrases(F.col("headings"), F.col("title"), F.col("suffix"))).alias("phrase_no", "phrase"))
     wanted = table(wanted.withColumn("phrase", F.lower("phrase")).withColumn("words", text.tokens(F.col("phrase"))), "suggest-phrases")
 
-    asked = wanted.select("crawl", "phrase", F.explode(word_pairs(F.col("words"), F.col("crawl"))).alias("g")).distinct()
+    asked = wanted.select("crawl", "phrase", F.explode(F.when(F.size("words") < 3, word_runs(F.col("words"), 2, F.col("crawl"))).otherwise(word_runs(F.col("words"), 3, F.col("crawl")))).alias("g")).distinct()
+    sizes = [3] if wanted.where(F.size("words") < 3).isEmpty() else [2, 3]
     held = own.select(F.col("id").alias("source_id"), crawl.alias("crawl"), text.tokens(F.lower("text")).alias("words"))
-    held = held.select("source_id", F.explode(word_pairs(F.col("words"), F.col("crawl"))).alias("g"))
-    held = table(held.join(asked.select("g").distinct(), "g", "left_semi"), "suggest-pairs")
+    held = held.select("source_id", F.explode(F.concat(*[word_runs(F.col("words"), k, F.col("crawl")) for k in sizes])).alias("g"))
+    held = table(held.join(asked.select("g").distinct(), "g", "left_semi"), "suggest-runs")
     use = held.groupBy("g").agg(F.count("*").alias("n"))
     rare = asked.join(use, "g", "left").groupBy("crawl", "phrase").agg(F.min_by(F.struct("g", "n"), F.struct(F.coalesce("n", F.lit(0)), "g")).alias("r"))
     rare = rare.where("r.n IS NOT NULL").select("phrase", "r.g")
