@@ -125,3 +125,11 @@ def test_fingerprints_are_not_shuffled(spark):
         return sum(1 << b for b in range(60) if 2 * sum(v >> b & 1 for v in found) > len(found))
 
     assert dict(map(tuple, out.collect())) == {1: want(words), 2: want(words), 5: want(words[:15])}
+
+
+def test_runs_of_words(spark):
+    """Runs of two and three words that a phrase shares with a text, apart by crawl; none where there are fewer words."""
+    rows = spark.createDataFrame([(["a", "b", "c", "a", "b", "c"], "x"), (["b", "c"], "x"), (["a", "b", "c"], "x"), (["a", "b", "c"], "y"), ([], "x")], "w array<string>, c string")
+    two, three = ([set(r[0]) for r in rows.select(linking.word_runs(F.col("w"), k, F.col("c"))).collect()] for k in (2, 3))
+    assert [len(x) for x in two] == [3, 1, 2, 2, 0] and [len(x) for x in three] == [3, 0, 1, 1, 0]
+    assert two[1] < two[0] and three[2] < three[0] and not three[3] & three[0]
