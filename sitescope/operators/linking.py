@@ -14,16 +14,26 @@ from ..plans.scratch import table
 GENERIC = ("home", "home page", "welcome", "about", "about us", "contact", "contact us", "news", "events", "read more", "click here", "page not found")
 PER_TARGET, TOTAL, AROUND = 3, 500, 80
 PARTS = 64
+#: Links in a task, and parts that the links of one page are spread over.
+ROWS, SPREAD = 1_000_000, 16
 
 
 def linking_sources(links: DataFrame, pages: DataFrame, limit: int = 10) -> DataFrame:
-    """(target_id, sources): the first distinct addresses in order that link to a page."""
-    src = pages.select(F.col("id").alias("source_id"), F.col("url").alias("source_url"))
-    rows = links.where("target_id IS NOT NULL AND target_id <> source_id").select("source_id", "target_id").distinct().join(src, "source_id")
-    rows = rows.select("target_id", "source_url").distinct()
-    by = Window.partitionBy("target_id").orderBy("source_url")
-    rows = rows.withColumn("n", F.row_number().over(by)).where(F.col("n") <= limit)
-    return rows.groupBy("target_id").agg(F.array_sort(F.collect_list("source_url")).alias("sources"))
+    """(target_id, sources): the first distinct addresses in order that link to a page.
+
+    Links meet the addresses of their sources, and are then ranked, in tasks of about ROWS of them, so that the memory of a
+    task does not grow with the links; the rows of one source or of one target lie in SPREAD parts, of which a target's
+    first addresses are merged. Equal addresses have one rank, so no distinct is needed.
+    """
+    own = links.where("target_id IS NOT NULL AND target_id <> source_id").select("source_id", "target_id")
+    tasks = max(links.sparkSession.sparkContext.defaultParallelism, -(-own.count() // ROWS))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SPREAD)).alias("part")
+    src = pages.select(F.col("id").alias("source_id"), F.col("url").alias("source_url"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<bigint>")).alias("part"))
+    rows = own.select("source_id", "target_id", part("target_id")).repartition(tasks, "source_id", "part").join(src.repartition(tasks, "source_id", "part"), ["source_id", "part"])
+    rows = rows.select("target_id", "source_url", part("source_url")).repartition(tasks, "target_id", "part")
+    first = lambda df, *keys: df.withColumn("n", F.dense_rank().over(Window.partitionBy(*keys).orderBy("source_url"))).where(F.col("n") <= limit).drop("n")
+    rows = first(first(rows, "target_id", "part").drop("part").repartition(tasks, "target_id"), "target_id")
+    return rows.groupBy("target_id").agg(F.array_sort(F.collect_set("source_url")).alias("sources"))
 
 
 def broken_links(links: DataFrame, pages: DataFrame) -> DataFrame:

@@ -70,6 +70,22 @@ def test_topic_pairs_against_brute_force(spark, monkeypatch):
         assert sorted(map(tuple, duplicates.topic_pairs(df, least, ("c",)).collect())) == sorted(want)
 
 
+def test_linking_sources_in_tasks_of_few_links(spark, monkeypatch):
+    """A target that all pages link to, a source that links to all, links and addresses that repeat; tasks grow with the links."""
+    monkeypatch.setattr(linking, "ROWS", 200, raising=False)
+    rng = random.Random(3)
+    pages = [(f"p{i}", f"https://e.org/{i - i % 10 // 9:03}") for i in range(120)]
+    links = [(f"p{rng.randrange(130)}", rng.choice([None, "gone", *(f"p{rng.randrange(60)}" for _ in range(9))])) for _ in range(1500)]
+    links += [(f"p{i}", "p7") for i in range(120) for _ in range(3)] + [("p9", f"p{i}") for i in range(120)]
+    out = linking.linking_sources(spark.createDataFrame(links, "source_id string, target_id string"), spark.createDataFrame(pages, "id string, url string"))
+    want = {}
+    for s, t in links:
+        if t and s != t and s in dict(pages):
+            want.setdefault(t, set()).add(dict(pages)[s])
+    assert {r["target_id"]: r["sources"] for r in out.collect()} == {t: sorted(u)[:10] for t, u in want.items()}
+    assert out.rdd.getNumPartitions() >= len(links) * 0.8 / 200 > 4
+
+
 def test_suggestions_of_a_shared_phrase(spark):
     """Many pages with one title and many texts that name it: three sources each, none that links already."""
     rows = [(i, f"https://e.org/{i:02}", "Evening course plan", f"we offer the evening course plan {i}", 1, i % 5, True) for i in range(30)]
