@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 TOKEN, NOT_TOKEN = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
-#: Shingles whose bits are counted at a time.
-SHINGLES = 1 << 16
+#: Shingles whose bits are counted at a time (in 16 bits); those hashed at a time; bytes of texts that are read together.
+SHINGLES, LANES, TOGETHER = 1 << 15, 1 << 13, 1 << 22
 # What parts a title from the site's name.
 SEPARATORS = (" | ", " - ", " – ", " — ", " :: ", " » ")
 
@@ -106,38 +108,94 @@ def simhash(texts: pd.Series) -> pd.Series:
     return pd.Series([one(t) for t in texts], dtype="Int64")
 
 
+def md5_heads(data: bytes, starts, sizes):
+    """First eight bytes of the MD5 of slices of ``data``: rows of uint8, from arrays of int64.
+
+    RFC 1321 on columns of 32-bit words, one slice a row; slices that need a second block (over 55 bytes) go to hashlib.
+    """
+    import numpy as np
+
+    u4 = np.dtype("<u4")
+    padded = data + bytes(64)
+    at = np.ndarray((len(data) + 60,), u4, padded, strides=(1,))  # the word that starts at each byte
+    kept = np.array([0, 0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], u4)
+    ended = np.array([0, 0x80, 0x8000, 0x800000, 0x80000000, 0], u4)
+    turns = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+    sines = np.floor(np.abs(np.sin(np.arange(1, 65))) * 2**32).astype(u4)
+    heads = np.empty((len(starts), 2), u4)
+    for low in range(0, len(starts), LANES):
+        own, size = starts[low : low + LANES], np.minimum(sizes[low : low + LANES], 55)
+        last = int(size.max()) // 4
+        block = {14: (size * 8).astype(u4)}
+        for j in range(last + 1):
+            left = np.clip(size - 4 * j, -1, 4) + 1
+            block[j] = (at[own + 4 * j] & kept[left]) | ended[left]
+        first = [np.full(len(own), v, u4) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+        a, b, c, d = (v.copy() for v in first)
+        f, t = np.empty_like(a), np.empty_like(a)
+        for i in range(64):
+            if i < 16:
+                np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+            elif i < 32:
+                np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+            elif i < 48:
+                np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+            else:
+                np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+            word = block.get((i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16)
+            turn = turns[i // 16][i % 4]
+            np.add(f, a, out=f), np.add(f, sines[i], out=f)
+            if word is not None:
+                np.add(f, word, out=f)
+            np.left_shift(f, turn, out=t), np.right_shift(f, 32 - turn, out=f), np.bitwise_or(f, t, out=f)
+            a, b, c, d = d, np.add(f, b, out=a), b, c
+        heads[low : low + LANES, 0], heads[low : low + LANES, 1] = a + first[0], b + first[1]
+    heads = heads.view(np.uint8)
+    for i in np.flatnonzero(sizes > 55):
+        own = data[starts[i] : starts[i] + sizes[i]]
+        heads[i] = np.frombuffer(hashlib.md5(own, usedforsecurity=False).digest()[:8], np.uint8)
+    return heads
+
+
 def md5_simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, simhash) with the first 60 bits of MD5 in place of BLAKE2b.
 
     Words are cut and lower-cased by Spark and stand one space apart, so that a shingle is a slice of the text; bits are
-    counted where a document is read, SHINGLES of it at a time, and nothing is shuffled. Documents under 15 words are left
-    out; rows that repeat a key are documents of their own.
+    counted where a document is read, for some megabytes of documents together, SHINGLES at a time, and nothing is shuffled.
+    Documents under 15 words are left out; rows that repeat a key are documents of their own.
     """
     low = F.trim(F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), NOT_TOKEN, " ")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def one(data: bytes) -> int | None:
-            gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
-            n = len(gaps) - 1
-            if n < 13:
-                return None
-            starts = np.r_[0, gaps[: n - 1] + 1].tolist()
-            ends = [*gaps[2:].tolist(), len(data)]
-            ones = np.zeros(64, np.int64)
-            for at in range(0, n, SHINGLES):
-                own = zip(starts[at : at + SHINGLES], ends[at : at + SHINGLES], strict=True)
-                found = b"".join([hashlib.md5(data[s:e], usedforsecurity=False).digest()[:8] for s, e in own])
-                ones += np.unpackbits(np.frombuffer(found, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-            return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big") >> 4
+        def fingerprints(texts: list[bytes]):
+            data = b" ".join(texts)
+            ends = np.r_[np.flatnonzero(np.frombuffer(data, np.uint8) == 32), len(data)]
+            starts = np.r_[0, ends[:-1] + 1]
+            words = np.array([t.count(b" ") + 1 for t in texts])
+            doc = np.repeat(np.arange(len(texts)), words)
+            own = np.flatnonzero((doc[:-2] == doc[2:]) & (words[doc[:-2]] >= 15))
+            ones = np.zeros((len(texts), 64), np.int64)
+            for i in range(0, len(own), SHINGLES):
+                part = own[i : i + SHINGLES]
+                bits = np.unpackbits(md5_heads(data, starts[part], ends[part + 2] - starts[part]), axis=1)
+                cuts = [0, *(np.flatnonzero(np.diff(doc[part])) + 1).tolist(), len(part)]
+                for start, end in pairwise(cuts):
+                    ones[doc[part[start]]] += bits[start:end].sum(axis=0, dtype=np.uint16)
+            found = np.packbits(ones * 2 > (words - 2)[:, None], axis=1).view(">u8").ravel() >> 4
+            return pa.array(found.astype(np.int64), mask=words < 15)
 
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                rows = b.slice(at, 512)
-                found = pa.array([one(t.as_py()) for t in rows.column(1)], pa.int64())
+            sizes = pc.binary_length(b.column(1)).to_numpy()
+            at = 0
+            while at < b.num_rows:
+                n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 512]), TOGETHER, "right")))
+                rows = b.slice(at, n)
+                found = fingerprints(rows.column(1).to_pylist())
                 kept = found.is_valid()
                 yield pa.RecordBatch.from_arrays([rows.column(0).filter(kept), found.filter(kept)], [key, "simhash"])
+                at += n
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, F.encode(low, "UTF-8").alias("t")).mapInArrow(run, f"`{key}` {kind}, simhash long")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sitescope.functions import text
@@ -164,6 +165,36 @@ def test_fingerprints_are_not_shuffled(spark):
     assert dict(map(tuple, out.collect())) == {1: want(words), 2: want(words), 5: want(words[:15])}
 
 
+def test_heads_of_md5():
+    """Slices of every length around the ends of words and of a block, in more than one round of lanes."""
+    rng = random.Random(2)
+    data = bytes(rng.randrange(256) for _ in range(40_000))
+    sizes = np.array([k % 75 for k in range(text.LANES * 2 + 5)])
+    starts = np.array([rng.randrange(len(data) - n + 1) for n in sizes.tolist()])
+    starts[-5:], sizes[-5:] = len(data) - np.arange(5), np.arange(5)
+    got = text.md5_heads(data, starts, sizes)
+    assert all(h.tobytes() == hashlib.md5(data[s : s + n]).digest()[:8] for h, s, n in zip(got, starts.tolist(), sizes.tolist(), strict=True))
+    assert len(text.md5_heads(b"", starts[:0], sizes[:0])) == 0
+
+
+def test_fingerprints_of_documents_read_together(spark):
+    """Texts of any length beside each other, long words, repeated keys, texts larger than what is read together."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        words = [rng.choice(["été", "x", "long" * rng.randrange(1, 12), f"w{rng.randrange(50)}", "日本語"]) for _ in range(rng.choice([0, 1, 2, 14, 15, 16, 40, 300]))]
+        rows.append((i - i % 9 // 8, rng.choice([" ", ", ", " -- "]).join(words) if i % 40 else None))
+    rows.append((999, " ".join(f"v{k % 7919}" for k in range(80_000))))
+
+    def want(t):
+        w = [x.lower() for x in (t or "").replace(",", " ").replace("-", " ").split()]
+        found = [int(hashlib.md5(" ".join(w[i : i + 3]).encode()).hexdigest()[:15], 16) for i in range(len(w) - 2)]
+        return sum(1 << b for b in range(60) if 2 * sum(v >> b & 1 for v in found) > len(found)) if len(w) >= 15 else None
+
+    out = text.md5_simhash(spark.createDataFrame(rows, "k long, t string"), "k", "t")
+    assert sorted(map(tuple, out.collect())) == sorted((k, want(t)) for k, t in rows if want(t) is not None)
+
+
 def test_runs_of_words(spark):
     """Runs of two and three words that a phrase shares with a text, apart by crawl; none where there are fewer words."""
     rows = spark.createDataFrame([(["a", "b", "c", "a", "b", "c"], "x"), (["b", "c"], "x"), (["a", "b", "c"], "x"), (["a", "b", "c"], "y"), ([], "x")], "w array<string>, c string")
