@@ -13,9 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ..plans.filters import KeyFilter
+
 TOKEN, NOT_TOKEN = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
 #: Shingles whose bits are counted at a time (in 16 bits); those hashed at a time; bytes of texts that are read together.
 SHINGLES, LANES, TOGETHER = 1 << 15, 1 << 13, 1 << 22
+#: Letters of texts that are hashed together, words at a time; odd factors of letters in a word and of words in a run.
+BLOCK, WORDS, LETTER_FACTOR, WORD_FACTOR = 1 << 20, 1 << 17, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 # What parts a title from the site's name.
 SEPARATORS = (" | ", " - ", " – ", " — ", " :: ", " » ")
 
@@ -201,5 +205,84 @@ def md5_simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.encode(low, "UTF-8").alias("t")).mapInArrow(run, f"`{key}` {kind}, simhash long")
 
 
+def hashed_runs(rows: DataFrame, text: str, seed: str, sizes: list[int], among: KeyFilter | None = None, longest: bool = False) -> DataFrame:
+    """(other columns of ``rows``, size, g): hashes of ``size`` neighbouring words of a text (in lower case) and of ``seed``, a
+    long; each once for a row; only those that ``among`` may hold; where ``longest``, only of the largest size a row has.
+
+    A word's hash is a difference of prefix sums over its letters, a run's a sum over its words, both modulo 2^64, so that all
+    words of about BLOCK letters of texts are hashed in numpy columns together. Equal runs have equal hashes; as others may
+    share one, what is found by a hash is to be compared.
+    """
+    others = [f for f in rows.schema if f.name not in (text, seed)]
+    names, most = [f.name for f in others], max(sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import unicodedata
+
+        import numpy as np
+
+        u8 = np.uint64
+        inside = np.array([c == 95 or unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)])
+        tables = [np.ones(1, u8), np.ones(1, u8)]
+
+        def mixed(z):
+            for turn, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                z = (z ^ (z >> u8(turn))) * u8(factor)
+            return z ^ (z >> u8(31))
+
+        def hashed(texts: list[str]):
+            """The text and the hash of every word."""
+            data = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+            own = np.r_[False, inside[data], False]
+            edges = np.flatnonzero(own[1:] != own[:-1])
+            starts, ends = edges[::2], edges[1::2]
+            own = np.empty(len(starts), u8)
+            for i in range(0, len(starts), WORDS):
+                start, end = starts[i : i + WORDS], ends[i : i + WORDS]
+                part = data[start[0] : end[-1]]
+                if len(part) > len(tables[0]):
+                    for k, factor in enumerate((LETTER_FACTOR, pow(LETTER_FACTOR, -1, 1 << 64))):
+                        tables[k] = np.full(len(part) + WORDS, factor, u8)
+                        tables[k][0] = 1
+                        np.multiply.accumulate(tables[k], out=tables[k])
+                total = np.zeros(len(part) + 1, u8)
+                np.cumsum(part * tables[0][: len(part)], out=total[1:])
+                own[i : i + WORDS] = mixed((total[end - start[0]] - total[start - start[0]]) * tables[1][start - start[0]])
+            return np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right"), own
+
+        def found(texts: list[str], seeds):
+            """(text, size, hash) as three columns."""
+            of, own = hashed(texts)
+            count = np.minimum(np.bincount(of, minlength=len(texts)), most)
+            out, h = [(np.empty(0, np.int64),) * 2 + (np.empty(0, u8),)], own
+            for k in range(2, most + 1):
+                h = h[:-1] * u8(WORD_FACTOR) + own[k - 1 :]
+                if k not in sizes or not len(h):
+                    continue
+                g = mixed(h + seeds[of[: len(h)]] + u8(k))
+                at = np.arange(len(h)) if among is None else among.may_hold(g)
+                at = at[of[at] == of[at + (k - 1)]]
+                if longest:
+                    at = at[count[of[at]] == k]
+                at = at[np.lexsort((g[at], of[at]))]
+                at = at[np.r_[True, (of[at][1:] != of[at][:-1]) | (g[at][1:] != g[at][:-1])][: len(at)]]
+                out.append((of[at], np.full(len(at), k), g[at]))
+            return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+        for b in batches:
+            texts, seeds = b.column(text), b.column(seed).to_numpy().view(u8)
+            letters = pc.utf8_length(texts).to_numpy()
+            at = 0
+            while at < b.num_rows:
+                n = max(1, int(np.searchsorted(np.cumsum(letters[at : at + 4096]), BLOCK, "right")))
+                of, size, g = found(texts.slice(at, n).to_pylist(), seeds[at : at + n])
+                rest = [b.column(c).take(pa.array(of + at)) for c in names]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(size.astype(np.int32)), pa.array(g.view(np.int64))], [*names, "size", "g"])
+                at += n
+
+    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
+    return rows.withColumn(text, F.coalesce(text, F.lit(""))).mapInArrow(run, f"{own}size int, g long")
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from sitescope.functions import text
 from sitescope.operators import duplicates, linking
 from sitescope.operators.graph import connected_components
+from sitescope.plans import filters
 
 
 def test_classes_against_brute_force(spark):
@@ -201,3 +203,71 @@ def test_runs_of_words(spark):
     two, three = ([set(r[0]) for r in rows.select(linking.word_runs(F.col("w"), k, F.col("c"))).collect()] for k in (2, 3))
     assert [len(x) for x in two] == [3, 1, 2, 2, 0] and [len(x) for x in three] == [3, 0, 1, 1, 0]
     assert two[1] < two[0] and three[2] < three[0] and not three[3] & three[0]
+
+
+def test_hashed_runs_against_brute_force(spark):
+    """Runs by size and seed: words of any letters, no text, texts beyond a block, more words than are hashed at a time."""
+    rng = random.Random(5)
+    words = ["été", "x", "日本語", "😀", "a_b", "long" * 9, "²", "--", "né", *(f"w{k}" for k in range(20))]
+    rows = [(i, rng.choice([" ", ", ", "\n"]).join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 5, 60]))) if i % 20 else None, i % 3) for i in range(200)]
+    rows.append((999, " ".join(f"v{k % 70_001}" for k in range(text.WORDS + 90_000)), 1))
+
+    def runs(t, sizes):
+        own = re.findall(r"[^\W]+", t or "")
+        return {tuple(own[i : i + k]) for k in sizes for i in range(len(own) - k + 1)}
+
+    frame = spark.createDataFrame(rows, "k int, t string, seed long")
+    got = text.hashed_runs(frame, "t", "seed", [2, 4]).collect()
+    assert len(got) == len({(r["k"], r["g"]) for r in got}) == sum(len(runs(t, [2, 4])) for _, t, _ in rows)
+    assert len({r["g"] for r in got}) == len({(s, x) for _, t, s in rows for x in runs(t, [2, 4])})
+    of_size = {k: len(re.findall(r"[^\W]+", t or "")) for k, t, _ in rows}
+    longest = text.hashed_runs(frame, "t", "seed", [2, 3, 4], longest=True).collect()
+    assert {(r["k"], r["size"]) for r in longest} == {(k, min(n, 4)) for k, n in of_size.items() if n > 1}
+    asked = spark.createDataFrame([(r["g"],) for r in got if r["k"] % 7 == 3], "g long")
+    kept = text.hashed_runs(frame, "t", "seed", [2, 4], filters.KeyFilter(asked, "g")).collect()
+    held = {r["g"] for r in asked.collect()}
+    assert {(r["k"], r["g"]) for r in got if r["g"] in held} <= {(r["k"], r["g"]) for r in kept}
+    assert len(kept) < sum(r["g"] in held for r in got) + len(got) / 50
+    none = filters.KeyFilter(asked.limit(0), "g")
+    assert text.hashed_runs(frame, "t", "seed", [2, 4], none).count() == 0
+
+
+def test_texts_meet_phrases_on_long_runs(spark, monkeypatch):
+    """Texts that hold every three neighbouring words of a phrase, but not the phrase, are not read for it."""
+    pages = [(i, f"https://e.org/{i:03}", "" if i else "alpha beta gamma delta epsilon", f"{i} alpha beta gamma, beta gamma delta; gamma delta epsilon" if i < 60 else "see Alpha beta gamma delta EPSILON", 0, 0, True, [], False, False) for i in range(62)]
+    rows = spark.createDataFrame(pages, "id long, url string, title string, text string, inlinks_count int, depth int, indexable boolean, headings array<struct<level: int, text: string>>, is_orphan boolean, important boolean")
+    seen = {}
+
+    def table(df, name):
+        seen[name] = df.cache()
+        return seen[name]
+
+    monkeypatch.setattr(linking, "table", table)
+    got = linking.suggest(rows, spark.createDataFrame([], "source_id long, target_id long"), "x").collect()
+    assert sorted((r["source_id"], r["anchor_text"]) for r in got) == [(i, "Alpha beta gamma delta EPSILON") for i in (60, 61)]
+    assert seen["suggest-runs"].count() == 2
+
+
+def test_places_of_phrases_against_brute_force(spark):
+    """The first match, where letters have several small forms, lower case is longer, or words go on beside a match."""
+    rng = random.Random(11)
+    words = ["soft", "ſoft", "SOFT", "power", "powers", "plan", "İ", "ΟΔΟΣ", "οδοσ", "😀", "x²", "“plan”", "plan-b"]
+    named = ["soft power", "power plan", "plan soft power", "οδοσ plan"]
+    regular = [w for w in words if w not in ("ſoft", "İ", "ΟΔΟΣ")]
+    rows = [(i, " ".join(rng.choice(words if i % 2 else regular) for _ in range(rng.choice([3, 40, 400])))) for i in range(300)]
+    low = {r["i"]: r["low"] for r in spark.createDataFrame(rows, "i int, t string").select("i", F.lower("t").alias("low")).collect()}
+    frame = spark.createDataFrame([(i, t, low[i], named) for i, t in rows], "i int, t string, low string, named array<string>")
+    got = {(r["i"], r["phrase"]): r for r in linking.places(frame).collect()}
+    assert {k for k in got} == {(i, p) for i, _ in rows for p in named if p in low[i]}
+    said = 0
+    for (i, p), r in got.items():
+        t = rows[i][1]
+        m = re.search(r"(?<!\w)" + re.escape(p) + r"(?!\w)", t, re.I)
+        if r["t"] is None:
+            said += 1
+            assert (r["found"], r["around"]) == (m.group(0), t[max(m.start() - 80, 0) : m.end() + 80])
+            assert (r["more_before"], r["more_after"]) == (m.start() > 80, m.end() + 80 < len(t))
+        else:
+            assert r["t"] == t
+    assert said > 20 and len(got) - said > 20
+    assert set(linking.IRREGULAR) == {c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff" and len(c.upper()) == 1 and c.upper().lower() != c.lower()}
