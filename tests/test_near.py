@@ -248,6 +248,23 @@ def test_texts_meet_phrases_on_long_runs(spark, monkeypatch):
     assert seen["suggest-runs"].count() == 2
 
 
+def test_phrases_of_crawls_meet_their_own_texts_alone(spark, monkeypatch):
+    """Texts that name what a page of another crawl is about are no candidates; nor is a page alone for its own phrase."""
+    rows = [(f"c{i % 2}", i, f"https://e.org/{i:02}", "alpha beta gamma delta epsilon" if i == 0 else None, "say alpha beta gamma delta epsilon", 0, 0, True, [], False, False) for i in range(40)]
+    pages = spark.createDataFrame(rows, "crawl_job_id string, id long, url string, title string, text string, inlinks_count int, depth int, indexable boolean, headings array<struct<level: int, text: string>>, is_orphan boolean, important boolean")
+    seen = {}
+
+    def table(df, name):
+        seen[name] = df.cache()
+        return seen[name]
+
+    monkeypatch.setattr(linking, "table", table)
+    got = linking.suggest(pages, spark.createDataFrame([], "source_id long, target_id long"), "x").collect()
+    assert [r["source_id"] for r in got] == [2, 4, 6] and {r["crawl_job_id"] for r in got} == {"c0"}
+    assert sorted(r["source_id"] for r in seen["suggest-runs"].collect()) == list(range(0, 40, 2))
+    assert sorted(r["source_id"] for r in seen["suggest-sources"].collect()) == list(range(2, 40, 2))
+
+
 def test_places_of_phrases_against_brute_force(spark):
     """The first match, where letters have several small forms, lower case is longer, or words go on beside a match."""
     rng = random.Random(11)
