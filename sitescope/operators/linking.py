@@ -179,9 +179,11 @@ def suggest(pages: DataFrame, links: DataFrame, root_url: str, min_inlinks: int
     asks = wanted.join(passed, ["target_id", "phrase_no"], "left").withColumn("need", 2 * PER_TARGET + F.coalesce(F.col("passed"), F.lit(0)).cast("int"))
     asks = table(asks, "suggest-asks")
     order = (F.col("d"), F.desc("links_in"), F.col("source_url"))
-    ranked = near.join(asks.groupBy(*one).agg(F.max("need").alias("most")), one).withColumn("part", F.pmod(F.xxhash64("source_id"), F.lit(PARTS)))
-    for keys in ([*one, "part"], one):
-        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("r <= most")
+    # parts are ranked before the join by phrase, which would deal all sources of a phrase to one task
+    ranked = near.withColumn("part", F.pmod(F.xxhash64("source_id"), F.lit(PARTS)))
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*one, "part").orderBy(*order))).where(F.col("r") <= (asks.agg(F.max("need")).first()[0] or 0))
+    ranked = ranked.join(asks.groupBy(*one).agg(F.max("need").alias("most")), one)
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*one).orderBy(*order))).where("r <= most")
     hits = asks.withColumn("r", F.explode(F.sequence(F.lit(1), "need"))).join(ranked.drop("part", "most"), [*one, "r"])
     hits = hits.where("source_id <> target_id").join(linked, ["source_id", "target_id"], "left_anti")
     # a source counts once for a target, with its first phrase
